@@ -1,8 +1,70 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: documents in, the mix's token ids out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
+stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.llm import bpe, common, line_rules, mixing, near_dedup, quality_model
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality_model.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality_model.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def keep_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the plain rules and hold content in at least half of their words."""
+    field = line_rules.field_from_labels(docs, common.table(spark, sf_dir, "labels"))
+    return line_rules.with_verdict(line_rules.label_lines(docs, field)).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: that with the smallest id."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes its words, to the nearest whole copy."""
+    mixed = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
+    taken = docs.join(mixed.where("copies > 0"), docs.doc_id.eqNullSafe(mixed.mixed_id))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document of the mix, with digests of the ids and of what they decode to."""
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", common.text_or_empty().alias("text")), drop=("text",)))
+    return both.select(
+        "doc_id",
+        "source",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids",
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality classifier", keep_good_quality),
+    ("quality rules", keep_content),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_tokens),
+]
+
+#: Fitted models, hashes and permutations are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what each but the last returns is written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

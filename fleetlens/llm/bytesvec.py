@@ -40,6 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def factor(position: int) -> np.uint64:
+    """An odd factor for each position of a sequence, unrelated to the others."""
+    return mix(np.array([position + 1], U))[0] | U(1)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -86,7 +91,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     n = max(0, len(hashes) - width + 1)
     total = np.zeros(n, U)
     for j in range(width):
-        total += hashes[j : j + n] * U((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1))
+        total += hashes[j : j + n] * factor(j)
     total = mix(total + U(width))
     counts = np.maximum(np.diff(bounds) - width + 1, 0)
     inside = np.zeros(len(hashes) + 1, np.int32)

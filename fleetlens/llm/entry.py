@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, line_rules
+from . import bpe, chat_format, license_scan, line_rules, mixing, near_dedup, ngram_lm, quality_model, token_files, vector_search
 
 
 def queries() -> dict:
-    return {"op5_bpe": bpe.op5_bpe, "op6_quality_rules": line_rules.op6_quality_rules}
+    found = (
+        quality_model.op1_quality_classifier,
+        license_scan.op2_license_scan,
+        near_dedup.op3_near_dedup,
+        vector_search.op4_nearest_vectors,
+        bpe.op5_bpe,
+        line_rules.op6_quality_rules,
+        ngram_lm.op7_backoff_scores,
+        chat_format.op8_chat_format,
+        token_files.op9_token_files,
+        mixing.op10_mix_sources,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.oracle(), "op8_chat_format": chat_format.ORACLE_SQL}

@@ -61,3 +61,13 @@ def test_without_labels_every_line_is_content(spark):
     field = line_rules.field_from_labels(docs, spark.createDataFrame([], "doc_id long, quality int"))
     rows = line_rules.with_verdict(line_rules.label_lines(docs, field)).orderBy("n_words").collect()
     assert [r["content_share"] for r in rows] == [1.0, 1.0] and [r["kept"] for r in rows] == [False, False]
+
+
+def test_windows_of_few_words_differ_by_order():
+    from fleetlens.llm.bytesvec import mix, windows
+
+    words = mix(np.arange(1, 3, dtype=np.uint64))
+    for width in (5, 8):
+        every = list(itertools.product((0, 1), repeat=width))
+        hashes = [windows(words[list(p)], np.array([0, width]), width)[0][0] for p in every]
+        assert len(set(hashes)) == len(every)
