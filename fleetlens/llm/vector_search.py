@@ -23,7 +23,9 @@ from . import common
 
 #: Vectors that centroids are fitted on at most (the smallest by a hash of the id), and the most centroids.
 FIT_VECTORS, MOST_LISTS = 20_000, 1024
-QUERY_EVERY, NEAREST, PROBED_SHARE, LEAST_PROBED, BLOCK_DIMS, SLACK = 20, 20, 0.2, 8, 16, 2.1
+QUERY_EVERY, NEAREST, BLOCK_DIMS, SLACK = 20, 20, 16, 2.1
+#: The share of neighbours whose lists must be probed, as measured within the sample, and the queries of that measurement
+AIM, AIM_QUERIES, LEAST_PROBED = 0.96, 256, 8
 #: Vectors and queries of a list that are scanned together at most
 CHUNK_VECTORS, CHUNK_QUERIES = 4096, 512
 
@@ -55,6 +57,30 @@ def nearest_lists(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(distance, axis=1, kind="stable")[:, :n]
 
 
+def as_query(x: np.ndarray) -> np.ndarray:
+    """A query has no part in the added dimension, so its distance to a lifted vector falls as their product grows."""
+    return np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), np.zeros((len(x), 1))])
+
+
+def lists_to_probe(sample: np.ndarray, centers: np.ndarray, nearest: int, aim: float = AIM) -> int:
+    """How many lists hold the share ``aim`` of the true neighbours of the sample's first vectors, within the sample.
+
+    The whole table is denser than the sample and its neighbours nearer, so there the share is larger.
+    """
+    asked = as_query(sample[:AIM_QUERIES, :-1])
+    distance = (sample**2).sum(1) - 2 * asked @ sample.T
+    distance[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    n = min(nearest, len(sample) - 1)
+    if n < 1:
+        return len(centers)
+    near = np.argpartition(distance, n - 1, axis=1)[:, :n]
+    order = nearest_lists(asked, centers, len(centers))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centers)), order.shape), 1)
+    ranks = np.take_along_axis(place, nearest_lists(sample, centers, 1)[:, 0][near], 1)
+    return min(len(centers), max(LEAST_PROBED, int(np.quantile(ranks, aim, method="higher")) + 1))
+
+
 def adaptive_scan(query: np.ndarray, vectors: np.ndarray, keep: int, block: int = BLOCK_DIMS, slack: float = SLACK) -> np.ndarray:
     """Rows of ``vectors`` (rotated) that may be among the ``keep`` nearest to ``query`` (rotated).
 
@@ -80,7 +106,7 @@ def adaptive_scan(query: np.ndarray, vectors: np.ndarray, keep: int, block: int
     return rows[np.argsort(distances, kind="stable")[:keep]]
 
 
-def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST, every: int = QUERY_EVERY, probed_share: float = PROBED_SHARE) -> DataFrame:
+def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST, every: int = QUERY_EVERY, aim: float = AIM) -> DataFrame:
     """(query_id, rank, key, score): for each row whose id is divisible by ``every``, its nearest others.
 
     Nearness is the largest inner product of the original vectors in double precision, ties to the smaller
@@ -103,26 +129,27 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", nea
 
     radius = float(np.sqrt(longest))
     lists = int(min(MOST_LISTS, max(1, round(np.sqrt(total)))))
-    probed = int(min(lists, max(LEAST_PROBED, round(probed_share * lists))))
     raise_to_sphere = lambda x: np.hstack([x / radius, np.sqrt(np.maximum(0, 1 - ((x / radius) ** 2).sum(1)))[:, None]])
     sample = heads.orderBy(F.xxhash64("class"), "class").limit(FIT_VECTORS).collect()
-    centers = fit_centroids(raise_to_sphere(np.array([r["vector"] for r in sample])), min(lists, len(sample)))
+    sample = raise_to_sphere(np.array([r["vector"] for r in sample]))
+    centers = fit_centroids(sample, min(lists, len(sample)))
+    probed = lists_to_probe(sample, centers, nearest, aim)
     turn = np.linalg.qr(np.random.default_rng(11).normal(size=(dims + 1, dims + 1)))[0]
     shared = spark.sparkContext.broadcast((centers, turn))
 
-    def place(n: int):
+    def place(n: int, lift):
         def run(batches):
             centers, _ = shared.value
             for batch in batches:
                 if len(batch):
-                    near = nearest_lists(raise_to_sphere(np.stack(batch["vector"].to_numpy())), centers, n)
+                    near = nearest_lists(lift(np.stack(batch["vector"].to_numpy())), centers, n)
                     yield pd.DataFrame({"class": np.repeat(batch["class"].to_numpy(), near.shape[1]), "vector": np.repeat(batch["vector"].to_numpy(), near.shape[1]), "list": near.ravel()})
 
         return run
 
     # Chunks of bounded size on both sides: a vector is in one chunk and meets each chunk of its list's queries
-    listed = heads.mapInPandas(place(1), "class long, vector array<double>, list long")
-    asking = heads.join(queries.select(F.col("head").alias("class")).distinct(), "class", "left_semi").mapInPandas(place(probed), "class long, vector array<double>, list long")
+    listed = heads.mapInPandas(place(1, raise_to_sphere), "class long, vector array<double>, list long")
+    asking = heads.join(queries.select(F.col("head").alias("class")).distinct(), "class", "left_semi").mapInPandas(place(probed, as_query), "class long, vector array<double>, list long")
     listed, asking = common.materialize(listed, "listed"), common.materialize(asking, "asking")
     n_vectors = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_VECTORS).cast("int").alias("vector_chunks"))
     n_queries = asking.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("query_chunks"))
@@ -140,7 +167,7 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", nea
             ids = have["class"].to_numpy()
             rotated = raise_to_sphere(plain) @ turn
             for class_, vector in zip(ask["class"], ask["vector"]):
-                near = adaptive_scan(raise_to_sphere(vector[None])[0] @ turn, rotated, nearest + 1)
+                near = adaptive_scan(as_query(vector[None])[0] @ turn, rotated, nearest + 1)
                 found["query"].append(np.full(len(near), class_))
                 found["class"].append(ids[near])
                 found["score"].append((plain[near] * vector).sum(1))
