@@ -681,10 +681,3 @@ def _(faults, lines):
     grid = lines.select(scalars.bucket(F.col("ts_ms"), HOUR).alias("bucket_ms")).distinct()
     labelled = telemetry.label_table(faults, grid, lines.select("service").distinct(), HOUR)
     return labelled.select("bucket_ms", "service", "y", aggregates.types_text().alias("types"))
-
-
-@query("l2_score_metrics", "metric_points", "faults")
-def _(points, faults):
-    cells = telemetry.metric_table(points.select("ts_ms", "service", "feature", "value"), step=HOUR)
-    labelled = telemetry.label_table(faults, cells.select("bucket_ms").distinct(), cells.select("service").distinct(), HOUR)
-    return telemetry.score_metrics(cells, labelled).select("bucket_ms", "service", "y", r("p_cls", 4), r("prob", 4), r("score", 4), "predicted")

@@ -18,17 +18,18 @@ def metric_table(points: DataFrame, ip_map: DataFrame | None = None, step: int =
     if ip_map is not None:
         points = joins.fan_out(points, ip_map)
     single = aggregates.reduce_duplicates(points).where("value is not null").withColumn("feature", scalars.canonical_feature(F.col("feature")))
-    merged = aggregates.mean_by(single, ["ts_ms", "service", "feature"])
+    # What several branches read is kept, or each branch would compute it from the files again
+    merged = aggregates.mean_by(single, ["ts_ms", "service", "feature"]).persist()
     cell = scalars.bucket(F.col("ts_ms"), step)
     if n_grid is None:
         n_grid = merged.agg(F.count_distinct(cell)).first()[0]
-    good = aggregates.quality_filter(aggregates.metric_quality(merged, n_grid, step))
+    good = aggregates.quality_filter(aggregates.metric_quality(merged, n_grid, step)).persist()  # a row for each series
     shared = series.common_features(good)
     kept = merged.join(good.select("service", "feature"), ["service", "feature"], "left_semi").join(shared, "feature", "left_semi")
-    cells = aggregates.mean_by(kept.withColumn("bucket_ms", cell), ["bucket_ms", "service", "feature"])
+    cells = aggregates.mean_by(kept.withColumn("bucket_ms", cell), ["bucket_ms", "service", "feature"]).persist()
     grid, names = cells.select("bucket_ms").distinct(), cells.select("service", "feature").distinct()
     dense = grid.crossJoin(joins.small(names)).join(cells, ["bucket_ms", "service", "feature"], "left")
-    filled = series.ffill(dense, ["service", "feature"], ["bucket_ms"], "value")
+    filled = series.ffill(dense, ["service", "feature"], ["bucket_ms"], "value").persist()
     return aggregates.min_max(aggregates.drop_flat(filled), ["service", "feature"]).select("bucket_ms", "service", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
