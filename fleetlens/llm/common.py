@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that Spark hands to a Python worker at once, where the session has no number of its own: rows here are whole texts.
+BATCH_ROWS = 1000
 #: Text bytes that one step of a Python worker holds at a time; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
 
@@ -58,6 +60,13 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of texts small on both sides of the pipe to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose values in ``column`` hold about ``most`` bytes."""
     if not len(batch):
@@ -80,6 +89,7 @@ def with_batch_columns(
     ``make`` runs once in each task and returns the function from the values of ``source`` to one array
     for each of ``fields``. Other columns pass through, but for ``drop`` and those with a new field's name.
     """
+    bound_batches(df.sparkSession)
     gone = {f.name.lower() for f in fields} | {d.lower() for d in drop}
     kept = [f for f in df.schema.fields if f.name.lower() not in gone]
     names = [f.name for f in kept] + [f.name for f in fields]
