@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op8_chat_format": chat_format.ORACLE_SQL}
+    return {"op2_license_scan": license_scan.oracle(), "op3_near_dedup": near_dedup.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
