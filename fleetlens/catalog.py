@@ -15,6 +15,7 @@ from .functions import scalars
 from .operators import aggregates, joins, scoring, series, templates
 from .plans import telemetry
 from .plans.adapters import adapt, with_adapters
+from .sources import files
 
 FIVE, TEN, HOUR = 300_000, 600_000, 3_600_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,3 +682,80 @@ def _(faults, lines):
     grid = lines.select(scalars.bucket(F.col("ts_ms"), HOUR).alias("bucket_ms")).distinct()
     labelled = telemetry.label_table(faults, grid, lines.select("service").distinct(), HOUR)
     return labelled.select("bucket_ms", "service", "y", aggregates.types_text().alias("types"))
+
+
+# -- sources and sinks: what Spark writes from the tables, read back ---------------------------------------------------
+
+
+@query("a01_tolerant_csv", "raw_messages", sql="select line_id, service, message from raw_messages")
+def _(raw):
+    path = files.scratch(raw.sparkSession, "messages")
+    files.write_table(raw.select("line_id", "service", "message"), path, form="csv")
+    return files.read_tolerant_csv(raw.sparkSession, path, raw.select("line_id", "service", "message").schema)
+
+
+@query("a02_read_entities", "log_lines", sql="select line_id, level, service from log_lines where service in ('svc1', 'svc7')")
+def _(lines):
+    path = files.scratch(lines.sparkSession, "services")
+    kept = lines.select("line_id", "level", F.col("service"), F.col("service").alias("part"))
+    files.write_table(kept, path, ["part"], form="csv")
+    return files.read_entities(lines.sparkSession, path, "part={entity}/*.csv", ["svc1", "svc7", "absent"], kept.drop("part").schema)
+
+
+@query("a03_file_metadata", "metric_points", sql="select service, feature, count(*) as n, round(sum(value), 3) as total from metric_points group by all")
+def _(points):
+    path = files.scratch(points.sparkSession, "metrics")
+    files.write_table(points.select("value", "service", "feature"), path, ["service", "feature"], form="csv")
+    scan = points.sparkSession.read.csv(f"{path}/*/*", schema="value double", header=True).select("value", F.regexp_extract("_metadata.file_path", r"service=([^/]+)/feature=([^/]+)/", 1).alias("service"), F.regexp_extract("_metadata.file_path", r"service=([^/]+)/feature=([^/]+)/", 2).alias("feature"))
+    return scan.groupBy("service", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("a05_c02_flatten_traces", "conversations_", sql="""WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations)
+  select cast(a.conv_id as varchar) as root, a.role as host, case when a.n % 2 = 0 then 'start' else b.role end as parent_host, cast(a.turn as varchar) as start, case when a.n % 3 = 0 then null else cast(a.turn + 1 as varchar) end as stop
+  from t a left join t b on b.conv_id = a.conv_id and b.n = a.n - 1 and a.n % 2 = 1""")
+def _(turns):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    quote = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    stamp = lambda key, v: F.concat(F.lit(f',"{key}":{{"timestamp":"'), v.cast("string"), F.lit('"}'))
+    info = F.concat(F.lit('{"trace_id":"'), F.col("conv_id").cast("string"), F.lit('","parent_id":"p","info":{"host":'), F.regexp_extract(quote("role"), r'^\{"v":(.*)\}$', 1), F.lit(',"name":"turn"'), stamp("a-start", F.col("turn")), F.when(F.col("n") % 3 == 0, "").otherwise(stamp("a-stop", F.col("turn") + 1)), F.lit("}"))
+    spans = turns.withColumn("n", n).withColumn("info", info)
+    pairs = spans.groupBy("conv_id", F.floor(F.col("n") / 2).alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", "info"))).alias("s"))
+    inner = F.when(F.size("s") > 1, F.concat(F.get("s", F.lit(1))["info"], F.lit(',"children":[]}'))).otherwise("")
+    body = F.concat(F.get("s", F.lit(0))["info"], F.lit(',"children":['), inner, F.lit("]}"))
+    roots = pairs.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]), ",").alias("c"))
+    traces = roots.select(F.concat(F.lit('{"trace_id":"'), F.col("conv_id").cast("string"), F.lit('","children":['), "c", F.lit("]}")).alias("body"))
+    return joins.flatten_traces(traces, max_depth=2).select(F.col("trace_id").alias("root"), "host", "parent_host", "start", "stop")
+
+
+@query("a07_window_sink", "log_lines", sql=f"WITH {_SEGMENTS}, w AS (select bucket_ms as end_ts, row_number() over (partition by segment order by bucket_ms) as n from seg) select end_ts, row_number() over (order by end_ts) - 1 as window_id from w where n >= 10")
+def _(lines):
+    path = files.scratch(lines.sparkSession, "windows")
+    cut = series.windows(_segments(lines), [], "bucket_ms", ["bucket_ms"], 10)
+    files.write_table(files.number_windows(cut, ["end_ts"]), path)
+    return files.read_windows(lines.sparkSession, path).select("end_ts", "window_id")
+
+
+@query("a08_graph_sink", "span_chain", sql="WITH e AS (select distinct p.service_name as src, c.service_name as dst from span_chain c join span_chain p on c.trace_id = p.trace_id and c.parent_id = p.span_id where c.service_name <> p.service_name) select src, dst from e union select dst, src from e")
+def _(chain):
+    path = files.scratch(chain.sparkSession, "graph")
+    files.write_table(aggregates.service_graph(joins.span_edges(chain, [F.col("span_id")])), path)
+    return files.read_columns(chain.sparkSession, path, ["src", "dst"])
+
+
+@query("a09_materialize", "log_lines", sql=f"select ts_ms - ts_ms % {HOUR} as bucket_ms, service, level, count(*) as n from log_lines group by all")
+def _(lines):
+    spark, path = lines.sparkSession, files.scratch(lines.sparkSession, "counts")
+    build = lambda: aggregates.template_counts(lines, HOUR, "level")
+    built = [files.materialize(spark, path, [], build) for _ in range(2)]
+    return spark.read.parquet(path) if built == [True, False] else build().limit(0)
+
+
+@query("a10_append_run", "scored", sql="WITH c AS (select service, count(*) filter (y = 1 and p_cls > 0.5) as tp, count(*) filter (p_cls > 0.5) as pred, count(*) filter (y = 1) as actual from scored where service in ('svc1', 'svc2') group by 1) select service as run, round(case when pred = 0 then 0 else tp / pred end, 6) as precision, round(case when actual = 0 then 0 else tp / actual end, 6) as recall from c")
+def _(scored):
+    path = files.scratch(scored.sparkSession, "runs")
+    for run in ("svc1", "svc2"):
+        rows = scored.where(F.col("service") == run).withColumn("yhat", scoring.decide(F.col("p_cls")))
+        files.append_run(scoring.prf(rows, "y", "yhat").select(F.lit(run).alias("run"), r("precision"), r("recall")), path)
+    return scored.sparkSession.read.parquet(path)

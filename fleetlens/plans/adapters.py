@@ -24,6 +24,7 @@ ADAPTERS = {
     ),
     "span_chain": "select conv_id trace_id, turn span_id, turn-1 parent_id, role service_name, 0 start_ms, 0 end_ms, 'OK' status_code from conversations",
     "label_events": f"select event_id idx, 'svc'||(user_id%10) service, '['||{_FAULT}||']' anomaly_type, MS(ts) st_ms, MS(ts) + cast(floor(value) as bigint)*1000 ed_ms from events where event_type='error'",
+    "conversations_": "select conv_id, turn, role from conversations",
     "scored": "select l.doc_id window_id, 'svc'||(l.doc_id%10) service, l.toxic y, (d.n_chars%997)/cast(997 as double) p_cls, cast(d.n_chars as double) energy from labels l join documents d on l.doc_id=d.doc_id",
     "doc_lines": "select doc_id, source service, lang level, text payload from documents",
     "service_host": "select distinct 'svc'||(user_id%10) service, '10.0.0.'||(user_id%4) ip from events where user_id%10 = user_id%20",

@@ -75,7 +75,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     """A6, A7, A8. A table, a window data set or a graph as files, by partition if given; CSV has a header."""
     writer = df.write.mode(mode).format(form)
     if form == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", "\"")  # quotes doubled, as the tolerant reader expects
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
@@ -117,3 +117,12 @@ def _newest(spark: SparkSession, path: str) -> int | None:
 def append_run(df: DataFrame, path: str) -> None:
     """A10. Append the row of a run (its parameters and metrics) to a table; new columns may appear later."""
     df.write.mode("append").option("mergeSchema", True).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or in the system's temp folder."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
