@@ -132,7 +132,10 @@ def score_documents(docs: DataFrame, model: RuleModel, threshold: float = THRESH
     the rules give those. Columns with the names of the result or of the statistics are replaced.
     """
     base = common.drop_clashing(docs, ["score", "predicted", *STATISTICS])
-    scored = base.select("*", *(c.alias(n) for n, c in statistics(F.col("text")).items())).withColumn("score", model.score()).drop(*STATISTICS)
+    # Generated rather than projected: a later filter on the score then cannot be pushed below, which would
+    # compute the statistics again for every condition of every rule
+    measured = base.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in statistics(F.col("text")).items())))))
+    scored = measured.withColumn("score", model.score()).drop(*STATISTICS)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
