@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: Rows that Spark hands to a Python worker at once, where the session has no number of its own: rows here are whole texts.
 BATCH_ROWS = 1000
 #: Text bytes that one step of a Python worker holds at a time; a longer text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
