@@ -73,4 +73,5 @@ def op9_token_files(spark, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "token-files")
     write_token_files(common.table(spark, sf_dir, "documents"), folder)
     stored = spark.read.parquet(folder).select("doc_id", "n_tokens", "token_ids", *_place())
-    return with_starts(with_checksums(stored)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read = common.materialize(with_checksums(stored), "token-sums")  # small, and read twice for the starts
+    return with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
