@@ -36,6 +36,8 @@ from .bytesvec import LOWER, U, Words, bytes_of, factor, mix, windows
 WIDTH, GROUPS, PER_GROUP = 5, 14, 2
 #: Members of all sets of a tile's two sides, about
 TILE_MEMBERS = (100_000, 400_000)
+#: Cells of a matrix that a tile's task holds at a time, about
+TILE_CELLS = 1 << 24
 HASHES = 2 * GROUPS * PER_GROUP
 _RANDOM = np.random.default_rng(20240229)
 _MASKS = _RANDOM.integers(0, 2**64, HASHES, dtype=U)
@@ -190,19 +192,22 @@ def tile_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return empty
         x_sizes, y_sizes = xs["members"].map(len).to_numpy(), ys["y_members"].map(len).to_numpy()
         x_all, y_all = np.concatenate(xs["members"].tolist()), np.concatenate(ys["y_members"].tolist())
-        names, counts = np.unique(y_all, return_counts=True)
-        names = np.intersect1d(names[counts > 1], x_all)  # a member that one class alone has is in no other
+        names = _shared_names(x_all, np.repeat(xs["u"].to_numpy(), x_sizes), y_all, np.repeat(ys["v"].to_numpy(), y_sizes))
         if not len(names):
             return empty
-        y_matrix, out = _matrix(y_all, y_sizes, names), []
-        for at in range(0, len(xs), 64):
-            part = slice(at, at + 64)
-            sizes = x_sizes[part]
-            begin = x_sizes[:at].sum()
-            shared = _matrix(x_all[begin : begin + sizes.sum()], sizes, names) @ y_matrix.T
-            alike = (100 + percent) * shared >= percent * (sizes[:, None] + y_sizes[None, :])
-            alike &= xs["label"].to_numpy()[part][:, None] != ys["y_label"].to_numpy()[None, :]
-            out.extend((xs["u"].iat[at + a], ys["v"].iat[b]) for a, b in zip(*np.nonzero(alike)))
+        x_bounds, y_bounds = (np.concatenate([[0], np.cumsum(s)]) for s in (x_sizes, y_sizes))
+        rows, out = max(1, TILE_CELLS // len(names)), []
+        for y_at in range(0, len(ys), rows):
+            y_part = slice(y_at, y_at + rows)
+            y_some = y_sizes[y_part]
+            y_matrix = _matrix(y_all[y_bounds[y_at] : y_bounds[y_at + len(y_some)]], y_some, names)
+            for at in range(0, len(xs), min(rows, 64)):
+                part = slice(at, at + min(rows, 64))
+                sizes = x_sizes[part]
+                shared = (_matrix(x_all[x_bounds[at] : x_bounds[at + len(sizes)]], sizes, names) @ y_matrix.T).astype(np.int64)
+                alike = (100 + percent) * shared >= percent * (sizes[:, None] + y_some[None, :])
+                alike &= xs["label"].to_numpy()[part][:, None] != ys["y_label"].to_numpy()[y_part][None, :]
+                out.extend((xs["u"].iat[at + a], ys["v"].iat[y_at + b]) for a, b in zip(*np.nonzero(alike)))
         return pd.DataFrame(out, columns=["u", "v"], dtype=object) if out else empty
 
     x = x.join(sets.select(F.col("set_key").alias("u"), "members"), "u")
@@ -210,6 +215,15 @@ def tile_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.groupBy("key", "i", "j").cogroup(y.groupBy("y_key", "y_i", "y_j")).applyInPandas(compare, "u binary, v binary")
 
 
+def _shared_names(x_all: np.ndarray, x_owner: np.ndarray, y_all: np.ndarray, y_owner: np.ndarray) -> np.ndarray:
+    """Members that a set of x and another set of y hold: those of both sides, but for what one set alone holds on both."""
+    x_names, x_at, x_counts = np.unique(x_all, return_index=True, return_counts=True)
+    y_names, y_at, y_counts = np.unique(y_all, return_index=True, return_counts=True)
+    names, i, j = np.intersect1d(x_names, y_names, assume_unique=True, return_indices=True)
+    own = (x_counts[i] == 1) & (y_counts[j] == 1) & (x_owner[x_at[i]] == y_owner[y_at[j]])
+    return names[~own]
+
+
 def _matrix(members: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Which of ``names`` each set holds, as 0 and 1."""
     out = np.zeros((len(sizes), len(names)), np.float32)

@@ -96,3 +96,21 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 40), (50, 50)], "u long, v long")
     got = dict(near_dedup.components(links).collect())
     assert got == {**{i: 1 for i in range(1, 31)}, 40: 40, 41: 40, 50: 50}
+
+
+def test_links_across_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE_MEMBERS", (60, 90))
+    monkeypatch.setattr(near_dedup, "TILE_CELLS", 200)
+    rng = random.Random(7)
+    sets = {}
+    for i in range(12):  # pairs that share members of their own besides those of the whole group
+        own = {1000 * i + k for k in range(14)}
+        for side in "xy":
+            sets[f"{side}{i}".encode()] = set(rng.sample(range(30), 22)) | own | {1000 * i + 100 + ord(side)}
+    sets |= {f"m{i}".encode(): set(range(30)) - {i} for i in range(8)}
+    label = {k: b"main" if k[:1] == b"m" else k for k in sets}
+    left = spark.createDataFrame([(bytearray(k), bytearray(label[k]), len(s), 1) for k, s in sets.items()], "set_key binary, label binary, size long, key long")
+    held = spark.createDataFrame([(bytearray(k), sorted(s)) for k, s in sets.items()], "set_key binary, members array<long>")
+    got = {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in near_dedup.tile_links(left, held, 75).collect()}
+    wanted = {frozenset((a, b)) for a in sets for b in sets if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(wanted) > 4 and got == wanted
