@@ -31,10 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes its words, to the nearest whole copy."""
-    mixed = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
-    taken = docs.join(mixed.where("copies > 0"), docs.doc_id.eqNullSafe(mixed.mixed_id))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The blocks of words that the mix takes, as rows of the documents that they are of."""
+    return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

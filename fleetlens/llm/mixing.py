@@ -126,6 +126,26 @@ def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: in
     return slots.withColumn("block", permuted_udf(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("rank", turn, F.lit(seed)))).drop("blocks")
 
 
+def drawn_pieces(docs: DataFrame, block_words: int, weights: tuple[int, ...], most: int, per_shard: int, seed: int, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents' places in the streams of their sources, and their pieces in blocks with the slots of each.
+
+    A piece has ``first`` (words of the document before it), ``words`` and ``times``; ``extra`` columns of
+    ``docs`` pass through.
+    """
+    sizes = common.materialize(docs.select("doc_id", "source", *extra, word_count().alias("size")), "sizes")
+    sources = common.materialize(source_targets(sizes, weights, most), "targets")
+    drawn = draw_slots(sources, block_words, per_shard, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    streams = with_running_sum(sizes, [F.col("source").isNull(), F.col("source"), F.col("doc_id"), F.col("size"), *map(F.col, extra)], "size", "at")
+    placed = streams.join(F.broadcast(sources) if sources.count() <= 1000 else sources, streams.source.eqNullSafe(sources.source)).select("doc_id", streams.source, *extra, "size", "source_size", "target", "rank", (F.col("at") - F.col("source_start")).alias("at"))
+    placed = common.materialize(placed, "placed")
+    block = F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)))
+    pieces = placed.where("size > 0").select("*", block.alias("block"))
+    begin = F.greatest(F.col("block") * block_words, F.col("at"))
+    words = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size")) - begin
+    pieces = pieces.join(drawn, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return placed, pieces.withColumn("first", begin - F.col("at")).withColumn("words", words)
+
+
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEAT, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken.
 
@@ -134,20 +154,33 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...
     the document's words in the mix, repeats counted: the words of its blocks times the slots of each. Other
     columns are not returned; an empty table gives an empty result. Reruns agree.
     """
-    sizes = common.materialize(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
-    sources = common.materialize(source_targets(sizes, weights, most), "targets")
-    drawn = draw_slots(sources, block_words, per_shard, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    streams = with_running_sum(sizes, [F.col("source").isNull(), F.col("source"), F.col("doc_id"), F.col("size")], "size", "at")
-    placed = streams.join(F.broadcast(sources) if sources.count() <= 1000 else sources, streams.source.eqNullSafe(sources.source)).select("doc_id", streams.source, "size", "source_size", "target", "rank", (F.col("at") - F.col("source_start")).alias("at"))
-    placed = common.materialize(placed, "placed")
-    block = F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)))
-    pieces = placed.where("size > 0").select("*", block.alias("block"))
-    words = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size")) - F.greatest(F.col("block") * block_words, F.col("at"))
-    taken = pieces.join(drawn, ["rank", "block"], "left").groupBy("rank", "at", "doc_id", "source", "size", "source_size", "target").agg(F.sum(words * F.coalesce("times", F.lit(0))).alias("taken"))
+    placed, pieces = drawn_pieces(docs, block_words, weights, most, per_shard, seed)
+    taken = pieces.groupBy("rank", "at", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEAT, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> DataFrame:
+    """The texts of the mix, with the columns of ``docs``: together exactly the words that ``mix`` calls taken.
+
+    Copy number c of a document is made of its blocks that have c slots or more, a row for each run of
+    neighbouring blocks: the text itself if that is all of it, otherwise the run's words with the white space
+    that follows each. The other columns are the document's own.
+    """
+    numbered = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    _, pieces = drawn_pieces(numbered, block_words, weights, most, per_shard, seed, ("_row",))
+    copies = pieces.where("times > 0").select("_row", "block", "first", "words", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    run = F.col("block") - F.row_number().over(Window.partitionBy("_row", "copy").orderBy("block"))
+    runs = copies.withColumn("run", run).groupBy("_row", "copy", "run").agg(F.min("first").alias("first"), F.sum("words").alias("n"), F.first("size").alias("size"))
+    runs = runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("copy", "first", "n"))).alias("_runs"), F.first("size").alias("_size"))
+    whole = F.transform("_runs", lambda r: F.col("text"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = lambda w, r: F.when(r["n"] == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(w, (r["first"] + 1).cast("int"), r["n"].cast("int")), ""))
+    parts = F.transform(F.array(words), lambda w: F.transform("_runs", lambda r: cut(w, r)))[0]  # so that a text is split once
+    texts = F.when(F.forall("_runs", lambda r: r["n"] == F.col("_size")), whole).otherwise(parts)
+    return numbered.join(runs, "_row").withColumn("text", F.explode(texts)).select(*docs.columns)
+
+
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words that the mix takes of it."""
     return mix(common.table(spark, sf_dir, "documents")).drop("source")

@@ -1,3 +1,6 @@
+from collections import Counter
+import random
+
 import corpus_pipeline
 from fleetlens.llm import common, near_dedup, mixing
 from .conftest import SMALL
@@ -23,3 +26,24 @@ def test_stages_take_effect(spark):
         assert abs(ids[4].count(i) - (r["taken"] / r["size"] if r["size"] else 0)) <= 0.5
     last = corpus_pipeline.run(spark, SMALL)
     assert sorted(r["doc_id"] for r in last.select("doc_id").collect()) == sorted(ids[4])
+
+
+def test_mix_emits_the_words_it_takes(spark):
+    rng = random.Random(3)
+    sizes = [("hot", 900 if i % 2 else 40) for i in range(60)] + [(f"s{i % 20}", 500 + i) for i in range(40)] + [("tiny", 90), (None, 300)]
+    rows = [(i, "".join(f"{i}w{k}{rng.choice([' ', chr(10), '  '])}" for k in range(n)), "en", s) for i, (s, n) in enumerate(sizes)] + [(500, "", "en", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.mix_sources(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    texts, emitted, long_words = {r[0]: r[1] for r in rows}, Counter(), 0
+    for r in out.collect():
+        assert r["text"] and r["text"] in texts[r["doc_id"]]
+        emitted[r["doc_id"]] += len(r["text"].split())
+        long_words += len(r["text"].split()) if r["source"] == "hot" and r["doc_id"] % 2 else 0
+    by_source, targets = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        assert emitted[r["doc_id"]] == r["taken"]
+        by_source[r["source"]] += emitted[r["doc_id"]]
+        targets[r["source"]] = r["target"]
+    assert all(abs(by_source[s] - t) <= 2 * mixing.BLOCK_WORDS for s, t in targets.items())
+    assert targets["hot"] < 0.1 * 30 * 940 and long_words > 0.5 * targets["hot"]
