@@ -1,15 +1,15 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-The model's words are the most frequent ones of the whole corpus: all with at least the least count that
-leaves a bounded number of them. All others are one unknown word. Pairs of neighbouring words are counted over all documents in a table that is partitioned by
-the hash of the pair. Each document's pairs are exploded with their counts and joined to that table:
+Every word of the corpus counts as itself, by its hash. Pairs of neighbouring words are counted over all
+documents in a table that is partitioned by the hash of the pair. Each document's pairs are exploded with
+their counts and joined to that table:
 
     S(word | before) = count(before, word) / count(before)    if the pair was seen twice or more,
                        0.4 * count(word) / all words          otherwise,
 
-and the logarithms are summed per document. Counts of single words fit a broadcast, as they are bounded by
-the vocabulary; pairs are never broadcast, and one that a third of all documents hold is pre-aggregated
-before it is shuffled and split by the join.
+and the logarithms are summed per document. Counts of the most frequent words, a bounded number of them, are
+broadcast; those of all others are joined by shuffle, as no rare word is hot. Pairs are never broadcast, and
+one that a third of all documents hold is pre-aggregated before it is shuffled and split by the join.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesvec import LOWER, U, Words, bytes_of
+from .bytesvec import LOWER, U, Words, bytes_of, mix
 
-#: Words that have a number of their own; UNKNOWN and START follow them, and SPAN numbers make a pair's key.
+#: Words whose counts are broadcast: they have numbers, UNKNOWN and START follow them; other words go by their hash.
 MOST_WORDS, SPAN = 65_534, 65_536
 BACKOFF, LEAST_COUNT = 0.4, 2
 
@@ -63,65 +63,82 @@ class Vocabulary:
         self.unknown = self.total - int(self.counts.sum())
 
 
-def pairs_of(texts: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, pair, times) of each text's distinct pairs; the first word follows START."""
+def pairs_of(texts: pa.Array, hashes: np.ndarray, merge: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, pair, before, word, times) of each text's distinct pairs; the first word follows START.
+
+    A word is its number if it is one of ``hashes``, otherwise its hash, or UNKNOWN if others are to ``merge``.
+    """
     words, bounds = _word_hashes(texts)
+    others = np.full(len(words), SPAN - 2) if merge else words.view(np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-        numbers = np.where(hashes[at] == words, at, SPAN - 2)
+        numbers = np.where(hashes[at] == words, at, others)
     else:
-        numbers = np.full(len(words), SPAN - 2)
+        numbers = others
     before = np.concatenate([[SPAN - 1], numbers[:-1]]) if len(words) else numbers
     firsts = bounds[:-1][np.diff(bounds) > 0]
     before[firsts] = SPAN - 1
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    keys, times = np.unique((owner.astype(U) << U(32)) | (before.astype(U) << U(16)) | numbers.astype(U), return_counts=True)
-    return (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64), times.astype(np.int64)
+    pairs = mix(before.view(U) * U(0x9FB21C651E98DF25) + numbers.view(U)).view(np.int64)
+    order = np.lexsort((pairs, owner))
+    owner, pairs = owner[order], pairs[order]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])])) if len(pairs) else np.zeros(0, np.int64)
+    return owner[new], pairs[new], before[order][new], numbers[order][new], np.diff(np.append(new, len(pairs)))
 
 
-def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_COUNT, backoff: float = BACKOFF) -> DataFrame:
+def backoff_scores(docs: DataFrame, most_words: int | None = None, least: int = LEAST_COUNT, backoff: float = BACKOFF) -> DataFrame:
     """One row per doc_id of ``docs`` (doc_id, text): doc_id, n_words, n_backed_off, log_score, mean_log_score.
 
-    Words are runs without white space, A-Z lower-cased. Rows that repeat a doc_id (or have none) are scored
-    as one document, each text from its own start. Without words the scores are 0. Other columns are not
-    returned; an empty table gives an empty result.
+    Words are runs without white space, A-Z lower-cased. With ``most_words``, all but the most frequent words
+    are one. Rows that repeat a doc_id (or have none) are scored as one document, each text from its own
+    start. Without words the scores are 0. Other columns are not returned; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
     texts = docs.select("doc_id", "text")
     counts = common.materialize(word_counts(texts), "word-counts")
-    vocabulary = Vocabulary(counts, min(most_words, MOST_WORDS))
+    merge = most_words is not None
+    vocabulary = Vocabulary(counts, min(most_words, MOST_WORDS) if merge else MOST_WORDS)
     hashes = spark.sparkContext.broadcast(vocabulary.hashes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, batch.column("text")):
-                _, pairs, times = pairs_of(part.column("text"), hashes.value)
-                pairs, which = np.unique(pairs, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(which, times, len(pairs)).astype(np.int64))], names=["pair", "n"])
+                _, pairs, before, _, times = pairs_of(part.column("text"), hashes.value, merge)
+                pairs, at, which = np.unique(pairs, return_index=True, return_inverse=True)
+                n = np.bincount(which, times, len(pairs)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(before[at]), pa.array(n)], names=["pair", "before", "n"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, batch.column("text")):
-                owner, pairs, times = pairs_of(part.column("text"), hashes.value)
+                owner, pairs, _, words, times = pairs_of(part.column("text"), hashes.value, merge)
                 n = len(part)  # and a row for each text, so that those without words stay
-                owner, pairs, times = np.append(owner, np.arange(n)), np.append(pairs, np.full(n, -1)), np.append(times, np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(pairs), pa.array(times)], names=["doc_id", "pair", "times"])
+                owner, pairs, words, times = np.append(owner, np.arange(n)), np.append(pairs, np.full(n, -1)), np.append(words, np.full(n, SPAN - 1)), np.append(times, np.zeros(n, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(pairs), pa.array(words), pa.array(times)], names=["doc_id", "pair", "word", "times"])
 
-    pairs = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = common.materialize(pairs, "pair-counts")
-    starts = pairs.where(F.col("pair") >= (SPAN - 1) * SPAN).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = texts.mapInArrow(count, "pair long, before long, n long").groupBy("pair").agg(F.first("before").alias("before"), F.sum("n").alias("n"))
+    seen = common.materialize(pairs.where(F.col("n") >= least), "pair-counts")
+    starts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
     numbers = [*range(len(vocabulary.counts)), SPAN - 2, SPAN - 1]
     singles = F.broadcast(spark.createDataFrame(list(zip(numbers, map(float, [*vocabulary.counts, vocabulary.unknown, starts]))), "number long, n_single double"))
+    others = counts.select(F.col("word").alias("number"), F.col("n").cast("double").alias("n_single"))
+    numbered = lambda c: F.col(c).between(0, SPAN - 1)
 
-    known = pairs.where(F.col("n") >= least).join(singles, F.shiftright("pair", 16) == F.col("number")).select("pair", F.log(F.col("n") / F.col("n_single")).alias("known"))
-    known = common.materialize(known, "pair-scores")
-    exploded = texts.mapInArrow(explode, "doc_id long, pair long, times long")
-    found = exploded.join(known, "pair", "left").join(singles, F.col("pair").bitwiseAND(SPAN - 1) == F.col("number"), "left")
+    known = seen.where(numbered("before")).join(singles, F.col("before") == F.col("number")).unionByName(seen.where(~numbered("before")).join(others, F.col("before") == F.col("number")))
+    known = common.materialize(known.select("pair", F.log(F.col("n") / F.col("n_single")).alias("known")), "pair-scores")
+    exploded = texts.mapInArrow(explode, "doc_id long, pair long, word long, times long")
+    found = exploded.join(known, "pair", "left").join(singles, F.col("word") == F.col("number"), "left")
     alone = F.log(F.lit(backoff) * F.col("n_single") / F.lit(float(max(vocabulary.total, 1))))
-    score = F.when(F.col("pair") >= 0, F.col("times") * F.coalesce("known", alone)).otherwise(0.0)
-    missed = F.when((F.col("pair") >= 0) & F.col("known").isNull(), F.col("times")).otherwise(0)
-    summed = found.groupBy("doc_id").agg(F.sum("times").alias("n_words"), F.sum(missed).alias("n_backed_off"), F.sum(score).alias("log_score"))
+    score = F.when(F.col("times") > 0, F.col("times") * F.coalesce("known", alone)).otherwise(0.0)
+    missed = F.when(F.col("known").isNull(), F.col("times")).otherwise(0)
+    # Words whose counts are still to be joined keep rows of their own
+    rare = F.when(F.col("known").isNull() & ~numbered("word"), F.col("word")).alias("rare")
+    summed = found.groupBy("doc_id", rare).agg(F.sum("times").alias("times"), F.sum(missed).alias("missed"), F.sum(score).alias("score"))
+    summed = common.materialize(summed, "sums")
+    joined = summed.where("rare IS NOT NULL").join(others, F.col("rare") == F.col("number")).select("doc_id", "times", "missed", (F.col("times") * alone).alias("score"))
+    summed = summed.where("rare IS NULL").select("doc_id", "times", "missed", "score").unionByName(joined)
+    summed = summed.groupBy("doc_id").agg(F.sum("times").alias("n_words"), F.sum("missed").alias("n_backed_off"), F.sum("score").alias("log_score"))
     return summed.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 

@@ -44,3 +44,14 @@ def test_words_beyond_the_vocabulary_are_one(spark):
     got = {r["doc_id"]: r for r in ngram_lm.backoff_scores(docs, most_words=1).collect()}
     renamed = brute_force(["a a a u u", "a u u", "u"])
     assert got[1]["log_score"] == pytest.approx(renamed[0][2]) and got[2]["log_score"] == pytest.approx(renamed[1][2]) and got[None]["log_score"] == pytest.approx(renamed[2][2])
+
+
+@pytest.mark.parametrize("broadcast", [0, 2])
+def test_words_that_are_not_broadcast_count_as_themselves(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ngram_lm, "MOST_WORDS", broadcast)
+    texts = ["a a a b c", "a b d d e", "x y", "q c d e", "x y z", "", "a a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ngram_lm.backoff_scores(docs).collect()}
+    for i, (n, missed, score) in enumerate(brute_force(texts)):
+        assert (got[i]["n_words"], got[i]["n_backed_off"]) == (n, missed)
+        assert got[i]["log_score"] == pytest.approx(score, abs=1e-9)
