@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bytesvec import bytes_of, range_hashes
+from .bytesvec import bytes_of, range_hashes, same_ranges
 
 #: Fragments a worker keeps at most, and the longest of them in bytes: together some 150 MB.
 KEPT_FRAGMENTS, KEPT_BYTES = 600_000, 48
@@ -105,9 +105,14 @@ class FragmentEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin."""
         at = self.cuts(data, offsets)
-        _, first, which = np.unique(range_hashes(data, at[:-1], at[1:]), return_index=True, return_inverse=True)
+        starts, sizes = at[:-1], np.diff(at)
+        _, first, which = np.unique(range_hashes(data, starts, at[1:]), return_index=True, return_inverse=True)
+        # Fragments of one hash share ids only if their bytes are equal; any other is encoded by itself
+        other = np.flatnonzero((sizes[first][which] != sizes) | ~same_ranges(data, starts, starts[first][which], sizes))
+        which[other] = len(first) + np.arange(len(other))
+        first = np.append(first, other)
         raw = data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(at[:-1][first].tolist(), at[1:][first].tolist())]
+        distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), at[1:][first].tolist())]
         found = self._ids_of(distinct)
         flat = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4

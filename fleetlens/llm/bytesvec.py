@@ -1,20 +1,22 @@
 """Words, lines and hashes of many texts at once, over the UTF-8 bytes of an Arrow string column.
 
 White space is the six bytes 0x20 and 0x09 to 0x0D, which never occur inside a longer UTF-8 sequence, so
-all of it works on bytes. Hashes have 64 bits: equal sequences have equal hashes, and unequal ones differ
-but for chances of about 2**-64 a pair.
+all of it works on bytes. Hashes have 64 bits: equal sequences have equal hashes, and unequal ones, unless
+they were constructed with these constants in hand, differ but for chances of about 2**-64 a pair.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Ranges beyond so many bytes are hashed one by one.
+LONG_RANGE = 64
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,21 +47,39 @@ def factor(position: int) -> np.uint64:
     return mix(np.array([position + 1], U))[0] | U(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=U)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range, from one running sum of a polynomial."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A hash of the bytes of each range: eight bytes at a time, each step a bijection of the state; blake2b for long ones."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U) * U(0x9E3779B97F4A7C15) + U(77))
+    eights, todo, at = _eights(data), np.flatnonzero((sizes > 0) & (sizes <= LONG_RANGE)), 0
+    while len(todo):
+        left = sizes[todo] - at
+        out[todo] = mix((out[todo] * U(0xD1342543DE82EF95)) ^ (eights[starts[todo] + at] & _LOW_BYTES[np.minimum(left, 8)]))
+        at += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(sizes > LONG_RANGE).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_ranges(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ``sizes`` bytes from ``starts`` on are those from ``others`` on."""
+    same, eights, todo, at = np.ones(len(starts), bool), _eights(data), np.flatnonzero((sizes > 0) & (starts != others)), 0
+    while len(todo) and at < LONG_RANGE:
+        left = sizes[todo] - at
+        alike = (eights[starts[todo] + at] ^ eights[np.minimum(others[todo] + at, len(data))]) & _LOW_BYTES[np.minimum(left, 8)] == 0
+        same[todo] = alike
+        at += 8
+        todo = todo[(left > 8) & alike]
+    for i in todo.tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], data[others[i] : others[i] + sizes[i]])
+    return same
 
 
 class Words:
@@ -102,6 +122,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def sums_between(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, np.int64)
+    """Sums of small numbers, no larger in all than a text has bytes."""
+    total = np.zeros(len(values) + 1, np.int32 if len(values) < 1 << 31 else np.int64)
     np.cumsum(values, out=total[1:])
-    return total[ends] - total[starts]
+    return (total[ends] - total[starts]).astype(np.int64)
