@@ -1,15 +1,23 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Every word of the corpus counts as itself, by its hash. Pairs of neighbouring words are counted over all
-documents in a table that is partitioned by the hash of the pair. Each document's pairs are exploded with
-their counts and joined to that table:
+Every word of the corpus counts as itself, by its hash, at every size. Pairs of neighbouring words are
+counted over all documents, and each document's pairs are exploded and meet their counts:
 
     S(word | before) = count(before, word) / count(before)    if the pair was seen twice or more,
                        0.4 * count(word) / all words          otherwise,
 
-and the logarithms are summed per document. Counts of the most frequent words, a bounded number of them, are
-broadcast; those of all others are joined by shuffle, as no rare word is hot. Pairs are never broadcast, and
-one that a third of all documents hold is pre-aggregated before it is shuffled and split by the join.
+and the logarithms are summed per document. The scored texts are the corpus itself, so a pair that was seen
+once was seen in the text being scored, which is no evidence for it: that is why two are asked for
+(``LEAST_COUNT``).
+
+A score is a sum over words, of log(0.4 * count(word) / all words), and over known pairs, of what a pair adds
+to that. Both are joined by how frequent the words are:
+
+- pairs of the ``HEAD`` most frequent words (at most ``HEAD ** 2`` and thus few) are counted before any shuffle
+  and their scores are broadcast, so a pair that a third of all documents hold is never shuffled;
+- any other pair is seen at most all words / ``HEAD`` times. These are dealt out by the hash of the pair, and
+  what occurs once goes no further;
+- counts of the ``MOST_WORDS`` most frequent words are broadcast, those of all others are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -18,21 +26,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .bytesvec import LOWER, U, Words, bytes_of, mix
 
-#: Words whose counts are broadcast: they have numbers, UNKNOWN and START follow them; other words go by their hash.
-MOST_WORDS, SPAN = 65_534, 65_536
+#: Words whose counts are broadcast: they have numbers by falling count, UNKNOWN and START follow them; others go by their hash.
+MOST_WORDS, SPAN = 262_142, 1 << 18
+#: Of these, the words whose pairs are broadcast, with UNKNOWN and START.
+HEAD = 1022
 BACKOFF, LEAST_COUNT = 0.4, 2
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, none of them a number below ``SPAN`` and none negative, and where each text's begin."""
     data, offsets = bytes_of(texts)
     words = Words(LOWER[data], offsets)
-    return words.hashes(), words.bounds
+    return (words.hashes() >> U(1)) | (U(1) << U(62)), words.bounds
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -48,97 +59,169 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent words by hash, in order of their numbers, and the counts of all numbers."""
+    """The frequent words by falling count, and the counts of all numbers."""
 
-    def __init__(self, counts: DataFrame, most: int = MOST_WORDS):
+    def __init__(self, counts: DataFrame, starts: int, most: int = MOST_WORDS, merge: bool = False):
         # The least count above which there are at most so many words: from how many words have each count, so
         # no task sorts all words and no more than the vocabulary comes to the driver
         sizes = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n"))))
         least = sizes.where(F.col("above") <= most).agg(F.min("n")).first()[0]
-        top = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).toPandas()
+        top = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).toPandas().sort_values(["n", "word"], ascending=[False, True])
         self.total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        hashes = top["word"].to_numpy(np.int64).view(U) if len(top) else np.zeros(0, U)
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], top["n"].to_numpy(np.int64)[order] if len(top) else np.zeros(0, np.int64)
-        self.unknown = self.total - int(self.counts.sum())
+        hashes, self.counts, self.merge = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), merge
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        #: Of every number, UNKNOWN and START included
+        self.singles = np.ones(SPAN)
+        self.singles[: len(self.counts)] = self.counts
+        self.singles[SPAN - 2 :] = max(1, self.total - int(self.counts.sum())), max(1, starts)
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """A word's number, otherwise its hash, or UNKNOWN if others are to merge."""
+        words = words.view(np.int64)
+        others = np.full(len(words), SPAN - 2) if self.merge else words
+        if not len(self.hashes):
+            return others
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.order[at], others)
+
+    def neighbours(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """(text, before, word) of all words; before the first word of a text stands START."""
+        hashes, bounds = _word_hashes(texts)
+        words = self.numbers(hashes)
+        before = np.concatenate([[SPAN - 1], words[:-1]]) if len(words) else words
+        before[bounds[:-1][np.diff(bounds) > 0]] = SPAN - 1
+        return np.repeat(np.arange(len(texts)), np.diff(bounds)), before, words
+
+
+def in_head(number: np.ndarray) -> np.ndarray:
+    return (number < HEAD) | ((number >= SPAN - 2) & (number < SPAN))
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of equal rows, and how often each occurs; rows are ordered by the first key, then the second."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
+
+
+def _head_pairs(texts: DataFrame, vocabulary, least: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pairs of head words that were seen ``least`` times or more, and what each adds to a score."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, batch.column("text")):
+                _, before, words = vocabulary.value.neighbours(part.column("text"))
+                both = in_head(before) & in_head(words)
+                codes, n = np.unique(before[both] * SPAN + words[both], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-def pairs_of(texts: pa.Array, hashes: np.ndarray, merge: bool = False) -> tuple[np.ndarray, ...]:
-    """(text, pair, before, word, times) of each text's distinct pairs; the first word follows START.
-
-    A word is its number if it is one of ``hashes``, otherwise its hash, or UNKNOWN if others are to ``merge``.
-    """
-    words, bounds = _word_hashes(texts)
-    others = np.full(len(words), SPAN - 2) if merge else words.view(np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-        numbers = np.where(hashes[at] == words, at, others)
-    else:
-        numbers = others
-    before = np.concatenate([[SPAN - 1], numbers[:-1]]) if len(words) else numbers
-    firsts = bounds[:-1][np.diff(bounds) > 0]
-    before[firsts] = SPAN - 1
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    pairs = mix(before.view(U) * U(0x9FB21C651E98DF25) + numbers.view(U)).view(np.int64)
-    order = np.lexsort((pairs, owner))
-    owner, pairs = owner[order], pairs[order]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])])) if len(pairs) else np.zeros(0, np.int64)
-    return owner[new], pairs[new], before[order][new], numbers[order][new], np.diff(np.append(new, len(pairs)))
+    counted = texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= least).toPandas().sort_values("code")  # at most (HEAD + 2) ** 2
+    codes, n, singles = found["code"].to_numpy(np.int64), found["n"].to_numpy(float), vocabulary.value.singles
+    return codes, np.log(n / singles[codes // SPAN]) - np.log(backoff * singles[codes % SPAN] / max(1, vocabulary.value.total))
 
 
 def backoff_scores(docs: DataFrame, most_words: int | None = None, least: int = LEAST_COUNT, backoff: float = BACKOFF) -> DataFrame:
     """One row per doc_id of ``docs`` (doc_id, text): doc_id, n_words, n_backed_off, log_score, mean_log_score.
 
-    Words are runs without white space, A-Z lower-cased. With ``most_words``, all but the most frequent words
-    are one. Rows that repeat a doc_id (or have none) are scored as one document, each text from its own
-    start. Without words the scores are 0. Other columns are not returned; an empty table gives an empty result.
+    Words are runs without white space, A-Z lower-cased; ``n_backed_off`` counts those whose pair was seen less
+    than ``least`` times. With ``most_words``, all but the most frequent words are one. Rows that repeat a
+    doc_id (or have none) are scored as one document, each text from its own start. Null and empty texts have no words
+    and scores of 0. Other columns are not returned; an empty table gives an empty result. Texts are read in slices
+    of about a megabyte; a longer text is a slice of its own, and needs some 20 bytes of memory a byte.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
     texts = docs.select("doc_id", "text")
     counts = common.materialize(word_counts(texts), "word-counts")
+    starts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
     merge = most_words is not None
-    vocabulary = Vocabulary(counts, min(most_words, MOST_WORDS) if merge else MOST_WORDS)
-    hashes = spark.sparkContext.broadcast(vocabulary.hashes)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(counts, starts, min(most_words, MOST_WORDS) if merge else MOST_WORDS, merge))
+    head = spark.sparkContext.broadcast(_head_pairs(texts, vocabulary, least, backoff))
+    total = float(max(1, vocabulary.value.total))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text with what is known of it here, and one for each of its words that has no number."""
         for batch in batches:
             for part in common.slices(batch, batch.column("text")):
-                _, pairs, before, _, times = pairs_of(part.column("text"), hashes.value, merge)
-                pairs, at, which = np.unique(pairs, return_index=True, return_inverse=True)
-                n = np.bincount(which, times, len(pairs)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(before[at]), pa.array(n)], names=["pair", "before", "n"])
+                known, (codes, gains) = vocabulary.value, head.value
+                owner, before, words = known.neighbours(part.column("text"))
+                n = len(part)
+                numbered = words < SPAN
+                score = np.bincount(owner[numbered], np.log(backoff * known.singles[words[numbered]] / total), n)
+                pairs = before * SPAN + words
+                both = in_head(before) & in_head(words)
+                at = np.minimum(np.searchsorted(codes, pairs[both]), max(0, len(codes) - 1))
+                hit = codes[at] == pairs[both] if len(codes) else np.zeros(len(at), bool)
+                score += np.bincount(owner[both][hit], gains[at[hit]], n)
+                seen = np.bincount(owner[both][hit], minlength=n)
+                rare, times = _distinct(owner[~numbered], words[~numbered])
+                of = np.append(np.arange(n), owner[~numbered][rare])
+                fill = lambda values, rest: pa.array(np.append(values, np.full(len(rare), rest)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array(of)),
+                        fill(np.bincount(owner, minlength=n), 0),
+                        fill(seen, 0),
+                        fill(score, 0.0),
+                        pa.array(np.append(np.zeros(n, np.int64), words[~numbered][rare]), mask=np.arange(n + len(rare)) < n),
+                        pa.array(np.append(np.zeros(n, np.int64), times).astype(np.int64)),
+                    ],
+                    names=["doc_id", "n_words", "n_known", "score", "rare", "times"],
+                )
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's distinct pairs beyond the head. Pairs of numbers are their own key, others have a hash and what it stands for."""
         for batch in batches:
             for part in common.slices(batch, batch.column("text")):
-                owner, pairs, _, words, times = pairs_of(part.column("text"), hashes.value, merge)
-                n = len(part)  # and a row for each text, so that those without words stay
-                owner, pairs, words, times = np.append(owner, np.arange(n)), np.append(pairs, np.full(n, -1)), np.append(words, np.full(n, SPAN - 1)), np.append(times, np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(pairs), pa.array(words), pa.array(times)], names=["doc_id", "pair", "word", "times"])
-
-    pairs = texts.mapInArrow(count, "pair long, before long, n long").groupBy("pair").agg(F.first("before").alias("before"), F.sum("n").alias("n"))
-    seen = common.materialize(pairs.where(F.col("n") >= least), "pair-counts")
-    starts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
-    numbers = [*range(len(vocabulary.counts)), SPAN - 2, SPAN - 1]
-    singles = F.broadcast(spark.createDataFrame(list(zip(numbers, map(float, [*vocabulary.counts, vocabulary.unknown, starts]))), "number long, n_single double"))
-    others = counts.select(F.col("word").alias("number"), F.col("n").cast("double").alias("n_single"))
-    numbered = lambda c: F.col(c).between(0, SPAN - 1)
-
-    known = seen.where(numbered("before")).join(singles, F.col("before") == F.col("number")).unionByName(seen.where(~numbered("before")).join(others, F.col("before") == F.col("number")))
-    known = common.materialize(known.select("pair", F.log(F.col("n") / F.col("n_single")).alias("known")), "pair-scores")
-    exploded = texts.mapInArrow(explode, "doc_id long, pair long, word long, times long")
-    found = exploded.join(known, "pair", "left").join(singles, F.col("word") == F.col("number"), "left")
-    alone = F.log(F.lit(backoff) * F.col("n_single") / F.lit(float(max(vocabulary.total, 1))))
-    score = F.when(F.col("times") > 0, F.col("times") * F.coalesce("known", alone)).otherwise(0.0)
-    missed = F.when(F.col("known").isNull(), F.col("times")).otherwise(0)
-    # Words whose counts are still to be joined keep rows of their own
-    rare = F.when(F.col("known").isNull() & ~numbered("word"), F.col("word")).alias("rare")
-    summed = found.groupBy("doc_id", rare).agg(F.sum("times").alias("times"), F.sum(missed).alias("missed"), F.sum(score).alias("score"))
-    summed = common.materialize(summed, "sums")
-    joined = summed.where("rare IS NOT NULL").join(others, F.col("rare") == F.col("number")).select("doc_id", "times", "missed", (F.col("times") * alone).alias("score"))
-    summed = summed.where("rare IS NULL").select("doc_id", "times", "missed", "score").unionByName(joined)
-    summed = summed.groupBy("doc_id").agg(F.sum("times").alias("n_words"), F.sum("missed").alias("n_backed_off"), F.sum("score").alias("log_score"))
+                owner, before, words = vocabulary.value.neighbours(part.column("text"))
+                tail = ~(in_head(before) & in_head(words))
+                owner, before, words = owner[tail], before[tail], words[tail]
+                rare = (before >= SPAN) | (words >= SPAN)
+                hashed = mix(mix(before.view(U)) * U(0x9FB21C651E98DF25) + words.view(U)).view(np.int64) | np.int64(-(1 << 63))
+                keys = np.where(rare, hashed, before * SPAN + words)
+                at, times = _distinct(owner, keys)
+                plain = ~rare[at]
+                of = pa.StructArray.from_arrays([pa.array(before[at]), pa.array(words[at])], names=["before", "word"], mask=pa.array(plain))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner[at])), pa.array(keys[at]), pa.array(times.astype(np.int32)), of], names=["doc_id", "pair", "times", "of"])
+
+    alone = common.materialize(texts.mapInArrow(single, "doc_id long, n_words long, n_known long, score double, rare long, times long"), "words")
+    exploded = texts.mapInArrow(explode, "doc_id long, pair long, times int, of struct<before:long,word:long>")
+    seen = F.sum("times").over(Window.partitionBy("pair"))  # at most all words / HEAD rows of a pair
+    known = exploded.withColumn("n", seen).where(F.col("n") >= least)
+    before = F.coalesce("of.before", F.shiftright("pair", SPAN.bit_length() - 1))
+    word = F.coalesce("of.word", F.col("pair").bitwiseAND(SPAN - 1))
+    numbers = np.append(np.arange(len(vocabulary.value.counts)), [SPAN - 2, SPAN - 1])
+    singles = spark.createDataFrame(pa.table({"number": numbers, "log_single": np.log(vocabulary.value.singles[numbers])}))
+    of = lambda name: F.broadcast(singles.select(F.col("number").alias(f"is_{name}"), F.col("log_single").alias(f"log_{name}")))
+    share = float(np.log(backoff / total))
+    known = known.select("doc_id", "times", "n", before.alias("before"), word.alias("word"))
+    known = known.join(of("before"), F.col("before") == F.col("is_before"), "left").join(of("word"), F.col("word") == F.col("is_word"), "left")
+    # What a pair adds, as far as its words' counts are at hand: the others are owed
+    gain = F.log("n") - share - F.coalesce("log_before", F.lit(0.0)) - F.coalesce("log_word", F.lit(0.0))
+    owed = lambda name: F.when(F.col(f"log_{name}").isNull(), F.col(name))
+    known = known.groupBy("doc_id", owed("before").alias("owed_before"), owed("word").alias("owed_word")).agg(F.sum("times").alias("n_known"), F.sum(F.col("times") * gain).alias("score"))
+    known = common.materialize(known, "pairs")
+
+    def part(frame: DataFrame, score: Column, n_words: Column = F.lit(0), n_known: Column = F.lit(0)) -> DataFrame:  # noqa: B008
+        return frame.select("doc_id", n_words.cast("long").alias("n_words"), n_known.cast("long").alias("n_known"), score.alias("score"))
+
+    debts = alone.where("rare IS NOT NULL").select("doc_id", F.col("rare").alias("owed"), "times", (F.col("times") * share).alias("plain"))
+    for name in ("before", "word"):
+        owing = known.where(F.col(f"owed_{name}").isNotNull()).select("doc_id", F.col(f"owed_{name}").alias("owed"), (-F.col("n_known")).alias("times"), F.lit(0.0).alias("plain"))
+        debts = debts.unionByName(owing)
+    debts = debts.groupBy("doc_id", "owed").agg(F.sum("times").alias("times"), F.sum("plain").alias("plain"))
+    paid = debts.join(counts, debts.owed == counts.word)
+    parts = (
+        part(alone.where("rare IS NULL"), F.col("score"), F.col("n_words"), F.col("n_known"))
+        .unionByName(part(known, F.col("score"), n_known=F.col("n_known")))
+        .unionByName(part(paid, F.col("plain") + F.col("times") * F.log("n")))
+    )
+    summed = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), (F.sum("n_words") - F.sum("n_known")).alias("n_backed_off"), F.sum("score").alias("log_score"))
     return summed.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
 
 

@@ -53,11 +53,44 @@ def test_few_rows_and_none(spark):
     assert found(frame.limit(0)) == {}
 
 
-def test_adaptive_scan_keeps_the_nearest():
+def test_adaptive_scan_keeps_the_nearest_and_abandons_others():
     rng = np.random.default_rng(2)
-    vectors = rng.normal(size=(3000, 65))
-    misses = 0
-    for query in rng.normal(size=(20, 65)):
-        wanted = np.argsort(((vectors - query) ** 2).sum(1))[:21]
-        misses += len(set(wanted) - set(vector_search.adaptive_scan(query, vectors, 21)))
-    assert misses <= 0.02 * 20 * 21
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors, queries = unit(rng.normal(size=(3000, 65))), unit(rng.normal(size=(20, 65)))
+    distances = ((vectors[None] - queries[:, None]) ** 2).sum(2)
+    bounds = np.sort(distances, axis=1)[:, 40]
+    q, v, read = vector_search.adaptive_scan(queries, vectors, bounds, slack=2.5)
+    assert read < 0.6 * 20 * vectors.size
+    found = set(zip(q.tolist(), v.tolist()))
+    assert all(distances[i, j] <= bounds[i] + 1e-6 for i, j in found)
+    wanted = {(i, j) for i in range(20) for j in np.argsort(distances[i])[:21].tolist()}
+    assert len(wanted - found) <= 0.02 * len(wanted)
+    assert len(vector_search.adaptive_scan(queries, vectors, np.full(20, np.inf))[0]) == 60_000
+
+
+def test_large_and_small_numbers(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 6))
+    for factor in (1e150, 1e-150):
+        rows = [(i, (v * factor).tolist()) for i, v in enumerate(vectors)]
+        wanted, got = brute_force(range(60), vectors * factor), found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in wanted.items()}
+    rows = [(i, [x * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1) for x in v.tolist()]) for i, v in enumerate(vectors)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert set(got) == {0, 20, 40} and all(len(near) == 20 for near in got.values())
+
+
+def test_lists_of_few_vectors_are_not_enough(spark):
+    far = np.zeros((200, 4))
+    far[:, 0] = np.arange(200) % 100 * 10.0 + 1
+    far[:, 1] = np.where(np.arange(200) % 100 < 50, 300.0, -300.0)
+    rows = [(i, v.tolist()) for i, v in enumerate(far)] + [(1000, [0.0, 0.0, 1.0, 5000.0])]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert all(len(near) == 20 for near in got.values()) and 1000 in got
+
+
+def test_share_of_dimensions_read(spark):
+    table = common.table(spark, SMALL.replace("sf0.001", "sf0.1"), "embeddings")
+    reads = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    vector_search.search(table, reads=reads).collect()
+    assert 0 < reads[0].value < 0.7 * reads[1].value
