@@ -121,6 +121,25 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     return total[np.cumsum(inside)[:n] > 0], np.concatenate([[0], np.cumsum(counts)])
 
 
+def lines_of(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+    """The lines (split at \\n) that hold a word: their text's number, first and last byte, first word and that after their last."""
+    breaks = np.flatnonzero(data == 0x0A)
+    starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
+    starts = starts[starts < len(data)]
+    ends = np.append(starts[1:], len(data))
+    ends = np.where((ends > starts) & (data[ends - 1] == 0x0A), ends - 1, ends)
+    lo, hi = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
+    has = hi > lo
+    starts, ends, lo, hi = starts[has], ends[has], lo[has], hi[has]
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends, lo, hi
+
+
+def seen_before(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which items are equal to an earlier one of the same owner."""
+    _, first, which = np.unique(mix(hashes ^ mix(owner.astype(U))), return_index=True, return_inverse=True)
+    return first[which] != np.arange(len(hashes))
+
+
 def sums_between(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of small numbers, no larger in all than a text has bytes."""
     total = np.zeros(len(values) + 1, np.int32 if len(values) < 1 << 31 else np.int64)

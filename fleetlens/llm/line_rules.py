@@ -4,6 +4,11 @@ A linear-chain conditional random field with two states, boilerplate (0) and con
 shares computed from each line. Viterbi decoding labels all lines of a document together; the document
 stays if at least half of its words stand in content lines, and if it passes two plain rules (20 words or
 more; at most 30 % of the words in 8-word passages that repeat within the document).
+
+The field learns from lines. Those of labelled documents count as boilerplate where they show it (symbols,
+capitals, numbers, echoes, copies of earlier lines, navigation) and as content elsewhere; a document of bad
+quality none of whose lines shows anything is boilerplate as a whole. So weights, and how often a label
+changes from line to line, come from both kinds of documents and from those that mix the two.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bytesvec import Words, bytes_of, mix, range_hashes, sums_between, windows
+from .bytesvec import Words, bytes_of, lines_of, mix, range_hashes, seen_before, sums_between, windows
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH, MIN_CONTENT = 20, 30, 8, 0.5
-#: Labelled documents that the field is fitted on at most, and the lines of each that fitting reads at most.
-FIT_DOCUMENTS, FIT_LINES = 1500, 128
+#: Labelled documents that the field is fitted on at most, and the lines of a chain into which fitting cuts their lines.
+FIT_DOCUMENTS, CHAIN_LINES = 1500, 128
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -53,19 +58,9 @@ class Field:
 
 def line_table(data: np.ndarray, offsets: np.ndarray, words: Words, hashes: np.ndarray):
     """Lines (split at \\n) that hold a word: their text's number, words, features and whether an earlier one is equal."""
-    breaks = np.flatnonzero(data == 0x0A)
-    starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
-    starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
-    ends = np.where((ends > starts) & (data[ends - 1] == 0x0A), ends - 1, ends)
-    lo, hi = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
-    has = hi > lo
-    starts, ends, lo, hi = starts[has], ends[has], lo[has], hi[has]
-    text = np.searchsorted(offsets, starts, side="right") - 1
+    text, starts, ends, lo, hi = lines_of(data, offsets, words)
     count = np.maximum(hi - lo, 1)
-    whole = range_hashes(data, starts, ends)
-    _, first, which = np.unique(mix(whole ^ mix(text.astype(np.uint64))), return_index=True, return_inverse=True)
-    copied = first[which] != np.arange(len(starts))
+    copied = seen_before(text, range_hashes(data, starts, ends))
     letters = np.maximum(sums_between(LETTER[data], starts, ends), 1)
     again = np.zeros(len(hashes), bool)
     again[1:] = hashes[1:] == hashes[:-1]
@@ -115,20 +110,40 @@ def viterbi(emissions: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> np.
     return labels
 
 
-def fit_field(features: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient steps, the two classes of documents weighing the same; a line has its document's label."""
-    if len(set(labels)) < 2:
+def shows_boilerplate(features: np.ndarray) -> np.ndarray:
+    """Lines of symbols, capitals, numbers or echoes, copies of earlier lines, and navigation: short, and without a stop."""
+    marks, upper, digits, repeats, copied, short, stops = features[:, 1:].T
+    return (marks > 0.3) | (upper > 0.5) | (digits > 0.5) | (repeats > 0.3) | (copied > 0) | ((short > 0) & (stops == 0))
+
+
+def line_labels(features: np.ndarray, quality: int) -> np.ndarray:
+    """What each line of a labelled document teaches: 0 for boilerplate, 1 for content."""
+    bad = shows_boilerplate(features)
+    if quality == 0 and not bad.any():
+        bad[:] = True
+    return (~bad).astype(int)
+
+
+def fit_field(documents: list[np.ndarray], qualities: list[int], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    """Maximum likelihood by gradient steps over the lines of labelled documents, the two qualities weighing the same.
+
+    Long documents are cut into chains of ``CHAIN_LINES`` lines, all of which are read.
+    """
+    labels = [line_labels(x, q) for x, q in zip(documents, qualities)]
+    if len({y for of in labels for y in of.tolist()}) < 2:
         return Field.all_content()
-    n, longest = len(features), max(map(len, features))
-    x = np.zeros((n, longest, len(FEATURES)))
-    alive = np.zeros((n, longest))
-    for i, f in enumerate(features):
-        x[i, : len(f)], alive[i, : len(f)] = f, 1
-    y = np.array(labels)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / alive.sum(1)
+    chains = [(i, at) for i, x in enumerate(documents) for at in range(0, len(x), CHAIN_LINES)]
+    n, longest = len(chains), min(CHAIN_LINES, max(map(len, documents)))
+    x, alive, y = np.zeros((n, longest, len(FEATURES))), np.zeros((n, longest)), np.zeros((n, longest), int)
+    share = np.zeros((n, 1))
+    for c, (i, at) in enumerate(chains):
+        f = documents[i][at : at + CHAIN_LINES]
+        x[c, : len(f)], alive[c, : len(f)], y[c, : len(f)] = f, 1, labels[i][at : at + CHAIN_LINES]
+        share[c] = 0.5 / qualities.count(qualities[i]) / len(documents[i])
+    follows = alive[:, 1:, None] * np.eye(4)[2 * y[:, :-1] + y[:, 1:]]
+    seen = (follows * share[:, None]).sum((0, 1)).reshape(2, 2)
     params = np.zeros(len(FEATURES) + 4)
     first, second = np.zeros_like(params), np.zeros_like(params)
-    same = np.stack([y == 0, y == 1], 1).astype(float)
     for step in range(1, steps + 1):
         weights, moves = params[: len(FEATURES)], params[len(FEATURES) :].reshape(2, 2)
         score = np.stack([np.zeros((n, longest)), x @ weights], 2)
@@ -146,9 +161,8 @@ def fit_field(features: list[np.ndarray], labels: list[int], steps: int = 150, r
             backward[:, t] = np.where(on > 0, shrunk, 0)
             pairs += np.exp(forward[:, t, :, None] + moves + ahead[:, None, :] - total[:, None, None]) * on[..., None]
         content = np.exp(forward[..., 1] + backward[..., 1] - total[:, None]) * alive
-        wanted = (y[:, None] - content) * alive * share[:, None]
-        seen = np.einsum("ni,nj->nij", same, same) * (alive.sum(1) - 1)[:, None, None]
-        slope = np.concatenate([np.einsum("nt,ntf->f", wanted, x), ((seen - pairs) * share[:, None, None]).sum(0).ravel()]) - decay * params
+        wanted = (y - content) * alive * share
+        slope = np.concatenate([np.einsum("nt,ntf->f", wanted, x), (seen - (pairs * share[:, :, None]).sum(0)).ravel()]) - decay * params
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         params += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return Field(params[: len(FEATURES)], params[len(FEATURES) :].reshape(2, 2))
@@ -157,7 +171,8 @@ def fit_field(features: list[np.ndarray], labels: list[int], steps: int = 150, r
 def field_from_labels(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> Field:
     """Fit on at most ``documents`` labelled documents, chosen by a hash of their ids (crc32 of the id mod 5 not 0).
 
-    Labels other than 0 and 1 and null ids teach nothing; of conflicting labels of an id the larger counts.
+    Labels other than 0 and 1 and null ids teach nothing, nor do documents without words; of conflicting labels of
+    an id the larger counts.
     """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
@@ -172,7 +187,7 @@ def field_from_labels(docs: DataFrame, labels: DataFrame, documents: int = FIT_D
             words = Words(data, offsets)
             text, _, features, _ = line_table(data, offsets, words, words.hashes())
             bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-            return [pa.array([features[a : min(b, a + FIT_LINES)].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())]
+            return [pa.array([features[a:b].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())]
 
         return compute
 

@@ -71,3 +71,36 @@ def test_windows_of_few_words_differ_by_order():
         every = list(itertools.product((0, 1), repeat=width))
         hashes = [windows(words[list(p)], np.array([0, width]), width)[0][0] for p in every]
         assert len(set(hashes)) == len(every)
+
+
+def test_header_and_footer_around_prose_are_labelled_apart(spark):
+    sf = SMALL.replace("sf0.001", "sf0.01")
+    field = line_rules.field_from_labels(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    header = ["Home | About | Contact | Help", "Log in * Sign up * Basket", "NEWS | SPORT | WEATHER"]
+    prose = ["The committee met on a cold morning in March and spoke for two hours about the bridge.", "Nobody could say who had paid for it, or when it would be open to the public again.", "In the end they went home without a vote."]
+    footer = ["### Terms ### Privacy ### Cookies ###", "NEWS | SPORT | WEATHER", "Share | Print | Save"]
+    docs = spark.createDataFrame([(1, "\n".join(header + prose * 1 + footer)), (2, "\n".join(prose)), (3, "\n".join(header + footer)), (4, "\n".join(prose + ["", "Site map"] + prose[:1]))], "doc_id long, text string")
+    labels = {r["doc_id"]: r["line_labels"] for r in line_rules.label_lines(docs, field).collect()}
+    assert labels[1] == [0] * 3 + [1] * 3 + [0] * 3
+    assert labels[2] == [1] * 3 and labels[3] == [0] * 6
+    assert labels[4][:3] == [1] * 3
+
+
+def test_some_documents_have_lines_of_both_kinds(spark):
+    sf = SMALL.replace("sf0.001", "sf0.01")
+    docs = common.table(spark, sf, "documents")
+    rows = line_rules.label_lines(docs, line_rules.field_from_labels(docs, common.table(spark, sf, "labels"))).collect()
+    assert sum(0 < sum(r["line_labels"]) < len(r["line_labels"]) for r in rows) > 0.02 * len(rows)
+
+
+def test_lines_beyond_the_first_chain_teach(monkeypatch):
+    rng = np.random.default_rng(8)
+    good = lambda n: np.column_stack([np.ones(n), rng.uniform(0, 0.1, n), rng.uniform(0, 0.1, n), np.zeros((n, 3)), np.zeros(n), np.ones(n)])
+    bad = lambda n: np.column_stack([np.ones(n), rng.uniform(0.6, 1, n), rng.uniform(0, 0.1, n), np.zeros((n, 3)), np.zeros(n), np.zeros(n)])
+    documents = [good(40) for _ in range(20)] + [np.vstack([good(30), bad(60)]) for _ in range(20)]
+    for chain in (16, 128):
+        monkeypatch.setattr(line_rules, "CHAIN_LINES", chain)
+        field = line_rules.fit_field(documents, [1] * 20 + [0] * 20)
+        x = np.vstack([good(10), bad(10), good(10)])
+        emissions = np.column_stack([np.zeros(30), x @ field.weights])
+        assert line_rules.viterbi(emissions, np.array([0, 30]), field.moves).tolist() == [1] * 10 + [0] * 10 + [1] * 10
