@@ -2,21 +2,24 @@
 
 A small forest is grown on a bounded sample of labelled documents; the paths of its trees become
 conjunctive rules (``marks_per_word <= 0.2 and distinct_share > 0.4``). A logistic regression with a lasso
-penalty weighs the rules, and the few that keep a weight are compiled into one Spark column expression, so
-scoring the corpus is a single scan without Python.
+penalty weighs the rules, and the few that keep a weight are compiled into one Spark column expression over
+the statistics, which are counted once for each text, over its bytes.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
+from .bytesvec import Words, bytes_of, lines_of, range_hashes, seen_before, sums_between
 
 #: Labelled rows that the rules are fitted on at most (the smallest by a hash of their ids)
 FIT_ROWS, TREES, DEPTH, LASSO, THRESHOLD, HELD_OUT = 10_000, 12, 3, 2e-4, 0.3, 5
@@ -24,24 +27,54 @@ FIT_ROWS, TREES, DEPTH, LASSO, THRESHOLD, HELD_OUT = 10_000, 12, 3, 2e-4, 0.3, 5
 STATISTICS = ("n_words", "word_length", "marks_per_word", "upper_share", "digit_share", "distinct_share", "echo_share", "copied_lines", "stops_per_word")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Expressions over the whole text; all are 0 for a null or empty text."""
-    text = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    words, lines = F.split(text, r"[ \t-\r]+"), F.split(text, "\n")
-    n_words, letters = count(r"[^ \t-\r]+"), F.greatest(F.length(text).cast("double"), F.lit(1.0))
-    per_word = lambda x: x / F.greatest(n_words, F.lit(1.0))
-    return {
-        "n_words": n_words,
-        "word_length": per_word(letters),
-        "marks_per_word": per_word(count(r"[#*$%&|<>!@^~=_{}\[\]\\]")),
-        "upper_share": count(r"\p{Lu}") / letters,
-        "digit_share": count("[0-9]") / letters,
-        "distinct_share": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
-        "echo_share": per_word(count(r"(?<![^ ])([^ \n]+)(?= \1(?:[ \n]|$))")),
-        "copied_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        "stops_per_word": per_word(count(r"[.?]")),
-    }
+
+
+def _bytes(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+MARKS, DIGITS, STOPS = _bytes("#*$%&|<>!@^~=_{}[]\\"), _bytes("0123456789"), _bytes(".?")
+UPPER = _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def statistics(texts: pa.Array) -> list[np.ndarray]:
+    """``STATISTICS`` of whole texts, in that order; all are 0 for a null or empty text.
+
+    Words are runs without white space, characters are code points; capitals are A-Z and those of U+00C0 to U+00DE;
+    an echo is a word equal to the one before; lines are those with a word, copied if equal to an earlier one.
+    """
+    data, offsets = bytes_of(texts)
+    words, starts, ends = Words(data, offsets), offsets[:-1], offsets[1:]
+    hashes, n_words = words.hashes(), words.counts()
+    owner = np.repeat(np.arange(len(texts)), n_words)
+    upper = UPPER[data]
+    upper[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    chars = sums_between((data < 0x80) | (data >= 0xC0), starts, ends)
+    times = lambda items: np.bincount(items, minlength=len(texts))
+    echo = np.zeros(len(hashes), bool)
+    echo[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    of_line, first, last, _, _ = lines_of(data, offsets, words)
+    copied = seen_before(of_line, range_hashes(data, first, last))
+    per_word, per_char = 1.0 / np.maximum(n_words, 1), 1.0 / np.maximum(chars, 1)
+    count = lambda kind: sums_between(kind[data], starts, ends)
+    return [
+        n_words.astype(float),
+        chars * per_word,
+        count(MARKS) * per_word,
+        sums_between(upper, starts, ends) * per_char,
+        count(DIGITS) * per_char,
+        times(owner[~seen_before(owner, hashes)]) * per_word,
+        times(owner[echo]) * per_word,
+        times(of_line[copied]) / np.maximum(times(of_line), 1),
+        count(STOPS) * per_word,
+    ]
+
+
+def with_statistics(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    fields = [T.StructField(n, T.DoubleType()) for n in STATISTICS]
+    return common.with_batch_columns(docs, "text", fields, lambda: lambda texts: [pa.array(x) for x in statistics(texts)], drop)
 
 
 @dataclass(frozen=True)
@@ -76,22 +109,26 @@ def _all(conditions: tuple[Condition, ...]) -> Column:
     return out
 
 
-def rules_of(debug: str, names: tuple[str, ...]) -> list[tuple[Condition, ...]]:
-    """Every path from a root to a leaf or inner node of a printed forest, each once, tightest bounds only."""
+def rules_of(roots: list, names: tuple[str, ...]) -> list[tuple[Condition, ...]]:
+    """Every path from one of the fitted trees' ``roots`` to a leaf or inner node, each once, tightest bounds only."""
     found: dict[tuple[Condition, ...], None] = {}
-    path: list[tuple[int, Condition]] = []
-    for line in debug.splitlines():
-        if m := re.match(r"( *)(If|Else) \(feature (\d+) (<=|>) (\S+)\)", line):
-            depth = len(m[1])
-            path = [p for p in path if p[0] < depth] + [(depth, Condition(names[int(m[3])], m[4] == ">", float(m[5])))]
+
+    def walk(node, path: tuple[Condition, ...]) -> None:
+        if path:
             tight: dict[tuple[str, bool], Condition] = {}
-            for _, c in path:
+            for c in path:
                 key = (c.name, c.above)
                 if key not in tight or (c.bound > tight[key].bound) == c.above:
                     tight[key] = c
             found[tuple(sorted(tight.values(), key=lambda c: (c.name, c.above)))] = None
-        elif " Tree " in line:
-            path = []
+        if node.subtreeDepth() > 0:
+            split = node.split()
+            name, bound = names[split.featureIndex()], float(split.threshold())
+            walk(node.leftChild(), (*path, Condition(name, False, bound)))
+            walk(node.rightChild(), (*path, Condition(name, True, bound)))
+
+    for root in roots:
+        walk(root, ())
     return list(found)
 
 
@@ -110,32 +147,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = T
         .groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(c.alias(n) for n, c in statistics(F.col("text")).items()))
-    sample = common.materialize(sample, "quality-sample").coalesce(4).sortWithinPartitions("doc_id").cache()
+    sample = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ("text",))
+    sample = common.materialize(sample, "quality-sample").coalesce(4).sortWithinPartitions("doc_id")
     classes = [r[0] for r in sample.select("quality").distinct().collect()]
     if len(classes) < 2:
         return RuleModel([], 0.0 if not classes else 4.6 if classes[0] else -4.6)
     ready = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(sample)
     forest = RandomForestClassifier(labelCol="quality", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=seed).fit(ready)
-    rules = rules_of(forest.toDebugString, STATISTICS)
+    rules = rules_of([tree._call_java("rootNode") for tree in forest.trees], STATISTICS)
     held = sample.select("quality", *(_all(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
     ready = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held)
     model = LogisticRegression(labelCol="quality", elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=60).fit(ready)
-    sample.unpersist()
     return RuleModel([(r, w) for r, w in zip(rules, model.coefficients.toArray().tolist()) if w], model.intercept)
 
 
-def score_documents(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ``threshold`` on).
 
-    Every row is scored by its whole text alone; a null or empty text has all statistics 0 and the score that
-    the rules give those. Columns with the names of the result or of the statistics are replaced.
+    Every row is scored by its whole text alone, so ties and repeated rows score alike; a null or empty text has all
+    statistics 0 and the score that the rules give those. Columns with the names of the result or of the statistics
+    are replaced, columns named in ``drop`` left out. An empty table stays empty. Texts are read in slices of about a
+    megabyte; a longer text is a slice of its own, and needs some 20 bytes of memory a byte.
     """
-    base = common.drop_clashing(docs, ["score", "predicted", *STATISTICS])
-    # Generated rather than projected: a later filter on the score then cannot be pushed below, which would
-    # compute the statistics again for every condition of every rule
-    measured = base.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in statistics(F.col("text")).items())))))
-    scored = measured.withColumn("score", model.score()).drop(*STATISTICS)
+    scored = with_statistics(common.drop_clashing(docs, ["score", "predicted"]), drop).withColumn("score", model.score()).drop(*STATISTICS)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -143,4 +177,4 @@ def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every document's score."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score_documents(docs, model, drop=("text",)).select("doc_id", held_out().alias("held_out"), "score", "predicted")

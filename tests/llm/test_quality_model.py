@@ -1,3 +1,8 @@
+import math
+import re
+
+import pytest
+
 from fleetlens.llm import common, quality_model
 from .conftest import EDGES, SMALL
 
@@ -29,7 +34,77 @@ def test_no_labels_or_one_class(spark, edge_docs):
     assert {r["predicted"] for r in quality_model.score_documents(edge_docs, quality_model.fit(edge_docs, ones)).collect()} == {1}
 
 
-def test_rules_of_a_printed_forest():
-    text = "RandomForest\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 2.0)\n     If (feature 1 > 0.5)\n      Predict: 1.0\n     Else (feature 1 <= 0.5)\n      Predict: 0.0\n    Else (feature 0 > 2.0)\n     Predict: 0.0\n"
+class Node:
+    """A fitted tree's node as Spark shows it; a leaf without arguments."""
+
+    def __init__(self, feature=None, bound=None, left=None, right=None):
+        self.feature, self.bound, self.left, self.right = feature, bound, left, right
+
+    def subtreeDepth(self):  # noqa: N802
+        return 0 if self.feature is None else 1 + max(self.left.subtreeDepth(), self.right.subtreeDepth())
+
+    def split(self):
+        return self
+
+    def featureIndex(self):  # noqa: N802
+        return self.feature
+
+    def threshold(self):
+        return self.bound
+
+    def leftChild(self):  # noqa: N802
+        return self.left
+
+    def rightChild(self):  # noqa: N802
+        return self.right
+
+
+def test_rules_of_trees():
     c = quality_model.Condition
-    assert set(quality_model.rules_of(text, ("a", "b"))) == {(c("a", False, 2.0),), (c("a", False, 2.0), c("b", True, 0.5)), (c("a", False, 2.0), c("b", False, 0.5)), (c("a", True, 2.0),)}
+    roots = [Node(0, 2.0, Node(1, 0.5, Node(), Node()), Node()), Node(0, 3.0, Node(0, 2.0, Node(), Node()), Node())]
+    rules = quality_model.rules_of(roots, ("a", "b"))
+    assert set(rules) == {(c("a", False, 2.0),), (c("a", False, 2.0), c("b", True, 0.5)), (c("a", False, 2.0), c("b", False, 0.5)), (c("a", True, 2.0),), (c("a", False, 3.0),), (c("a", False, 3.0), c("a", True, 2.0)), (c("a", True, 3.0),)}
+
+
+def plain_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = max(1, len(words)), max(1, len(text))
+    upper = sum("A" <= x <= "Z" or "\xc0" <= x <= "\xde" and x != "\xd7" for x in text)
+    return {
+        "n_words": len(words),
+        "word_length": len(text) / n,
+        "marks_per_word": sum(x in "#*$%&|<>!@^~=_{}[]\\" for x in text) / n,
+        "upper_share": upper / chars,
+        "digit_share": sum(x in "0123456789" for x in text) / chars,
+        "distinct_share": len(set(words)) / n,
+        "echo_share": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "copied_lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
+        "stops_per_word": sum(x in ".?" for x in text) / n,
+    }
+
+
+def plain_score(model, stats):
+    total = model.intercept
+    for conditions, weight in model.rules:
+        if all((stats[c.name] > c.bound) == c.above for c in conditions):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_statistics_and_scores_against_plain_python(spark, edge_docs):
+    sf = SMALL.replace("sf0.001", "sf0.01")
+    docs = common.table(spark, sf, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, common.table(spark, sf, "labels"))
+    assert model.rules
+    for frame in (docs, edge_docs.select("doc_id", "text")):
+        stats = {r["doc_id"]: r for r in quality_model.with_statistics(frame).collect()}
+        scored = {r["doc_id"]: r for r in quality_model.score_documents(frame, model).collect()}
+        for r in frame.collect():
+            wanted = plain_statistics(r["text"])
+            for name, value in wanted.items():
+                assert stats[r["doc_id"]][name] == pytest.approx(value, abs=1e-12), (name, r["text"])
+            exact = {name: stats[r["doc_id"]][name] for name in wanted}
+            assert scored[r["doc_id"]]["score"] == pytest.approx(plain_score(model, exact), abs=1e-9)
+            assert scored[r["doc_id"]]["predicted"] == int(scored[r["doc_id"]]["score"] >= 0.3)
