@@ -150,12 +150,15 @@ def encoder_of(spec: str) -> FragmentEncoder:
     return _ENCODERS[key]
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids", end_id: int | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids", end_id: int | None = None, drop: tuple[str, ...] = (), decoded: str | None = None) -> DataFrame:
     """Add ``ids`` (array of int): each whole text as the tokenizers library encodes it, without special tokens.
 
     ``path``: a byte-level tokenizer's JSON file, read on the driver. A null or empty text has no ids;
     ``end_id``, if given, is appended to every text's. Every row is encoded by itself, so ties and repeated
-    rows stay as they are; a column already named ``ids`` is replaced; an empty table stays empty.
+    rows stay as they are; columns already named as the new ones are replaced; an empty table stays empty. A worker
+    holds about a megabyte of texts at a time; a longer text is encoded by itself, in some 25 bytes of memory a byte.
+
+    ``decoded``: add a column of this name with what the ids stand for, as ``decode`` does, in the same pass.
     """
     spec = df.sparkSession.sparkContext.broadcast(common.file_text(path or common.tokenizer_path()))
 
@@ -167,11 +170,15 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
             if end_id is not None:
                 flat = np.insert(flat, starts[1:], end_id)
                 starts = starts + np.arange(len(starts))
-            return [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))]
+            out = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))]
+            if decoded:
+                out.append(pa.array([encoder.decode(flat[a:b].tolist()) for a, b in zip(starts.tolist(), starts[1:].tolist())], pa.string()))
+            return out
 
         return compute
 
-    return common.with_batch_columns(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, drop)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    return common.with_batch_columns(df, text, fields, make, drop)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -196,7 +203,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "token_ids", text:
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_or_empty().alias("text"))
-    both = decode(encode(docs, drop=("text",)))
+    both = encode(docs, drop=("text",), decoded="decoded")
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
