@@ -13,31 +13,55 @@ from fleetlens.llm import bpe, common, line_rules, mixing, near_dedup, quality_m
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject, all columns as they are.
+
+    Every row is judged by its whole text alone, however long, so ties and repeated rows meet the same fate; a null or empty text
+    has all statistics 0 and stays or goes by the rules for those. Ids that are null have no label but are
+    judged like others. Columns may have any names. An empty table stays empty.
+    """
     model = quality_model.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality_model.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    judged = quality_model.score_documents(common.packed(docs, "text"), model)
+    return common.unpacked(judged.where("predicted = 1"), docs.columns, "text")
 
 
 def keep_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the plain rules and hold content in at least half of their words."""
+    """Documents that pass the plain rules and hold content in at least half of their words, all columns as they are.
+
+    Every row is judged by its whole text alone, however long, so ties and repeated rows meet the same fate; a null or empty text has
+    no words and goes. Null ids are judged like others. Columns may have any names. An empty table stays empty.
+    """
     field = line_rules.field_from_labels(docs, common.table(spark, sf_dir, "labels"))
-    return line_rules.with_verdict(line_rules.label_lines(docs, field)).where("kept").select(*docs.columns)
+    judged = line_rules.with_verdict(line_rules.label_lines(common.packed(docs, "text"), field))
+    return common.unpacked(judged.where("kept"), docs.columns, "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    """One document of each near-duplicate component, that with the smallest id (null last), all columns as they are.
+
+    Whole texts are compared, however long. Of rows that repeat id and text one stays; ties of ids go by a hash of the text. Texts that
+    are null or without words are like no other and all stay. Columns may have any names. An empty table stays empty.
+    """
+    return near_dedup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The blocks of words that the mix takes, as rows of the documents that they are of."""
+    """The blocks of words that the mix takes, as rows of the documents that they are of; but for the text, all columns as they are.
+
+    A null source is the last source. Rows that repeat an id, or have none, are documents like any other, and
+    tied ones stand in the order of their sizes and places. Texts without words are never taken; a long one is taken by its
+    blocks. Columns may have any names. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document of the mix, with digests of the ids and of what they decode to."""
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", common.text_or_empty().alias("text")), drop=("text",)))
+    """doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256 of every row of the mix.
+
+    Every row is encoded by itself, its whole text, however long, so repeated rows and ties give equal rows; a null or empty text has no
+    ids and the digests of the empty string. Null ids and sources stay null; other columns are not returned. An empty
+    table gives an empty result.
+    """
+    both = bpe.encode(docs.select("doc_id", "source", common.text_or_empty().alias("text")), drop=("text",), decoded="decoded")
     return both.select(
         "doc_id",
         "source",

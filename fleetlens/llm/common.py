@@ -56,6 +56,18 @@ def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def packed(df: DataFrame, *kept: str) -> DataFrame:
+    """``df`` as the columns ``kept`` and one more, ``_row``, that holds all others, so that no name of theirs can clash."""
+    others = [c for c in df.columns if c not in kept]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
+    return df.select(*kept, row.alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *kept: str) -> DataFrame:
+    """The reverse of ``packed``: ``columns`` in their order and nothing else."""
+    return df.select(*[F.col(c) if c in kept else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -165,20 +165,23 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
 
     Copy number c of a document is made of its blocks that have c slots or more, a row for each run of
     neighbouring blocks: the text itself if that is all of it, otherwise the run's words with the white space
-    that follows each. The other columns are the document's own.
+    that follows each. The other columns are the document's own, whatever their names. Rows without words are
+    never taken; rows that repeat a doc_id, or have none, are documents like any other.
     """
-    numbered = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    _, pieces = drawn_pieces(numbered, block_words, weights, most, per_shard, seed, ("_row",))
-    copies = pieces.where("times > 0").select("_row", "block", "first", "words", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
-    run = F.col("block") - F.row_number().over(Window.partitionBy("_row", "copy").orderBy("block"))
-    runs = copies.withColumn("run", run).groupBy("_row", "copy", "run").agg(F.min("first").alias("first"), F.sum("words").alias("n"), F.first("size").alias("size"))
-    runs = runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("copy", "first", "n"))).alias("_runs"), F.first("size").alias("_size"))
+    kept = ("doc_id", "source", "text")
+    numbered = common.materialize(common.packed(docs, *kept).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    _, pieces = drawn_pieces(numbered, block_words, weights, most, per_shard, seed, ("_place",))
+    copies = pieces.where("times > 0").select("_place", "block", "first", "words", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    run = F.col("block") - F.row_number().over(Window.partitionBy("_place", "copy").orderBy("block"))
+    runs = copies.withColumn("run", run).groupBy("_place", "copy", "run").agg(F.min("first").alias("first"), F.sum("words").alias("n"), F.first("size").alias("size"))
+    runs = runs.groupBy("_place").agg(F.sort_array(F.collect_list(F.struct("copy", "first", "n"))).alias("_runs"), F.first("size").alias("_size"))
     whole = F.transform("_runs", lambda r: F.col("text"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = lambda w, r: F.when(r["n"] == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(w, (r["first"] + 1).cast("int"), r["n"].cast("int")), ""))
     parts = F.transform(F.array(words), lambda w: F.transform("_runs", lambda r: cut(w, r)))[0]  # so that a text is split once
     texts = F.when(F.forall("_runs", lambda r: r["n"] == F.col("_size")), whole).otherwise(parts)
-    return numbered.join(runs, "_row").withColumn("text", F.explode(texts)).select(*docs.columns)
+    out = numbered.join(runs, "_place").withColumn("text", F.explode(texts))
+    return common.unpacked(out, docs.columns, *kept)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -124,11 +124,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     Two documents are linked if 100 * shared >= ``percent`` * union over their sets; ``component_id`` is the
     smallest doc_id reachable. A null, empty or blank text has an empty set and is linked with nothing; a
     row without doc_id takes part as text but names no component. Rows that repeat a doc_id count as
-    documents of that id. Other columns are not returned. An empty table gives an empty result.
+    documents of that id. Other columns are not returned. An empty table gives an empty result. Texts are read in
+    slices of about a megabyte; a longer text is a slice of its own, and needs some 20 bytes of memory a byte.
     """
+    out = with_components(docs.select("doc_id", "text"), percent, width)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def with_components(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
+    """``docs`` without text, and with n_shingles, component_id and ``component``: a key of the component, null for an empty set."""
+    others = [c for c in docs.columns if c != "text"]
     source = docs.select("doc_id", "text")
     kinds = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("a", _longs()), T.StructField("b", _longs())]
-    signed = common.materialize(common.with_batch_columns(source, "text", kinds, lambda: lambda x: signature(x, width), ("text",)), "signed")
+    signed = common.materialize(common.with_batch_columns(docs, "text", kinds, lambda: lambda x: signature(x, width), ("text",)), "signed")
     classes = common.materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_shingles", "a", "b"))), "classes")
 
     # Tables of those keys alone that several classes have
@@ -164,10 +172,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
 
     ends = common.materialize(classes.select("set_key", "first_id").join(labels, classes.set_key == labels.node, "left").select("set_key", "first_id", F.coalesce("label", "set_key").alias("label")), "ends")
     names = common.materialize(ends.groupBy("label").agg(F.min("first_id").alias("component_id")), "names")
-    named = common.materialize(ends.join(names, "label").select("set_key", "component_id"), "named")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = common.materialize(ends.join(names, "label").select("set_key", "component_id", F.col("label").alias("component")), "named")
+    out = signed.select(*others, "n_shingles", "set_key").join(named, "set_key", "left").drop("set_key")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component that with the smallest doc_id, all columns as they are.
+
+    Ids that are null come last, ties go by a hash of the text, and of rows equal in both one stays. A text without
+    words is like no other, so all such rows stay. Every column is returned, whatever its name; an empty table
+    stays empty.
+    """
+    keyed = common.packed(docs, "doc_id", "text").withColumn("_key", F.xxhash64("text"))
+    placed = with_components(keyed.select("doc_id", "text", "_key"), percent, width)
+    placed = placed.withColumn("_alone", F.when(F.col("component").isNull(), F.struct("doc_id", "_key")))
+    counted = placed.groupBy("component", "_alone", "doc_id", "_key").agg(F.count("*").alias("n"))
+    best = counted.groupBy("component", "_alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "n")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best._key").alias("_of"), F.when(F.col("component").isNull(), 1).otherwise(F.col("best.n")).alias("_n"))
+    best = common.materialize(best, "stay")
+    met = lambda some: keyed.join(some, keyed.doc_id.eqNullSafe(some._id) & (keyed._key == some._of), "left_semi")
+    out, repeated = met(best.where("_n = 1")), best.where("_n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(met(repeated).dropDuplicates(["doc_id", "_key"]))
+    return common.unpacked(out, docs.columns, "doc_id", "text")
 
 
 def tile_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
