@@ -1,7 +1,7 @@
 r"""Chat formatting in Spark expressions alone.
 
-A conversation's turns are sorted as one array of structs, neighbours of the same role are merged by an
-array aggregation, and the result is concatenated::
+A conversation's turns are sorted as one array of structs, runs of neighbours of the same role are found by
+comparing neighbours and merged as slices of the array, and the result is concatenated::
 
     <turn:ROLE>TEXT</turn>\n            one block for each run of turns of a role
     <turn:ROLE>TEXT<+>TEXT</turn>\n     with <+> between the merged texts
@@ -9,10 +9,15 @@ array aggregation, and the result is concatenated::
 Control strings need ``<`` and ``>``, and neither is left inside a role or text: ``\`` is written ``\\``,
 ``<`` as ``\l`` and ``>`` as ``\g``, which can be read back without loss. The loss mask is a list of spans
 (code points of the formatted string) that hold the assistant's texts and nothing else.
+
+Arrays are never grown turn by turn, and texts are never counted off from the beginning for each span, so the
+work is about proportional to a conversation's length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from . import common
 
 OPEN, SPLIT, CLOSE = "<turn:", "<+>", "</turn>\n"
 ASSISTANT = "assistant"
+#: Sizes that are summed up in one go, and code points of the shortest pieces that a text is cut into to be read by spans
+CHUNK, PIECE = 128, 4096
 
 
 def escape(text: Column) -> Column:
@@ -34,17 +41,39 @@ def unescape(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _merged(turns: Column) -> Column:
     """Runs of neighbouring turns of a role as array<struct<role, texts>>."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
 
-    def add(acc: Column, turn: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))))
-        fresh = F.concat(acc, F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == turn["role"]), grown).otherwise(fresh)
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: ~F.get(t, i)["role"].eqNullSafe(F.get(t, i - 1)["role"]))
+        run = lambda at, s, k: F.slice(t, s + 1, F.coalesce(F.get(at, k + 1), F.size(t)) - s)
+        return _let(starts, lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s)["role"].alias("role"), F.transform(run(at, s, k), lambda x: x["text"]).alias("texts"))))
+
+    return _let(turns, runs)
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each number the sum of those before it: chunk by chunk, after the sums of the chunks before."""
+    none = F.array().cast("array<bigint>")
+
+    def summed(numbers: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), none.alias("sums"))
+        return F.aggregate(numbers, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums")), lambda acc: acc["sums"])
 
-    return F.aggregate(turns, empty, add)
+    def chunked(given: Column) -> Column:
+        count = F.ceil(F.size(given) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(given, c * CHUNK + 1, CHUNK))
+
+    def total(chunks: Column) -> Column:
+        every = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        return _let(summed(every, F.lit(0).cast("bigint")), lambda starts: F.flatten(F.transform(chunks, lambda c, i: summed(c, F.get(starts, i)))))
+
+    return _let(sizes, lambda given: _let(chunked(given), total))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -52,7 +81,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Rows are sorted by turn (null first), then role and text, so ties have one order; repeated rows are turns
     of their own. A null text or role is empty. Rows without conv_id form one conversation without id. Other
-    columns are not returned; an empty table gives an empty result.
+    columns are not returned; an empty table gives an empty result. A conversation's text is one value, and so are
+    its turns: one executor holds the longest conversation several times over.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), common.text_or_empty().alias("text"))
     sorted_turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -73,13 +103,29 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             ),
         )
     )
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    def spans(found: Column) -> Column:
+        sizes = F.transform(found, lambda p: p["size"].cast("bigint"))
+        span = lambda before, p, i: F.when(p["loss"], F.struct((F.get(before, i) + 1).cast("int").alias("start"), p["size"].alias("length")))
+        return _let(_sums_before(sizes), lambda before: F.filter(F.transform(found, lambda p, i: span(before, p, i)), lambda x: x.isNotNull()))
+
+    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), _let(pieces, spans).alias("loss_spans"))
+
+
+def _read_spans(text: Column, spans: Column) -> Column:
+    """The parts of ``text`` that ``spans`` stand for, from pieces of it, so that none is counted off from the beginning."""
+    size = F.greatest(F.lit(PIECE), F.ceil(16 * F.sqrt(F.length(text))).cast("int"))
+
+    def read(n: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / n).cast("int")), lambda i: F.substr(text, i * n + 1, n))
+
+        def part(of: Column, span: Column) -> Column:
+            first = F.floor((span["start"] - 1) / n).cast("int")
+            last = F.floor((span["start"] + span["length"] - 1) / n).cast("int")
+            return F.substr(F.array_join(F.slice(of, first + 1, last - first + 1), ""), span["start"] - first * n, span["length"])
 
-    def place(acc: Column, piece: Column) -> Column:
-        spans = F.when(piece["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), piece["size"].alias("length"))))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + piece["size"]).alias("at"), spans.alias("spans"))
+        return _let(pieces, lambda of: F.transform(spans, lambda span: part(of, span)))
 
-    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), F.aggregate(pieces, start, place, lambda acc: acc["spans"]).alias("loss_spans"))
+    return _let(size, read)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -91,7 +137,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         texts = F.split(F.substr(block, F.length(role) + len(OPEN) + 2), r"<\+>", -1)
         return F.transform(texts, lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"], s["length"])))
+    loss = F.transform(_read_spans(F.col("formatted"), F.col("loss_spans")), unescape)
     return common.drop_clashing(formatted, ["turns", "loss_text"]).withColumns({"turns": F.flatten(F.transform(blocks, turns_of)), "loss_text": F.array_join(loss, "")})
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -34,3 +36,21 @@ def test_query_against_sql(spark):
     own = frame.where(F.col("conv_id") == -7).first()
     text = HOSTILE[0]
     assert own["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest() and own["loss_chars"] == len(text)
+
+
+def test_long_conversations(spark):
+    rng = random.Random(6)
+    texts = ["<+>", "\\", "", "some words é\U0001f600", "x" * 300, "a <b> c\n"]
+    rows = [(1, i, rng.choice(["user", "assistant", "assistant"]), rng.choice(texts) * rng.randint(0, 2)) for i in range(20_000)]
+    rows += [(2, i, "assistant", "word") for i in range(3000)] + [(3, i, "user", "y" * 40_000) for i in range(3)] + [(3, 3, "assistant", "z" * 50_000), (4, 0, "assistant", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    got = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(frame)).collect()}
+    assert time.perf_counter() - began < 60
+    for conv in (1, 2, 3, 4):
+        own = [(r, t) for c, _, r, t in rows if c == conv]
+        assert [tuple(t) for t in got[conv]["turns"]] == own
+        assert got[conv]["loss_text"] == "".join(t for r, t in own if r == "assistant")
+        spans = got[conv]["loss_spans"]
+        assert len(spans) == sum(r == "assistant" for r, _ in own)
+        assert all(a["start"] + a["length"] < b["start"] for a, b in zip(spans, spans[1:]))
