@@ -177,7 +177,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 
         return compute
 
-    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     return common.with_batch_columns(df, text, fields, make, drop)
 
 
