@@ -503,9 +503,10 @@ def _(events):
     return series.top_types(events, "anomaly_type", 2)
 
 
-@query("s01_union_all", "log_lines", sql="select line_id, service from log_lines where service = 'svc1' union all select line_id, service from log_lines where service = 'svc2'")
+@query("s01_union_all", "log_lines", sql="select line_id, service, case when line_id % 3 = 1 then level end as level from log_lines")
 def _(lines):
-    return series.union_all([lines.where(F.col("service") == s).select("line_id", "service") for s in ("svc1", "svc2")])
+    parts = [lines.where(F.col("line_id") % 3 == i).select("line_id", "service", *(["level"] if i == 1 else [])) for i in range(3)]
+    return series.union_all(parts).select("line_id", "service", "level")
 
 
 @query("s02_common_features", "metric_points", sql="WITH p AS (select * from metric_points where not (service = 'svc3' and feature = 'click')) select feature from p group by 1 having count(distinct service) = (select count(distinct service) from p)")
@@ -558,7 +559,18 @@ def _(docs):
     return templates.match_templates(lines, templates.assign_ids(templates.mine_templates(lines, **_PLAIN)), **_PLAIN)
 
 
-@query("g04_resume", "doc_lines")
+def _resumed() -> str:
+    """Templates of the even lines, numbered, and after them those of all lines that fit none of these."""
+    leaf = "case when regexp_matches(tokens[1], '[0-9]') then '<:*:>' else tokens[1] end as t0, case when regexp_matches(coalesce(tokens[2], ''), '[0-9]') then '<:*:>' else coalesce(tokens[2], '') end as t1"
+    mine = lambda of: f"""select size, t0, t1, string_agg(case when a = z then a else '<:*:>' end, ' ' order by pos) as template, min(first) as first from (
+      select size, t0, t1, pos, min(tokens[pos]) as a, max(tokens[pos]) as z, min(line_id) as first from (select *, unnest(range(1, size + 1)) as pos from {of}) group by size, t0, t1, pos) group by size, t0, t1"""
+    return f"""WITH {_TOKENS}, keyed AS (select line_id, tokens, len(tokens) as size, {leaf} from tokens where len(tokens) > 0), even AS (select * from keyed where line_id % 2 = 0),
+      saved AS (select row_number() over (order by first, template) as template_id, * from ({mine('even')})),
+      unmatched AS (select * from keyed k where not exists (select 1 from saved s where s.size = k.size and s.t0 = k.t0 and s.t1 = k.t1 and len(list_filter(range(1, k.size + 1), lambda i: string_split(s.template, ' ')[i] <> '<:*:>' and string_split(s.template, ' ')[i] <> k.tokens[i])) = 0))
+      select template_id, template from saved union all select (select max(template_id) from saved) + row_number() over (order by first, template), template from ({mine('unmatched')})"""
+
+
+@query("g04_resume", "doc_lines", sql=_resumed())
 def _(docs):
     lines = _lines(docs)
     saved = templates.assign_ids(templates.mine_templates(lines.where("line_id % 2 = 0"), **_PLAIN))
@@ -667,7 +679,20 @@ def _(spans):
 # -- whole plans -----------------------------------------------------------------------------------------------------
 
 
-@query("l1_metric_table", "metric_points")
+_CLEAN = f"""raw AS (select ts_ms, service, feature, count(value) as c, count(*) filter (abs(value) > 1e-12) as live, sum(value) filter (abs(value) > 1e-12) as s, max(value) filter (abs(value) > 1e-12) as m, avg(value) filter (abs(value) > 1e-12) as a from metric_points group by all),
+  merged AS (select ts_ms, service, feature, case when live = 0 then 0 when live = 1 and c > 1 then m when {_MODE.format('feature')} = 'sum' then s when {_MODE.format('feature')} = 'max' then m else a end as value from raw where c > 0),
+  cellsof AS (select count(distinct ts_ms - ts_ms % {HOUR}) as n_grid from merged),
+  judged AS (select service, feature, count(distinct ts_ms - ts_ms % {HOUR}) / cast(max(n_grid) as double) >= 0.2 and count(distinct value) >= 2 and quantile_cont(value, 0.95) - quantile_cont(value, 0.05) >= 1e-10
+    and (quantile_cont(value, 0.95) - quantile_cont(value, 0.05)) / (avg(abs(value)) + 1e-6) >= 1e-4 as good from merged, cellsof group by service, feature),
+  series AS (select service, feature from judged where good or exists (select 1 from judged group by service having count(*) filter (good) = 0)),
+  shared AS (select feature from series group by 1 having count(distinct service) = (select count(distinct service) from series)),
+  cells AS (select ts_ms - ts_ms % {HOUR} as bucket_ms, service, feature, avg(value) as value from merged semi join series using (service, feature) semi join shared using (feature) group by all),
+  dense AS (select g.bucket_ms, n.service, n.feature, value from (select distinct bucket_ms from cells) g cross join (select distinct service, feature from cells) n left join cells c on c.bucket_ms = g.bucket_ms and c.service = n.service and c.feature = n.feature),
+  filled AS (select bucket_ms, service, feature, last_value(value ignore nulls) over (partition by service, feature order by bucket_ms rows between 10 preceding and current row) as value from dense),
+  flat AS (select feature from (select service, feature, var_samp(value) as v from filled group by all) group by 1 having bool_and(coalesce(v < 1e-10, false)))"""
+
+
+@query("l1_metric_table", "metric_points", sql=f"WITH {_CLEAN} select bucket_ms, service, feature, round(coalesce({_SCALED}, 0), 6) as value from filled anti join flat using (feature) window w as (partition by service, feature)")
 def _(points):
     return telemetry.metric_table(points.select("ts_ms", "service", "feature", "value"), step=HOUR).select("bucket_ms", "service", "feature", r("value"))
 
@@ -677,11 +702,25 @@ def _(raw):
     return telemetry.log_table(raw, HOUR)[0]
 
 
-@query("l1_label_table", "faults", "log_lines")
-def _(faults, lines):
+_LABELS = f"""b AS ({_B5}), cells AS (select unnest(range(st_ms - st_ms % {HOUR}, ed_ms + 1, {HOUR})) as bucket_ms, service, anomaly_type, idx from b where ed_ms >= st_ms and anomaly_type <> '[normal]'),
+  firsts AS (select bucket_ms, service, anomaly_type, min(idx) as idx from cells group by all), marked AS (select bucket_ms, service, string_agg(anomaly_type, '|' order by idx, anomaly_type) as types from firsts group by all)"""
+
+
+def _labelled(faults, lines):
     grid = lines.select(scalars.bucket(F.col("ts_ms"), HOUR).alias("bucket_ms")).distinct()
-    labelled = telemetry.label_table(faults, grid, lines.select("service").distinct(), HOUR)
-    return labelled.select("bucket_ms", "service", "y", aggregates.types_text().alias("types"))
+    return telemetry.label_table(faults, grid, lines.select("service").distinct(), HOUR)
+
+
+@query("l1_label_table", "faults", "log_lines", sql=f"WITH {_LABELS} select g.bucket_ms, s.service, cast(types is not null as int) as y, coalesce(types, '') as types from (select distinct ts_ms - ts_ms % {HOUR} as bucket_ms from log_lines) g cross join (select distinct service from log_lines) s left join marked m on m.bucket_ms = g.bucket_ms and m.service = s.service")
+def _(faults, lines):
+    return _labelled(faults, lines).select("bucket_ms", "service", "y", aggregates.types_text().alias("types"))
+
+
+@query("l2_score_metrics", "metric_points", "faults", "log_lines")
+def _(points, faults, lines):
+    cells = telemetry.metric_table(points.select("ts_ms", "service", "feature", "value"), step=HOUR)
+    scored = telemetry.score_metrics(cells, _labelled(faults, lines))
+    return scored.select("bucket_ms", "service", "y", r("p_cls", 3), r("prob", 4), r("score", 3), "predicted")
 
 
 # -- sources and sinks: what Spark writes from the tables, read back ---------------------------------------------------
@@ -702,18 +741,34 @@ def _(lines):
     return files.read_entities(lines.sparkSession, path, "part={entity}/*.csv", ["svc1", "svc7", "absent"], kept.drop("part").schema)
 
 
-@query("a03_file_metadata", "metric_points", sql="select service, feature, count(*) as n, round(sum(value), 3) as total from metric_points group by all")
-def _(points):
+def _metric_files(points) -> str:
+    """The points as files <service>_<ip>_<feature>_<first day>_<last day>.csv."""
     path = files.scratch(points.sparkSession, "metrics")
-    files.write_table(points.select("value", "service", "feature"), path, ["service", "feature"], form="csv")
-    scan = points.sparkSession.read.csv(f"{path}/*/*", schema="value double", header=True).select("value", F.regexp_extract("_metadata.file_path", r"service=([^/]+)/feature=([^/]+)/", 1).alias("service"), F.regexp_extract("_metadata.file_path", r"service=([^/]+)/feature=([^/]+)/", 2).alias("feature"))
-    return scan.groupBy("service", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    ip = F.concat(F.lit("10.0.0."), F.substring("service", 4, 9))
+    name = F.concat(F.concat_ws("_", "service", ip, F.concat("feature", F.lit("_total")), F.lit("2024-01-01"), F.lit("2024-01-31")), F.lit(".csv"))
+    files.write_named_files(points.select(F.col("ts_ms").alias("timestamp"), "value", name.alias("file")), path, "file")
+    return path
+
 
+@query("a03_file_metadata", "metric_points", sql="select service, '10.0.0.'||substr(service, 4) as ip, feature||'_total' as feature, '2024-01-01' as first_day, '2024-01-31' as last_day, count(*) as n, min(ts_ms) as first_ms, round(sum(value), 3) as total from metric_points group by all")
+def _(points):
+    read = files.read_metric_files(points.sparkSession, _metric_files(points))
+    return read.groupBy("service", "ip", "feature", "first_day", "last_day").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("a03b_host_of_file", "metric_points", sql="select service as host, service||'_10.0.0.'||substr(service, 4)||'_'||feature||'_total_2024-01-01_2024-01-31' as stem, count(*) as n from metric_points group by all")
+def _(points):
+    scan = points.sparkSession.read.csv(_metric_files(points), schema="timestamp long, value double", header=True)
+    return files.host_of_file(scan).groupBy("host", "stem").agg(F.count("*").alias("n"))
 
-@query("a05_c02_flatten_traces", "conversations_", sql="""WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations)
+
+_TRACES = """WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations)
   select cast(a.conv_id as varchar) as root, a.role as host, case when a.n % 2 = 0 then 'start' else b.role end as parent_host, cast(a.turn as varchar) as start, case when a.n % 3 = 0 then null else cast(a.turn + 1 as varchar) end as stop
-  from t a left join t b on b.conv_id = a.conv_id and b.n = a.n - 1 and a.n % 2 = 1""")
-def _(turns):
+  from t a left join t b on b.conv_id = a.conv_id and b.n = a.n - 1 and a.n % 2 = 1"""
+
+
+def _flattened(turns) -> DataFrame:
+    """Conversations as trace files of nested JSON, read and flattened: each second turn within the one before."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
@@ -725,8 +780,21 @@ def _(turns):
     inner = F.when(F.size("s") > 1, F.concat(F.get("s", F.lit(1))["info"], F.lit(',"children":[]}'))).otherwise("")
     body = F.concat(F.get("s", F.lit(0))["info"], F.lit(',"children":['), inner, F.lit("]}"))
     roots = pairs.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]), ",").alias("c"))
-    traces = roots.select(F.concat(F.lit('{"trace_id":"'), F.col("conv_id").cast("string"), F.lit('","children":['), "c", F.lit("]}")).alias("body"))
-    return joins.flatten_traces(traces, max_depth=2).select(F.col("trace_id").alias("root"), "host", "parent_host", "start", "stop")
+    traces = roots.select(F.concat(F.lit('{"trace_id":"'), F.col("conv_id").cast("string"), F.lit('","children":['), "c", F.lit("]}")).alias("body"), F.concat("conv_id", F.lit(".json")).alias("file"))
+    path = files.scratch(turns.sparkSession, "traces")
+    files.write_named_files(traces, path, "file", form="text")
+    return joins.flatten_traces(files.read_trace_json(turns.sparkSession, path), max_depth=2)
+
+
+@query("a05_c02_flatten_traces", "conversations_", sql=_TRACES)
+def _(turns):
+    return _flattened(turns).select(F.col("trace_id").alias("root"), "host", "parent_host", "start", "stop")
+
+
+@query("e01c_span_ends", "conversations_", sql="WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations) select cast(conv_id as varchar) as root, role as host, cast(turn as varchar) as start, cast(last_value(case when n % 3 = 0 then null else turn + 1 end ignore nulls) over (partition by conv_id order by n rows between unbounded preceding and current row) as varchar) as stop from t")
+def _(turns):
+    filled = series.ffill(_flattened(turns), ["trace_id"], ["position"], "stop", None)
+    return filled.select(F.col("trace_id").alias("root"), "host", "start", "stop")
 
 
 @query("a07_window_sink", "log_lines", sql=f"WITH {_SEGMENTS}, w AS (select bucket_ms as end_ts, row_number() over (partition by segment order by bucket_ms) as n from seg) select end_ts, row_number() over (order by end_ts) - 1 as window_id from w where n >= 10")
@@ -752,10 +820,10 @@ def _(lines):
     return spark.read.parquet(path) if built == [True, False] else build().limit(0)
 
 
-@query("a10_append_run", "scored", sql="WITH c AS (select service, count(*) filter (y = 1 and p_cls > 0.5) as tp, count(*) filter (p_cls > 0.5) as pred, count(*) filter (y = 1) as actual from scored where service in ('svc1', 'svc2') group by 1) select service as run, round(case when pred = 0 then 0 else tp / pred end, 6) as precision, round(case when actual = 0 then 0 else tp / actual end, 6) as recall from c")
+@query("a10_append_run", "scored", sql="WITH c AS (select service, count(*) filter (y = 1 and p_cls > 0.5) as tp, count(*) filter (p_cls > 0.5) as pred, count(*) filter (y = 1) as actual from scored group by 1) select service as run, round(case when pred = 0 then 0 else tp / pred end, 6) as precision, round(case when actual = 0 then 0 else tp / actual end, 6) as recall from c")
 def _(scored):
     path = files.scratch(scored.sparkSession, "runs")
-    for run in ("svc1", "svc2"):
+    for run in [row[0] for row in scored.select("service").distinct().collect()]:  # a run for each of the fleet's services
         rows = scored.where(F.col("service") == run).withColumn("yhat", scoring.decide(F.col("p_cls")))
         files.append_run(scoring.prf(rows, "y", "yhat").select(F.lit(run).alias("run"), r("precision"), r("recall")), path)
     return scored.sparkSession.read.parquet(path)

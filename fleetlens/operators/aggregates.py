@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LEVELS, bucket, finite, reduce_mode
-from .joins import small
+from .ranks import counts_of, quantiles
 
 
 def template_counts(lines: DataFrame, step: int = 30_000, template: str = "template_id") -> DataFrame:
@@ -63,14 +63,17 @@ def mean_by(df: DataFrame, keys: list, value: str = "value") -> DataFrame:
 def metric_quality(points: DataFrame, n_grid: int, step: int = 30_000, exact: bool = True, keys: tuple[str, ...] = ("service", "feature")) -> DataFrame:
     """D9. Coverage, distinct values, share not 0, q95 - q05, its ratio to the mean and the score of each series.
 
-    ``exact=False`` estimates the quantiles in bounded memory, for series too long to sort in one task.
+    Values are counted first; exact quantiles come from running totals of the counts, so no task holds a series.
+    ``exact=False`` estimates the quantiles in one pass.
     """
-    value = finite(F.col("value"))
-    quantiles = F.percentile("_v", F.array(F.lit(0.05), F.lit(0.95))) if exact else F.percentile_approx("_v", [0.05, 0.95], 10_000)
-    got = points.withColumn("_v", value).groupBy(*keys).agg(
-        F.count_distinct(F.when(F.col("_v").isNotNull(), bucket(F.col("ts_ms"), step))).alias("_cells"), F.count_distinct("_v").alias("unique_count"),
-        F.avg((F.abs("_v") > 1e-12).cast("double")).alias("non_zero_ratio"), quantiles.alias("_q"), F.avg(F.abs("_v")).alias("_mean"),
-    )
+    keyed = points.withColumn("_v", finite(F.col("value"))).withColumn("_k", F.struct(*keys))
+    some, counts = keyed.where(F.col("_v").isNotNull()), counts_of(keyed, "_v", ("_k",))
+    cells = some.select("_k", bucket(F.col("ts_ms"), step)).distinct().groupBy("_k").agg(F.count("*").alias("_cells"))
+    kinds = counts.groupBy("_k").agg(F.count("*").alias("unique_count"))
+    spread = quantiles(counts, "_v", [0.05, 0.95], ("_k",)).withColumnRenamed("q", "_q") if exact else some.groupBy("_k").agg(F.percentile_approx("_v", [0.05, 0.95], 10_000).alias("_q"))
+    got = keyed.groupBy("_k").agg(F.avg((F.abs("_v") > 1e-12).cast("double")).alias("non_zero_ratio"), F.avg(F.abs("_v")).alias("_mean"))
+    got = got.join(cells, "_k", "left").join(kinds, "_k", "left").join(spread, "_k", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    got = got.select("*", *(F.col("_k").getField(k).alias(k) for k in keys))
     span = F.coalesce(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0))
     out = got.select(*keys, F.coalesce(F.col("_cells") / F.lit(float(max(n_grid, 1))), F.lit(0.0)).alias("coverage"), "unique_count", F.coalesce("non_zero_ratio", F.lit(0.0)).alias("non_zero_ratio"), span.alias("dynamic_span"), F.coalesce(span / (F.col("_mean") + 1e-6), F.lit(0.0)).alias("dynamic_ratio"))
     score = F.col("coverage") * (0.5 + 0.5 * F.col("non_zero_ratio")) * (F.log1p("dynamic_span") + 0.1 * F.log1p("unique_count"))
@@ -94,34 +97,54 @@ def drop_flat(points: DataFrame, least: float = 1e-10) -> DataFrame:
     """D11. Points of features whose sample variance reaches ``least`` in some entity; one of unknown variance counts as alive."""
     each = points.groupBy("service", "feature").agg(F.var_samp("value").alias("_var"))
     flat = each.groupBy("feature").agg(F.bool_and(F.coalesce(F.col("_var") < least, F.lit(False))).alias("_flat")).where("_flat").select("feature")
-    return points.join(small(flat), "feature", "left_anti")
+    return points.join(flat, "feature", "left_anti")
+
+
+def _fitted(df: DataFrame, fit_on: Column | None) -> DataFrame:
+    return df if fit_on is None else df.where(fit_on)
+
 
+def min_max(points: DataFrame, keys: list[str], value: str = "value", flat_to_zero: bool = False, fit_on: Column | None = None) -> DataFrame:
+    """D12 (a flat series divides by 1), D12b (a flat or missing value becomes 0): values scaled to [0, 1] per series.
 
-def min_max(points: DataFrame, keys: list[str], value: str = "value", flat_to_zero: bool = False) -> DataFrame:
-    """D12 (a flat series divides by 1), D12b (a flat or missing value becomes 0): values scaled to [0, 1] per series."""
-    bounds = points.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    With ``fit_on`` the bounds are those of the rows where it holds, the train part for example; a series without any has null values.
+    """
+    bounds = _fitted(points, fit_on).groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     width = F.col("_high") - F.col("_low")
-    joined = points.join(small(bounds), keys)
+    joined = points.join(bounds, keys, "inner" if fit_on is None else "left")
     scaled = F.coalesce(F.try_divide(F.col(value) - F.col("_low"), width), F.lit(0.0)) if flat_to_zero else (F.col(value) - F.col("_low")) / F.when(width == 0, 1.0).otherwise(width)
     return joined.withColumn(value, scaled).drop("_low", "_high")
 
 
-def scale_counts(counts: DataFrame, keys: list[str], value: str = "n", mode: str = "rows") -> DataFrame:
+def scale_counts(counts: DataFrame, keys: list[str], value: str = "n", mode: str = "rows", n_grid: int | None = None, fit_on: Column | None = None) -> DataFrame:
     """D12c. Log counts scaled by their feature's range + 1e-6; the minimum over rows, or (``mode='buckets'``) over the
-    buckets' maxima and with 1 as the largest result."""
+    buckets' maxima and with 1 as the largest result.
+
+    With buckets, ``n_grid`` is the number of cells of the grid. The minimum is then 1 for a feature that every cell
+    has and 0 for others, and 0 for all if there are logs in fewer cells than that.
+    ``fit_on`` as for ``min_max``.
+    """
+    seen = _fitted(counts, fit_on)
     if mode == "rows":
-        bounds = counts.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+        bounds = seen.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     else:
-        tops = counts.groupBy(*keys, "bucket_ms").agg(F.max(value).alias("_top"))
-        bounds = tops.groupBy(*keys).agg(F.min("_top").alias("_low"), F.max("_top").alias("_high"))
+        tops = seen.groupBy(*keys, "bucket_ms").agg(F.max(value).alias("_top"))
+        bounds = tops.groupBy(*keys).agg(F.min("_top").alias("_low"), F.max("_top").alias("_high"), F.count("*").alias("_in"))
+        if n_grid is not None:  # a feature that a bucket with logs lacks has a maximum of 0 there
+            cells = counts.select("bucket_ms").distinct().agg(F.count("*").alias("_all"))
+            bounds = bounds.crossJoin(F.broadcast(cells)).withColumn("_low", F.when((F.col("_all") == n_grid) & (F.col("_in") == F.col("_all")), F.least("_low", F.lit(1))).otherwise(0)).drop("_all")  # one row
+        bounds = bounds.drop("_in")
     scaled = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1e-6)
-    return counts.join(small(bounds), keys).withColumn("scaled", scaled if mode == "rows" else F.least(scaled, F.lit(1.0))).drop("_low", "_high")
+    return counts.join(bounds, keys, "inner" if fit_on is None else "left").withColumn("scaled", scaled if mode == "rows" else F.least(scaled, F.lit(1.0))).drop("_low", "_high")
 
 
-def scale_by_mean(stats: DataFrame, n_grid: int, keys: tuple[str, ...] = ("src", "dst", "status_code"), value: str = "duration_sum", factor: float = 10) -> DataFrame:
-    """D13. Values by ``factor`` times their mean over the whole grid (absent cells count as 0) + 1e-6."""
-    means = stats.groupBy(*keys).agg((F.sum(value) / n_grid).alias("_mean"))
-    return stats.join(small(means), list(keys)).withColumn("scaled", F.col(value) / (factor * F.col("_mean") + 1e-6)).drop("_mean")
+def scale_by_mean(stats: DataFrame, n_grid: int, keys: tuple[str, ...] = ("src", "dst", "status_code"), value: str = "duration_sum", factor: float = 10, fit_on: Column | None = None) -> DataFrame:
+    """D13. Values by ``factor`` times their mean over the whole grid (absent cells count as 0) + 1e-6.
+
+    ``fit_on`` as for ``min_max``; ``n_grid`` is then the number of cells of that part.
+    """
+    means = _fitted(stats, fit_on).groupBy(*keys).agg((F.sum(value) / n_grid).alias("_mean"))
+    return stats.join(means, list(keys), "inner" if fit_on is None else "left").withColumn("scaled", F.col(value) / (factor * F.col("_mean") + 1e-6)).drop("_mean")
 
 
 def service_graph(edges: DataFrame) -> DataFrame:
@@ -134,7 +157,7 @@ def incidence(graph: DataFrame) -> DataFrame:
     """D15. (node, src, dst, share): each edge at either end, a node's shares summing to 1; self loops count once."""
     ends = graph.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "src", "dst")
     degree = ends.groupBy("node").agg(F.count("*").alias("_d"))
-    return ends.join(small(degree), "node").select("node", "src", "dst", (1 / F.col("_d")).alias("share"))
+    return ends.join(degree, "node").select("node", "src", "dst", (1 / F.col("_d")).alias("share"))
 
 
 def type_distribution(events: DataFrame) -> DataFrame:

@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket
-
-#: Rows of a side that may be broadcast: what is larger is joined by a shuffle, which Spark's skew handling can split.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is checked to hold ``rows`` rows at most."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from .ranks import with_running_totals
 
 def last_spans(spans: DataFrame, order: list[Column]) -> DataFrame:
     """Of spans with the same (trace_id, span_id), the last by ``order``: a map-side maximum over a struct."""
@@ -41,8 +33,8 @@ def flatten_traces(traces: DataFrame, body: str = "body", max_depth: int = 16) -
     """C2. (trace_id, parent_host, host, name, start, stop, position) of every span below the roots of nested JSON traces.
 
     ``parent_host`` is that of the enclosing span, 'start' right below a root. Times come from the first key with
-    -start and -stop; a missing one is null. ``position`` orders spans depth first. Levels are walked one by one
-    up to ``max_depth``; rows, not the driver, carry the tree.
+    -start and -stop; a missing one is null. ``position`` orders spans depth first. Levels are walked one by one;
+    rows, not the driver, carry the tree. Spans below ``max_depth`` levels are an error rather than left out.
     """
     parsed = F.try_parse_json(F.col(body))
     children = lambda v: F.try_variant_get(v, "$.children", "array<variant>")
@@ -51,7 +43,10 @@ def flatten_traces(traces: DataFrame, body: str = "body", max_depth: int = 16) -
     level = root.select(text(F.col("v"), "$.trace_id").alias("trace_id"), F.lit("start").alias("parent_host"), F.posexplode(children(F.col("v"))).alias("i", "v"))
     level = level.withColumn("position", F.format_string("%06d", "i"))
     out = []
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
+        if depth == max_depth:
+            deeper = F.raise_error(F.lit(f"a trace has spans below {max_depth} levels: raise max_depth")).cast("string")
+            level = level.withColumn("position", F.when(F.coalesce(F.size(children(F.col("v"))), F.lit(0)) > 0, deeper).otherwise(F.col("position")))
         info = F.try_variant_get(F.col("v"), "$.info", "map<string,variant>")
         stamp = lambda part: F.try_variant_get(F.get(F.map_values(F.map_filter(info, lambda k, _: F.contains(k, F.lit(part)))), F.lit(0)), "$.timestamp", "string")  # noqa: B023, E731
         rows = level.select("trace_id", "parent_host", text(F.col("v"), "$.info.host").alias("host"), text(F.col("v"), "$.info.name").alias("name"), stamp("-start").alias("start"), stamp("-stop").alias("stop"), "position")
@@ -61,26 +56,35 @@ def flatten_traces(traces: DataFrame, body: str = "body", max_depth: int = 16) -
     return reduce(DataFrame.unionByName, out)
 
 
-def intervals_to_grid(events: DataFrame, step: int = 30_000, entities: list[str] | None = None, max_cells: int = 100_000) -> DataFrame:
+def intervals_to_grid(events: DataFrame, step: int = 30_000, entities: list[str] | None = None, chunk: int = 10_000) -> DataFrame:
     """C3. (bucket_ms, service, anomaly_type, idx): every grid cell that an event's [st_ms, ed_ms] touches.
 
     Both ends are floored and included. Events without an end, with an end before the start or of type
-    [normal] mark nothing; one of more than ``max_cells`` cells is an error rather than cut short.
+    [normal] mark nothing. Events are cut into stretches of ``chunk`` cells before their cells are listed, so no
+    array is longer than that however long an event lasts.
     """
     first, last = bucket(F.col("st_ms"), step), bucket(F.col("ed_ms"), step)
     valid = events.where((F.col("ed_ms") >= F.col("st_ms")) & (F.col("anomaly_type") != "[normal]"))
     if entities:
         valid = valid.where(F.col("service").isin(*entities))
-    long = F.raise_error(F.lit("an event spans more cells than max_cells"))
-    cells = F.when((last - first) / step >= max_cells, long.cast("array<bigint>")).otherwise(F.sequence(first, last, F.lit(step).cast("long")))
-    return valid.select(F.explode(cells).alias("bucket_ms"), "service", "anomaly_type", "idx")
+    cells = lambda a, z, width: F.explode(F.sequence(a, z, F.lit(width).cast("long")))
+    stretches = valid.select("service", "anomaly_type", "idx", last.alias("_last"), cells(first, last, step * chunk).alias("_from"))
+    ends = F.least("_last", F.col("_from") + step * (chunk - 1))
+    return stretches.select(cells(F.col("_from"), ends, step).alias("bucket_ms"), "service", "anomaly_type", "idx")
 
 
 def fan_out(metrics: DataFrame, ip_map: DataFrame, system: str = "system") -> DataFrame:
-    """C4. Metrics of a host (service ``system``) once for each service on its ip, as host_<feature>; others as they are."""
+    """C4. Metrics of a host (service ``system``) once for each service on its ip, as host_<feature>; others as they are.
+
+    Of a service's ips that have a feature the smallest gives it.
+    """
     direct = metrics.where(F.col("service") != system)
-    hosts = metrics.where(F.col("service") == system).drop("service").join(small(ip_map.select("ip", "service").distinct()), "ip")
-    return direct.unionByName(hosts.withColumn("feature", F.concat(F.lit("host_"), "feature")).select(*direct.columns))
+    hosts = metrics.where(F.col("service") == system).drop("service")
+    order = F.transform(F.split("ip", r"\."), lambda x: x.try_cast("int"))
+    pairs = hosts.select("ip", "feature").distinct().join(ip_map.select("ip", "service").distinct(), "ip")
+    chosen = pairs.groupBy("service", "feature").agg(F.min_by("ip", F.struct(order, "ip")).alias("ip"))
+    fanned = hosts.join(chosen, ["ip", "feature"])
+    return direct.unionByName(fanned.withColumn("feature", F.concat(F.lit("host_"), "feature")).select(*direct.columns))
 
 
 def on_grid(df: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
@@ -91,10 +95,10 @@ def on_grid(df: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
 def densify(df: DataFrame, grid: DataFrame, entities: DataFrame, values: list[str], fill: float = 0) -> DataFrame:
     """C6. A row for every cell of ``grid`` and every one of ``entities``, missing values filled.
 
-    The product is the result itself; entities, the small side, are broadcast only if checked to be small.
+    The product is the result itself.
     """
     keys = grid.columns + entities.columns
-    every = grid.crossJoin(small(entities))
+    every = grid.crossJoin(entities)
     return every.join(df.select(*keys, *values), keys, "left").fillna(fill, values)
 
 
@@ -112,14 +116,18 @@ def complete_keys(points: DataFrame, key: str, feature: str) -> DataFrame:
 
 def encode(df: DataFrame, col: str, dictionary: DataFrame, code: str = "code") -> DataFrame:
     """C9. Add the code of ``col`` from ``dictionary`` (col, code); rows without one go."""
-    return df.join(small(dictionary.select(col, code)), col)
+    return df.join(dictionary.select(col, code), col)
 
 
 def dictionary_of(df: DataFrame, col: str, code: str = "code") -> DataFrame:
-    """C9, D19. Values in order and their numbers from 0; ranked over the distinct values alone."""
-    return df.select(col).where(F.col(col).isNotNull()).distinct().withColumn(code, (F.row_number().over(Window.orderBy(col)) - 1).cast("long"))
+    """C9, D19. Distinct values in order and their numbers from 0."""
+    names = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    place = F.col(col)
+    if names.schema[col].dataType.typeName() == "string":  # the first seven bytes as a number, in the order of the text
+        place = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return with_running_totals(names, place, ["_one"], order=(col,)).select(col, F.col("_one_before").cast("long").alias(code))
 
 
 def on_edges(df: DataFrame, graph: DataFrame) -> DataFrame:
     """C11. Features of the edges that the graph has."""
-    return df.join(small(graph.select("src", "dst").distinct()), ["src", "dst"], "left_semi")
+    return df.join(graph.select("src", "dst").distinct(), ["src", "dst"], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import small
+from .ranks import counts_of, quantiles, with_running_totals
 
 
 def residual_energy(points: DataFrame, w: int = 10, node: str = "service", feature: str = "feature", ts: str = "ts_ms", value: str = "value") -> DataFrame:
@@ -53,8 +53,9 @@ def robust_prob(df: DataFrame, col: str, constants: tuple[float, float] | None =
     ``constants`` (median, MAD), if fitted before, replace those of the rows themselves.
     """
     if constants is None:
-        middle = df.agg(F.expr(f"percentile_disc(0.5) within group (order by `{col}`)").alias("_m"))
-        apart = df.crossJoin(F.broadcast(middle)).agg(F.first("_m").alias("_m"), F.expr(f"percentile_disc(0.5) within group (order by abs(`{col}` - _m))").alias("_d"))
+        middle = quantiles(counts_of(df, col), col, [0.5], discrete=True).select(F.col("q")[0].alias("_m"))  # one row
+        far = counts_of(df.crossJoin(F.broadcast(middle)).select(F.abs(F.col(col) - F.col("_m")).alias("_far")), "_far")
+        apart = quantiles(far, "_far", [0.5], discrete=True).select(F.col("q")[0].alias("_d")).crossJoin(F.broadcast(middle))
     else:
         apart = df.sparkSession.range(1).select(F.lit(float(constants[0])).alias("_m"), F.lit(float(constants[1])).alias("_d"))
     z = (F.col(col) - F.col("_m")) / (1.4826 * F.greatest(F.col("_d"), F.lit(1e-6)))
@@ -90,25 +91,9 @@ def _by_score(df: DataFrame, y: str, s: str) -> DataFrame:
     return df.groupBy(F.col(s).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
 
 
-def with_running_totals(df: DataFrame, order: Column, values: list[str]) -> DataFrame:
-    """Add ``<value>_before``: sums over all rows ahead in ``order``.
-
-    Rows are dealt by ranges; each range sums its own and adds the totals of the ranges ahead (a row a
-    partition), so no single task sees all rows.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, order).withColumn("_r", F.spark_partition_id()).persist()
-    totals = dealt.groupBy("_r").agg(*(F.sum(v).alias(f"_{v}") for v in values))
-    ahead = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select("_r", *(F.coalesce(F.sum(f"_{v}").over(ahead), F.lit(0)).alias(f"_{v}") for v in values))
-    inside = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{v}_before") for v in values)).join(F.broadcast(shifts), "_r")
-    return summed.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).drop("_r", *(f"_{v}" for v in values))
-
-
 def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
     """H7. One row: auc, the share of (positive, negative) pairs in the right order, ties half; null if a class is absent."""
-    ranked = with_running_totals(_by_score(df, y, s), F.col("s").asc(), ["n"])
+    ranked = with_running_totals(_by_score(df, y, s), F.col("s"), ["n"])
     got = ranked.agg(F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2)).alias("right"), F.sum("p").alias("ps"), F.sum("n").alias("ns"))
     return got.select(F.try_divide(F.col("right"), F.col("ps").cast("double") * F.col("ns")).alias("auc"))
 
@@ -123,7 +108,7 @@ def average_precision(df: DataFrame, y: str, s: str) -> DataFrame:
         total = got.agg(F.sum(F.col(hits) * F.try_divide(tp, tp + fp)).alias("a"), F.sum(hits).alias("b"))
         return total.select(F.coalesce(F.try_divide("a", "b"), F.lit(0.0)).alias("ap"))
 
-    return one("p", "n", F.col("s").desc()).union(one("n", "p", F.col("s").asc())).agg(F.avg("ap").alias("ap"))
+    return one("p", "n", -F.col("s")).union(one("n", "p", F.col("s"))).agg(F.avg("ap").alias("ap"))
 
 
 def energy_report(df: DataFrame, label: str = "y_seen", energy: str = "energy", weight: float = 0.01) -> DataFrame:
@@ -151,7 +136,7 @@ def edge_weights(summaries: DataFrame, graph: DataFrame, lam: float = 0.5, tempe
     """H11. (src, dst, dynamic, weight) of the graph's edges: sigmoid of the scaled product of both ends' summaries
     (node, vector), blended with the static 1. Self loops have no dynamic part."""
     a, b = (summaries.select(F.col("node").alias(end), F.col("vector").alias(f"_{end}")) for end in ("src", "dst"))
-    joined = graph.select("src", "dst").distinct().join(small(a), "src").join(small(b), "dst")
+    joined = graph.select("src", "dst").distinct().join(a, "src").join(b, "dst")
     dot = F.aggregate(F.zip_with("_src", "_dst", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
     sim = dot / F.sqrt(F.size("_src"))
     dynamic = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(1 / (1 + F.exp(-sim / temperature)))
@@ -171,4 +156,4 @@ def graph_drift(weights: DataFrame, n: int) -> DataFrame:
 
 def weight_edges(edges: DataFrame, weights: DataFrame, values: list[str]) -> DataFrame:
     """H13. Edge features times the blended weight of their edge."""
-    return edges.join(small(weights.select("src", "dst", "weight")), ["src", "dst"]).withColumns({v: F.col(v) * F.col("weight") for v in values}).drop("weight")
+    return edges.join(weights.select("src", "dst", "weight"), ["src", "dst"]).withColumns({v: F.col(v) * F.col("weight") for v in values}).drop("weight")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_running_totals
+
 
 def ffill(df: DataFrame, keys: list[str], order: list[str], col: str, limit: int | None = 10) -> DataFrame:
     """E1 (``limit`` rows back), E1b and E1c (``limit=None``). Nulls take the last value before them within the keys."""
@@ -56,14 +58,14 @@ def mask_labels(labels: DataFrame, node: str = "service", ts: str = "bucket_ms",
 def chrono_split(df: DataFrame, order: str, frac: float = 0.7, embargo: int = 0) -> DataFrame:
     """E6. Add ``part``: 'train' for the first ``frac`` of the rows, 'test' for the rest, null for an embargo between.
 
-    Rows are counted per order value first, so the one global window runs over distinct values; equal values
-    stay together: rows up to the cut's value whose running count fits are train.
+    Rows are counted per order value first and summed up by ranges of it; equal values stay together: rows up to
+    the cut's value whose running count fits are train.
     """
     counts = df.groupBy(order).agg(F.count("*").alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy())
-    before = F.sum("_c").over(Window.orderBy(order))
-    cut = F.floor(frac * total)
-    placed = counts.select(order, F.when(before <= cut, "train").when(before - F.col("_c") >= cut + embargo, "test").when(F.lit(embargo) == 0, "test").alias("part"))
+    cut = F.floor(frac * F.col("_all"))
+    before = F.col("_c_before") + F.col("_c")
+    counted = with_running_totals(counts, F.col(order), ["_c"]).crossJoin(F.broadcast(df.agg(F.count("*").alias("_all"))))  # one row
+    placed = counted.select(order, F.when(before <= cut, "train").when(F.col("_c_before") >= cut + embargo, "test").when(F.lit(embargo) == 0, "test").alias("part"))
     return df.join(placed, order)
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import COMMON_MASKS, mask_tokens
+from .ranks import with_running_totals
 
 WILD = "<:*:>"
 SEPARATOR = "\x01"
@@ -67,27 +68,32 @@ def greedy_clusters(shapes: pd.DataFrame, similarity: float) -> list[tuple[list[
     return [tuple(x) for x in found]
 
 
-def mine_greedy(lines: DataFrame, similarity: float = 0.3, order: str = "line_id", **how) -> DataFrame:
+def mine_greedy(lines: DataFrame, similarity: float = 0.3, order: str = "line_id", chunk: int = 5000, **how) -> DataFrame:
     """G2. (leaf, template, size, first): as G1, but a leaf is split into templates of at least ``similarity``.
 
-    Only distinct masked token lines reach the grouped function, which is what bounds a group: its size is
-    the number of different shapes in a leaf, not its traffic.
+    Only distinct masked token lines reach the grouped function. A leaf of more than ``chunk`` of them is dealt out by a
+    hash into chunks of about that size; the templates of its chunks, far fewer, are then merged in the same way.
     """
-    shapes = distinct_lines(lines, order, **how).withColumn("tokens", F.array_join("tokens", SEPARATOR)).withColumn("key", F.to_json("leaf"))
+    shapes = distinct_lines(lines, order, **how).select("leaf", F.array_join("tokens", SEPARATOR).alias("tokens"), "n", "first").withColumn("key", F.to_json("leaf"))
+    counts = shapes.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    dealt = shapes.drop("leaf").join(counts, "key").withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("chunks")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = greedy_clusters(pdf, similarity)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "template": [SEPARATOR.join(t) for t, _, _ in rows], "size": [n for _, n, _ in rows], "first": [f for _, _, f in rows]})
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "tokens": [SEPARATOR.join(t) for t, _, _ in rows], "n": [n for _, n, _ in rows], "first": [f for _, _, f in rows], "chunks": pdf["chunks"].iloc[0]})
 
-    mined = shapes.select("key", "tokens", "n", "first").groupBy("key").applyInPandas(run, "key string, template string, size long, first long")
+    schema = "key string, tokens string, n long, first long, chunks long"
+    mined = dealt.select("key", "part", "tokens", "n", "first", "chunks").groupBy("key", "part").applyInPandas(run, schema)
+    merged = mined.where("chunks > 1").groupBy("key").applyInPandas(run, schema)
+    every = mined.where("chunks = 1").unionByName(merged)
     leaf = F.from_json("key", "struct<size:bigint,t0:string,t1:string>")
-    return mined.select(leaf.alias("leaf"), F.split("template", SEPARATOR).alias("template"), "size", "first")
+    return every.select(leaf.alias("leaf"), F.split("tokens", SEPARATOR).alias("template"), F.col("n").alias("size"), "first")
 
 
 def assign_ids(templates: DataFrame, start: int = 1) -> DataFrame:
     """G3. Add template_id from ``start``, in the order in which templates were first seen, then by text."""
-    by_first = Window.orderBy("first", F.array_join("template", " "))
-    return templates.withColumn("template_id", (F.row_number().over(by_first) + start - 1).cast("long"))
+    numbered = with_running_totals(templates.withColumn("_one", F.lit(1).cast("long")), F.col("first"), ["_one"], order=(F.array_join("template", " "),))
+    return numbered.withColumn("template_id", (F.col("_one_before") + start).cast("long")).drop("_one", "_one_before")
 
 
 def matches(tokens: Column, template: Column) -> Column:
@@ -98,14 +104,15 @@ def matches(tokens: Column, template: Column) -> Column:
 def match_templates(lines: DataFrame, templates: DataFrame, line: str = "line_id", **how) -> DataFrame:
     """C10. (line, template_id): each line's fitting template with the fewest wildcards, then the smallest id; null if none fits.
 
-    Candidates share the leaf, so token counts agree; distinct token lines are matched, then joined back.
+    Candidates share the leaf, so token counts agree. A leaf's templates stand in one row in that order, so a line is masked once,
+    meets one row and takes the first that fits; Spark broadcasts the dictionary if it is small and splits hot leaves otherwise.
     """
-    read = leaves(lines, **how).select(line, "leaf", "tokens")
-    shapes = read.select("leaf", "tokens").distinct()
     wild = F.size(F.filter("template", lambda t: t == WILD))
-    fits = shapes.join(templates.select("leaf", "template", "template_id"), "leaf").where(matches(F.col("tokens"), F.col("template")))
-    best = fits.groupBy("leaf", "tokens").agg(F.min_by("template_id", F.struct(wild, "template_id")).alias("template_id"))
-    return read.join(best, ["leaf", "tokens"], "left").select(line, "template_id")
+    rows = templates.select("leaf", F.struct(wild.alias("wild"), "template_id", "template").alias("one"))
+    by_leaf = rows.groupBy("leaf").agg(F.array_sort(F.collect_list("one")).alias("candidates"))
+    read = leaves(lines, **how).select(line, "leaf", "tokens")
+    first = F.get(F.filter("candidates", lambda c: matches(F.col("tokens"), c["template"])), F.lit(0))
+    return read.join(by_leaf, "leaf", "left").select(line, first["template_id"].alias("template_id"))
 
 
 def resume(lines: DataFrame, saved: DataFrame, line: str = "line_id", **how) -> DataFrame:

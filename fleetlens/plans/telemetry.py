@@ -1,4 +1,7 @@
-"""Lifecycles: raw telemetry to aligned tables, and aligned tables to scores and metrics. Each is one lazy plan."""
+"""Lifecycles: raw telemetry to aligned tables, and aligned tables to scores and metrics.
+
+What several branches of a lifecycle read is written to the shared folder once; the rest is one lazy plan.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import aggregates, joins, scoring, series, templates
+from ..sources.files import stored
 
 
 def metric_table(points: DataFrame, ip_map: DataFrame | None = None, step: int = 30_000, n_grid: int | None = None) -> DataFrame:
@@ -18,18 +22,17 @@ def metric_table(points: DataFrame, ip_map: DataFrame | None = None, step: int =
     if ip_map is not None:
         points = joins.fan_out(points, ip_map)
     single = aggregates.reduce_duplicates(points).where("value is not null").withColumn("feature", scalars.canonical_feature(F.col("feature")))
-    # What several branches read is kept, or each branch would compute it from the files again
-    merged = aggregates.mean_by(single, ["ts_ms", "service", "feature"]).persist()
+    merged = stored(aggregates.mean_by(single, ["ts_ms", "service", "feature"]), "metrics")
     cell = scalars.bucket(F.col("ts_ms"), step)
     if n_grid is None:
         n_grid = merged.agg(F.count_distinct(cell)).first()[0]
-    good = aggregates.quality_filter(aggregates.metric_quality(merged, n_grid, step)).persist()  # a row for each series
+    good = stored(aggregates.quality_filter(aggregates.metric_quality(merged, n_grid, step)), "series")
     shared = series.common_features(good)
     kept = merged.join(good.select("service", "feature"), ["service", "feature"], "left_semi").join(shared, "feature", "left_semi")
-    cells = aggregates.mean_by(kept.withColumn("bucket_ms", cell), ["bucket_ms", "service", "feature"]).persist()
+    cells = stored(aggregates.mean_by(kept.withColumn("bucket_ms", cell), ["bucket_ms", "service", "feature"]), "cells")
     grid, names = cells.select("bucket_ms").distinct(), cells.select("service", "feature").distinct()
-    dense = grid.crossJoin(joins.small(names)).join(cells, ["bucket_ms", "service", "feature"], "left")
-    filled = series.ffill(dense, ["service", "feature"], ["bucket_ms"], "value").persist()
+    dense = grid.crossJoin(names).join(cells, ["bucket_ms", "service", "feature"], "left")
+    filled = stored(series.ffill(dense, ["service", "feature"], ["bucket_ms"], "value"), "filled")
     return aggregates.min_max(aggregates.drop_flat(filled), ["service", "feature"]).select("bucket_ms", "service", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -37,7 +40,7 @@ def label_table(faults: DataFrame, grid: DataFrame, services: DataFrame, step: i
     """Fault messages to a label for every (bucket_ms, service) of the grid: y and the types met."""
     events = scalars.classify_fault(faults, zone=zone)
     cells = aggregates.labels_by_cell(joins.intervals_to_grid(events, step))
-    every = grid.crossJoin(joins.small(services))
+    every = grid.crossJoin(services)
     return every.join(cells, ["bucket_ms", "service"], "left").select("bucket_ms", "service", F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
 
 
@@ -63,7 +66,7 @@ def score_metrics(cells: DataFrame, labels: DataFrame, alpha: float = 0.7, w: in
     """
     energy = scoring.residual_energy(cells, w, ts="bucket_ms")
     seen = series.mask_labels(labels.select("bucket_ms", "service", "y"), w=w)
-    rows = series.chrono_split(energy.join(seen, ["bucket_ms", "service"]), "bucket_ms", frac).persist()  # read by every step of the fit
+    rows = stored(series.chrono_split(energy.join(seen, ["bucket_ms", "service"]), "bucket_ms", frac), "rows")  # read by every step of the fit
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
     scored = scoring.robust_prob(scoring.residual_classifier(train, test, ["energy"]), "energy")
     scored = scored.withColumn("score", scoring.fuse(F.col("p_cls"), F.col("prob"), alpha))

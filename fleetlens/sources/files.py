@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,6 +82,20 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def write_named_files(df: DataFrame, root: str, name: str, form: str = "csv") -> None:
+    """A6, the reverse of A3 and A5. One file below ``root`` for each value of ``name``, which is its file name, of the other columns."""
+    spark = df.sparkSession
+    write_table(df.repartition(name), f"{root}-parts", [name], form=form)
+    jvm = spark.sparkContext._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(root))
+    for part in system.globStatus(path(f"{root}-parts/{name}=*/part-*")):
+        at = part.getPath()
+        system.rename(at, path(f"{root}/{at.getParent().getName().split('=', 1)[1]}"))
+    system.delete(path(f"{root}-parts"), True)
+
+
 def read_windows(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """A7. Windows in the order of their number, the first few if wanted."""
     frame = spark.read.parquet(path)
@@ -119,10 +136,31 @@ def append_run(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("mergeSchema", True).parquet(path)
 
 
+_MADE: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or in the system's temp folder."""
-    import tempfile
-    import uuid
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); on a single machine, if that is unset, in the system's temp folder.
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    All paths of an application are in one folder, which goes when the application ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    folder = f"{root.rstrip('/')}/fleetlens-{spark.sparkContext.applicationId}"
+    if folder not in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _MADE.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several branches read is computed once, and lost executors cost no recomputation."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,15 @@
 
 import datetime
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlens.functions import scalars
-from fleetlens.operators import aggregates, joins, scoring, series, templates
+from fleetlens.operators import aggregates, joins, ranks, scoring, series, templates
 from fleetlens.sources import files
 from fleetlens.streaming import rollups
 
@@ -36,8 +38,8 @@ def test_a2_a3_a3b_a4_file_names(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("timestamp,value\n1625068800000,1.5\n1625068830000,bad\n")
     got = {(r["service"], r["ip"], r["feature"], r["value"]) for r in files.read_metric_files(spark, f"file://{tmp_path}").collect()}
     assert got == {("svc1", "10.0.0.1", "docker_cpu_total", 1.5), ("svc1", "10.0.0.1", "docker_cpu_total", None), ("system", "10.0.0.2", "load", 1.5), ("system", "10.0.0.2", "load", None)}
-    hosts = files.host_of_file(spark.read.csv(f"file://{tmp_path}", header=True)).select("host").distinct().collect()
-    assert {r["host"] for r in hosts} == {"svc1", "system"}
+    hosts = files.host_of_file(spark.read.csv(f"file://{tmp_path}", header=True)).select("host", "stem").distinct().collect()
+    assert {(r["host"], r["stem"]) for r in hosts} == {("svc1", "svc1_10.0.0.1_docker_cpu_total_2021-07-01_2021-07-15"), ("system", "system_10.0.0.2_load_2021-07-01_2021-07-15"), ("svc1", "svc1_load_without_dates")}
     some = files.read_entities(spark, f"file://{tmp_path}", "{entity}_*.csv", ["svc1", "gone"], AB)
     assert some.count() == 4
     assert files.read_entities(spark, f"file://{tmp_path}", "{entity}_*.csv", ["gone"], AB).count() == 0
@@ -134,14 +136,58 @@ def test_c2_nested_traces(spark):
     assert [(r["host"], r["parent_host"], r["start"], r["stop"]) for r in got] == [("a", "start", "s", "e"), ("b", "a", "s", "e"), ("c", "b", "s", None), ("d", "a", None, "e"), ("e", "start", "s", "e")]
 
 
+def test_c2_deep_traces_are_whole_or_an_error(spark):
+    deep = {"trace_id": "leaf", "info": {"host": "h0"}, "children": []}
+    for i in range(1, 20):
+        deep = {"trace_id": f"t{i}", "info": {"host": f"h{i}"}, "children": [deep]}
+    frame = spark.createDataFrame([(json.dumps({"trace_id": "root", "children": [deep]}),)], "body string")
+    assert joins.flatten_traces(frame, max_depth=20).count() == 20
+    with pytest.raises(Exception, match="max_depth"):
+        joins.flatten_traces(frame, max_depth=16).collect()
+
+
+def test_c4_smallest_ip_wins(spark):
+    metrics = spark.createDataFrame([(1, "system", "10.0.0.10", "cpu", 5.0), (1, "system", "10.0.0.9", "cpu", 7.0), (1, "system", "10.0.0.10", "mem", 3.0), (1, "a", "10.0.0.9", "own", 1.0)], "ts_ms long, service string, ip string, feature string, value double")
+    ips = spark.createDataFrame([("10.0.0.10", "a"), ("10.0.0.9", "a"), ("10.0.0.10", "b"), ("10.0.0.10", "b")], "ip string, service string")
+    got = sorted((r["service"], r["feature"], r["value"]) for r in joins.fan_out(metrics, ips).collect())
+    assert got == [("a", "host_cpu", 7.0), ("a", "host_mem", 3.0), ("a", "own", 1.0), ("b", "host_cpu", 5.0), ("b", "host_mem", 3.0)]
+
+
+def test_c9_codes_follow_the_order_of_the_text(spark):
+    names = ["", "a", "aaaaaaaa", "aaaaaaab", "aaaaaaac", "b", "z", "é", "日本"]
+    frame = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "name string")
+    assert [r["name"] for r in joins.dictionary_of(frame, "name").orderBy("code").collect()] == names
+    assert [r["code"] for r in joins.dictionary_of(frame, "name").orderBy("code").collect()] == list(range(len(names)))
+
+
+def test_running_totals_and_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([rng.randint(0, 9), rng.random() * 100]) * 1.0) for k in ["a"] * 300 + ["b"] * 41 + [None] * 7] + [("c", 5.0), ("d", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    counted = ranks.counts_of(frame, "v", ("k",))
+    for ranges in (2, 5, 64):
+        for r in ranks.with_running_totals(counted, F.col("v"), ["n"], ("k",), ranges=ranges).collect():
+            assert r["n_before"] == sum(k == r["k"] and v is not None and v < r["v"] for k, v in rows)
+    got = {r["k"]: r["q"] for r in ranks.quantiles(counted, "v", [0.05, 0.5, 0.95], ("k",)).collect()}
+    disc = {r["k"]: r["q"] for r in ranks.quantiles(counted, "v", [0.5, 0.0, 1.0], ("k",), discrete=True).collect()}
+    for k in ("a", "b", "c", None):
+        values = sorted(v for x, v in rows if x == k)
+        assert got[k] == pytest.approx(np.quantile(values, [0.05, 0.5, 0.95]))
+        assert disc[k] == [values[(len(values) + 1) // 2 - 1], values[0], values[-1]]
+    assert "d" not in got
+    assert ranks.quantiles(ranks.counts_of(frame.limit(0), "v"), "v", [0.5]).first()["q"] == [None]
+
+
 def test_c3_edges_of_cells(spark):
     rows = [(0, "a", "[x]", 5, 25), (1, "a", "[x]", 30, 60), (2, "b", "[y]", 50, 40), (3, "a", "[normal]", 5, 9), (4, "a", "[y]", 8, 9), (5, "a", "[x]", 1, None), (6, "zz", "[x]", 1, 2)]
     events = spark.createDataFrame(rows, "idx long, service string, anomaly_type string, st_ms long, ed_ms long")
     cells = joins.intervals_to_grid(events, 30, ["a", "b"])
     assert sorted((r["bucket_ms"], r["idx"]) for r in cells.collect()) == [(0, 0), (0, 4), (30, 1), (60, 1)]
     assert {(r["bucket_ms"], tuple(r["types"])) for r in aggregates.labels_by_cell(cells).collect()} == {(0, ("[x]", "[y]")), (30, ("[x]",)), (60, ("[x]",))}
-    with pytest.raises(Exception, match="max_cells"):
-        joins.intervals_to_grid(events, 30, max_cells=1).collect()
+    long = spark.createDataFrame([(0, "a", "[x]", 5, 30 * 1000 + 7), (1, "a", "[x]", 5, 30 * 6 - 1)], "idx long, service string, anomaly_type string, st_ms long, ed_ms long")
+    for chunk in (1, 3, 7, 10_000):
+        got = sorted((r["idx"], r["bucket_ms"]) for r in joins.intervals_to_grid(long, 30, chunk=chunk).collect())
+        assert got == [(0, 30 * i) for i in range(1001)] + [(1, 30 * i) for i in range(6)]
 
 
 def test_d6_every_branch(spark):
@@ -176,6 +222,68 @@ def test_g2_resume_and_greedy(spark):
     assert sorted((r["template_id"], " ".join(r["template"])) for r in grown) == [(1, "open file <:*:> ok"), (2, "open file was never seen here"), (3, "close it")]
 
 
+def test_g2_chunks_of_a_leaf_are_merged(spark):
+    rng = random.Random(1)
+    lines = [(i, f"send part {rng.choice('abcdefgh')}{i} to peer now") for i in range(60)] + [(100 + i, f"send part x{i} was lost on way") for i in range(40)]
+    lines = [(i, t if i < 100 else t.replace("part x", "part q")) for i, t in lines]
+    frame = spark.createDataFrame(lines, "line_id long, payload string")
+    whole, cut = ({(" ".join(r["template"]), r["size"], r["first"]) for r in templates.mine_greedy(frame, 0.6, chunk=chunk).collect()} for chunk in (5000, 7))
+    assert whole == cut == {("send part <:*:> to peer now", 60, 0), ("send part <:*:> was lost on way", 40, 100)}
+
+
+def test_h1b_against_eigenvectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3)) @ np.array([[3.0, 1.0, 0.2], [0.0, 1.0, 0.5], [0.0, 0.0, 0.3]])
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i int, a double, b double, c double")
+    got = [r["energy"] for r in scoring.pca_energy(frame, ["a", "b", "c"]).orderBy("i").collect()]
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, -2:]
+    centred = x - x.mean(0)
+    assert got == pytest.approx(((centred - centred @ axes @ axes.T) ** 2).sum(1), abs=1e-9)
+
+
+def test_h10_against_newton_steps(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=200)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(2 * x - 0.5)))).astype(int)
+    rows = [(i, float(v), int(k)) for i, (v, k) in enumerate(zip(x, y))]
+    frame = spark.createDataFrame(rows + [(900, 5.0, 2)], "i int, energy double, y_seen int")
+    got = [r["p_cls"] for r in scoring.residual_classifier(frame, frame.where("i < 900"), ["energy"]).orderBy("i").collect()]
+    beta, design = np.zeros(2), np.column_stack([np.ones(200), x])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve((design.T * (p * (1 - p))) @ design, design.T @ (y - p))
+    assert got == pytest.approx(1 / (1 + np.exp(-design @ beta)), abs=1e-3)
+
+
+def test_scaling_fitted_on_the_first_part(spark):
+    points = spark.createDataFrame([("s", 1, 0.0), ("s", 2, 10.0), ("s", 3, 20.0)], "service string, at int, value double")
+    assert [r["value"] for r in aggregates.min_max(points, ["service"], fit_on=F.col("at") < 3).orderBy("at").collect()] == [0.0, 1.0, 2.0]
+    stats = spark.createDataFrame([("a", "b", "OK", 1, 4.0), ("a", "b", "OK", 9, 8.0)], "src string, dst string, status_code string, at int, duration_sum double")
+    got = aggregates.scale_by_mean(stats, 2, factor=1, fit_on=F.col("at") < 5).orderBy("at").collect()
+    assert [r["scaled"] for r in got] == pytest.approx([2.0, 4.0], abs=1e-5)
+    counts = spark.createDataFrame([(0, "h", "t1", 4), (1, "h", "t1", 8), (1, "h", "t2", 2)], "bucket_ms long, service string, template_id string, n long")
+    full = {(r["bucket_ms"], r["template_id"]): r["scaled"] for r in aggregates.scale_counts(counts, ["template_id"], mode="buckets", n_grid=2).collect()}
+    short = {(r["bucket_ms"], r["template_id"]): r["scaled"] for r in aggregates.scale_counts(counts, ["template_id"], mode="buckets", n_grid=3).collect()}
+    assert full == pytest.approx({(0, "t1"): 3 / 7, (1, "t1"): 1.0, (1, "t2"): 1.0}, abs=1e-5)
+    assert short == pytest.approx({(0, "t1"): 0.5, (1, "t1"): 1.0, (1, "t2"): 1.0}, abs=1e-5)
+
+
+def test_e1c_missing_ends_come_from_the_span_before(spark):
+    spans = spark.createDataFrame([("f1", "000000", "5"), ("f1", "000001", None), ("f1", "000001.000000", None), ("f2", "000000", None), ("f2", "000001", "9")], "stem string, position string, stop string")
+    got = series.ffill(spans, ["stem"], ["position"], "stop", None).orderBy("stem", "position").collect()
+    assert [r["stop"] for r in got] == ["5", "5", "5", None, "9"]
+
+
+def test_streaming_edges(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(at + datetime.timedelta(seconds=10 * i), "a", f"b{i % 2}", "OK", float(i)) for i in range(30)] + [(at + datetime.timedelta(hours=1), "z", "z", "OK", 0.0)]
+    spark.createDataFrame(rows, "ts timestamp, src string, dst string, status_code string, duration_s double").write.parquet(f"file://{tmp_path}/in")
+    rolled = rollups.edge_rollup(rollups.read_stream(spark, f"file://{tmp_path}/in"))
+    rollups.write_stream(rolled, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(120)
+    got = spark.read.parquet(f"file://{tmp_path}/out").where("src = 'a'").groupBy("dst").agg(F.sum("n"), F.sum("duration_sum")).orderBy("dst").collect()
+    assert [tuple(r) for r in got] == [("b0", 15, 210.0), ("b1", 15, 225.0)]
+
+
 def test_h_edges(spark):
     none = spark.createDataFrame([(0, 0, 0.2), (0, 0, 0.3)], "y int, yhat int, s double")
     assert scoring.prf(none, "y", "yhat").select("precision", "recall", "f1").first()[:] == (0.0, 0.0, 1.0)
