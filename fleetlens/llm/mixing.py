@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from . import common
 
 WEIGHTS, MAX_REPEAT, BLOCK_WORDS, SLOTS_PER_SHARD, SEED = (1, 2, 3), 3, 128, 4096, 17
-#: Sources whose draws one shard can hold in memory; a mix of more is refused rather than thinned.
-MAX_SOURCES = 1_000_000
+#: Sources that are drawn among at a time, and shards that a task draws for at a time
+GROUP_SOURCES, CHUNK_SHARDS = 100_000, 10_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -100,22 +100,35 @@ def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: in
     rest = F.round((F.col("target") - rounds * F.col("source_size")) * blocks / F.col("source_size"))
     quotas = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), (rounds * blocks + rest).cast("long").alias("quota")).where("quota > 0")
     quotas = common.materialize(quotas, "quotas")
-    n, total = quotas.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
-    if n > MAX_SOURCES:
-        raise ValueError(f"{n} sources; a mix holds {MAX_SOURCES} at most")
-    ranks, parts = (np.array(x) for x in zip(*quotas.select("rank", "quota").orderBy("rank").collect())) if n else (np.zeros(0, int), np.zeros(0))
-    shared = spark.sparkContext.broadcast((ranks, parts / max(total, 1)))
+    total = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     shards = -(-total // per_shard)
+    # A multinomial in two steps: how many slots go to each group of sources, then to each source of a group
+    group = F.floor(F.col("rank") / GROUP_SOURCES).alias("group")
+    groups = quotas.groupBy(group).agg(F.sum("quota").alias("quota")).orderBy("group").collect()  # one row for 100,000 sources
+    names, odds = np.array([r["group"] for r in groups], np.int64), np.array([r["quota"] for r in groups]) / max(total, 1)
 
-    def draw(batches):
-        names, odds = shared.value
+    def draw_groups(batches):
         for batch in batches:
             for shard in batch["id"]:
                 counts = np.random.default_rng([seed, shard]).multinomial(min(per_shard, total - shard * per_shard), odds)
                 some = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "rank": names[some], "drawn": counts[some]})
-
-    drawn = common.materialize(spark.range(shards).mapInPandas(draw, "shard long, rank long, drawn long"), "draws")
+                yield pd.DataFrame({"shard": shard, "group": names[some], "n": counts[some]})
+
+    def draw_sources(slots: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"shard": np.zeros(0, np.int64), "rank": np.zeros(0, np.int64), "drawn": np.zeros(0, np.int64)})]
+        sources = sources.sort_values("rank")
+        ranks, parts = sources["rank"].to_numpy(), sources["quota"].to_numpy()
+        for shard, one, n in zip(slots["shard"].tolist(), slots["group"].tolist(), slots["n"].tolist()):
+            counts = np.random.default_rng([seed, shard, one]).multinomial(n, parts / parts.sum())
+            some = np.flatnonzero(counts)
+            out.append(pd.DataFrame({"shard": shard, "rank": ranks[some], "drawn": counts[some]}))
+        return pd.concat(out)
+
+    chunks = max(1, -(-shards // CHUNK_SHARDS))
+    slots = spark.range(shards).mapInPandas(draw_groups, "shard long, group long, n long").withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS))
+    members = quotas.select("rank", "quota", group, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    drawn = slots.groupBy("group", "chunk").cogroup(members.groupBy("group", "chunk")).applyInPandas(draw_sources, "shard long, rank long, drawn long")
+    drawn = common.materialize(drawn, "draws")
     # Slot numbers run through the shards source by source: a running sum over (source, shard), less the source's own start
     numbered = with_running_sum(drawn, [F.col("rank"), F.col("shard")], "drawn", "at")
     starts = numbered.groupBy("rank").agg(F.min("at").alias("start"), F.sum("drawn").alias("all_drawn"))
