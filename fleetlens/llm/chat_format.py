@@ -16,8 +16,6 @@ work is about proportional to a conversation's length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +39,15 @@ def unescape(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _merged(turns: Column) -> Column:
     """Runs of neighbouring turns of a role as array<struct<role, texts>>."""
 
     def runs(t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: ~F.get(t, i)["role"].eqNullSafe(F.get(t, i - 1)["role"]))
         run = lambda at, s, k: F.slice(t, s + 1, F.coalesce(F.get(at, k + 1), F.size(t)) - s)
-        return _let(starts, lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s)["role"].alias("role"), F.transform(run(at, s, k), lambda x: x["text"]).alias("texts"))))
+        return common.let(starts, lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s)["role"].alias("role"), F.transform(run(at, s, k), lambda x: x["text"]).alias("texts"))))
 
-    return _let(turns, runs)
+    return common.let(turns, runs)
 
 
 def _sums_before(sizes: Column) -> Column:
@@ -71,9 +64,9 @@ def _sums_before(sizes: Column) -> Column:
 
     def total(chunks: Column) -> Column:
         every = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
-        return _let(summed(every, F.lit(0).cast("bigint")), lambda starts: F.flatten(F.transform(chunks, lambda c, i: summed(c, F.get(starts, i)))))
+        return common.let(summed(every, F.lit(0).cast("bigint")), lambda starts: F.flatten(F.transform(chunks, lambda c, i: summed(c, F.get(starts, i)))))
 
-    return _let(sizes, lambda given: _let(chunked(given), total))
+    return common.let(sizes, lambda given: common.let(chunked(given), total))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -106,9 +99,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     def spans(found: Column) -> Column:
         sizes = F.transform(found, lambda p: p["size"].cast("bigint"))
         span = lambda before, p, i: F.when(p["loss"], F.struct((F.get(before, i) + 1).cast("int").alias("start"), p["size"].alias("length")))
-        return _let(_sums_before(sizes), lambda before: F.filter(F.transform(found, lambda p, i: span(before, p, i)), lambda x: x.isNotNull()))
+        return common.let(_sums_before(sizes), lambda before: F.filter(F.transform(found, lambda p, i: span(before, p, i)), lambda x: x.isNotNull()))
 
-    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), _let(pieces, spans).alias("loss_spans"))
+    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), common.let(pieces, spans).alias("loss_spans"))
 
 
 def _read_spans(text: Column, spans: Column) -> Column:
@@ -123,9 +116,9 @@ def _read_spans(text: Column, spans: Column) -> Column:
             last = F.floor((span["start"] + span["length"] - 1) / n).cast("int")
             return F.substr(F.array_join(F.slice(of, first + 1, last - first + 1), ""), span["start"] - first * n, span["length"])
 
-        return _let(pieces, lambda of: F.transform(spans, lambda span: part(of, span)))
+        return common.let(pieces, lambda of: F.transform(spans, lambda span: part(of, span)))
 
-    return _let(size, read)
+    return common.let(size, read)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:

@@ -57,6 +57,11 @@ def unpacked(df: DataFrame, columns: list[str], *kept: str) -> DataFrame:
     return df.select(*[F.col(c) if c in kept else F.col("_row").getField(c).alias(c) for c in columns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,5 +1,7 @@
+import random
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,3 +51,36 @@ def test_random_sequences(spark):
 
 def test_no_rows(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def comment(text, width, mark):
+    """A notice as it stands in a file: capitals, stops, comment marks, lines."""
+    words = [w.capitalize() if i % 9 == 0 else w + "," * (i % 7 == 3) for i, w in enumerate(text.split())]
+    return "\n".join(mark + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_notices_in_files(spark):
+    rng = random.Random(2)
+    texts, wanted = [], []
+    for label, text in license_scan.NOTICES.items():
+        words = text.split()
+        key = license_scan.PHRASES[next(k for name, _, k, _ in license_scan.TEMPLATES if name == label)][0]
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        edited = words[: at + len(key)] + [w if rng.random() > 0.1 else "changed" for w in words[at + len(key) :]]
+        longer = "Copyright 2020 by some people who wrote it all".split() + words[: at + len(key)] + ["(in", "short)"] + words[at + len(key) :]
+        without = [w if not at <= i < at + len(key) else "x" for i, w in enumerate(words)]
+        for variant, found in ((words, True), (edited, True), (longer, True), (without, False), (key, False), (words[: at + len(key) + 1][-3:], False)):
+            texts.append("code before it;\n" + comment(" ".join(variant), 11, " * ") + "\nint main() { return 0; }")
+            wanted.append(label if found else "")
+    texts.append(comment(license_scan.NOTICES["mit"], 8, "# ") + "\n\n" + comment(license_scan.NOTICES["apache-2"], 20, "// "))
+    wanted.append("apache-2,mit")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["notices"] for r in license_scan.scan_licenses(frame).collect()}
+    # gpl notices without their name hold no other licence's name either, and the lesser licence's name is not the general one's
+    assert [got[i] for i in range(len(texts))] == wanted
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    columns = [c for c in license_scan.scan_licenses(frame).drop("text", "places").columns]
+    rows = con.execute(f"SELECT {', '.join(columns)} FROM ({license_scan.oracle()})").fetchall()
+    assert sorted(rows) == sorted(tuple(r) for r in license_scan.scan_licenses(frame).select(*columns).collect())
