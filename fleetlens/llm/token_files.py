@@ -42,6 +42,15 @@ def read_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select("doc_id", "n_tokens", *_place())
 
 
+def read_tokens(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """doc_id, n_tokens and token_ids of the documents from ``first`` to ``last``.
+
+    Rows stand in doc_id order and the filter goes down to the scan, so files and row groups of other ids are left out by
+    their statistics, and pages by the page index.
+    """
+    return spark.read.parquet(folder).select("doc_id", "n_tokens", "token_ids").where(F.col("doc_id").between(first, last))
+
+
 def _place() -> list:
     file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
     return [file.alias("file"), F.col("_metadata.row_index").alias("row")]

@@ -35,3 +35,26 @@ def test_files_edges_and_order(spark, edge_docs, tmp_path):
     assert [r["start"] for r in rows] == list(itertools.accumulate([r["n_tokens"] for r in rows], initial=0))[:-1]
     token_files.write_token_files(edge_docs.limit(0), f"{folder}-none", files=2)
     assert token_files.with_starts(token_files.read_lengths(spark, f"{folder}-none")).count() == 0
+
+
+def test_selective_reads(spark, tmp_path):
+    docs = common.table(spark, SMALL.replace("sf0.001", "sf0.01"), "documents")
+    folder = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(docs, folder, files=3)
+    parts = sorted((tmp_path / "tokens").glob("*.parquet"))
+    ranges = []
+    for part in parts:
+        group = pq.ParquetFile(part).metadata.row_group(0)
+        by_name = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        ids, tokens = by_name["doc_id"], next(c for n, c in by_name.items() if n.startswith("token_ids"))
+        assert ids.has_column_index and ids.has_offset_index and tokens.has_offset_index and "RLE_DICTIONARY" in tokens.encodings
+        ranges.append((ids.statistics.min, ids.statistics.max))
+    assert len(parts) == 3 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    low, high = ranges[1][0], ranges[1][0] + 20
+    some = token_files.read_tokens(spark, folder, low, high)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(doc_id,{low})" in plan and f"LessThanOrEqual(doc_id,{high})" in plan
+    every = {r["doc_id"]: r["token_ids"] for r in spark.read.parquet(folder).collect()}
+    assert {r["doc_id"]: r["token_ids"] for r in some.collect()} == {i: t for i, t in every.items() if low <= i <= high}
+    lengths = token_files.read_lengths(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "token_ids" not in lengths.split("ReadSchema")[-1]
