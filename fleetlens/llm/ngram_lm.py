@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesvec import LOWER, U, Words, bytes_of, mix
+from .bytesvec import LOWER, U, Words, bytes_of
 
 #: Words whose counts are broadcast: they have numbers by falling count, UNKNOWN and START follow them; others go by their hash.
-MOST_WORDS, SPAN = 262_142, 1 << 18
+MOST_WORDS, SPAN = (1 << 19) - 2, 1 << 19
 #: Of these, the words whose pairs are broadcast, with UNKNOWN and START.
-HEAD = 1022
+HEAD = 2046
 BACKOFF, LEAST_COUNT = 0.4, 2
 
 
@@ -66,15 +66,18 @@ class Vocabulary:
         # no task sorts all words and no more than the vocabulary comes to the driver
         sizes = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n"))))
         least = sizes.where(F.col("above") <= most).agg(F.min("n")).first()[0]
-        top = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).toPandas().sort_values(["n", "word"], ascending=[False, True])
+        top = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).toArrow()
+        hashes, n = top["word"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64)
+        rank = np.lexsort((hashes, -n))
+        hashes, n = hashes[rank], n[rank]
+        self.size, self.merge = len(n), merge
         self.total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        hashes, self.counts, self.merge = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), merge
-        self.order = np.argsort(hashes)
+        self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
-        #: Of every number, UNKNOWN and START included
+        #: Counts of every number, UNKNOWN and START included
         self.singles = np.ones(SPAN)
-        self.singles[: len(self.counts)] = self.counts
-        self.singles[SPAN - 2 :] = max(1, self.total - int(self.counts.sum())), max(1, starts)
+        self.singles[: self.size] = n
+        self.singles[SPAN - 2 :] = max(1, self.total - int(n.sum())), max(1, starts)
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """A word's number, otherwise its hash, or UNKNOWN if others are to merge."""
@@ -108,6 +111,24 @@ def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.diff(np.append(at, len(order)))
 
 
+def as_numbers(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both words in one number if they have numbers; otherwise a hash, and in ``more`` the other hash, or the other's number and its side."""
+    numbered, other = (before < SPAN) & (word < SPAN), word < SPAN
+    pair = np.where(numbered, before * SPAN + word, np.where(before >= SPAN, before, word))
+    more = np.where(numbered, 0, np.where(other, 2 * word + 1, np.where(before >= SPAN, word, 2 * before + 2)))
+    return pair, more
+
+
+def from_numbers(pair: Column, more: Column) -> tuple[Column, Column]:
+    """The words (before, word) of ``as_numbers``."""
+    bits = SPAN.bit_length() - 1
+    other = F.shiftright(more - 1, 1)
+    hashed = more >= 1 << 62
+    before = F.when(more == 0, F.shiftright(pair, bits)).when(hashed | (more % 2 == 1), pair).otherwise(other)
+    word = F.when(more == 0, pair.bitwiseAND(SPAN - 1)).when(hashed, more).when(more % 2 == 1, other).otherwise(pair)
+    return before, word
+
+
 def _head_pairs(texts: DataFrame, vocabulary, least: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the pairs of head words that were seen ``least`` times or more, and what each adds to a score."""
 
@@ -120,8 +141,8 @@ def _head_pairs(texts: DataFrame, vocabulary, least: int, backoff: float) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
     counted = texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= least).toPandas().sort_values("code")  # at most (HEAD + 2) ** 2
-    codes, n, singles = found["code"].to_numpy(np.int64), found["n"].to_numpy(float), vocabulary.value.singles
+    found = counted.where(F.col("n") >= least).toArrow().sort_by("code")  # at most (HEAD + 2) ** 2
+    codes, n, singles = found["code"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(float), vocabulary.value.singles
     return codes, np.log(n / singles[codes // SPAN]) - np.log(backoff * singles[codes % SPAN] / max(1, vocabulary.value.total))
 
 
@@ -175,27 +196,22 @@ def backoff_scores(docs: DataFrame, most_words: int | None = None, least: int =
                 )
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's distinct pairs beyond the head. Pairs of numbers are their own key, others have a hash and what it stands for."""
+        """Each text's distinct pairs beyond the head, as two numbers that both words can be read from."""
         for batch in batches:
             for part in common.slices(batch, batch.column("text")):
                 owner, before, words = vocabulary.value.neighbours(part.column("text"))
                 tail = ~(in_head(before) & in_head(words))
-                owner, before, words = owner[tail], before[tail], words[tail]
-                rare = (before >= SPAN) | (words >= SPAN)
-                hashed = mix(mix(before.view(U)) * U(0x9FB21C651E98DF25) + words.view(U)).view(np.int64) | np.int64(-(1 << 63))
-                keys = np.where(rare, hashed, before * SPAN + words)
-                at, times = _distinct(owner, keys)
-                plain = ~rare[at]
-                of = pa.StructArray.from_arrays([pa.array(before[at]), pa.array(words[at])], names=["before", "word"], mask=pa.array(plain))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner[at])), pa.array(keys[at]), pa.array(times.astype(np.int32)), of], names=["doc_id", "pair", "times", "of"])
+                owner = owner[tail]
+                pair, more = as_numbers(before[tail], words[tail])
+                at, times = _distinct(pair, more, owner)  # neighbouring rows have alike bytes, so they shuffle in a quarter less
+                yield pa.RecordBatch.from_arrays([pa.array(pair[at]), part.column("doc_id").take(pa.array(owner[at])), pa.array(more[at]), pa.array(times.astype(np.int32))], names=["pair", "doc_id", "more", "times"])
 
     alone = common.materialize(texts.mapInArrow(single, "doc_id long, n_words long, n_known long, score double, rare long, times long"), "words")
-    exploded = texts.mapInArrow(explode, "doc_id long, pair long, times int, of struct<before:long,word:long>")
-    seen = F.sum("times").over(Window.partitionBy("pair"))  # at most all words / HEAD rows of a pair
+    exploded = texts.mapInArrow(explode, "pair long, doc_id long, more long, times int")
+    seen = F.sum("times").over(Window.partitionBy("pair", "more"))  # at most all words / HEAD rows of a pair
     known = exploded.withColumn("n", seen).where(F.col("n") >= least)
-    before = F.coalesce("of.before", F.shiftright("pair", SPAN.bit_length() - 1))
-    word = F.coalesce("of.word", F.col("pair").bitwiseAND(SPAN - 1))
-    numbers = np.append(np.arange(len(vocabulary.value.counts)), [SPAN - 2, SPAN - 1])
+    before, word = from_numbers(F.col("pair"), F.col("more"))
+    numbers = np.append(np.arange(vocabulary.value.size), [SPAN - 2, SPAN - 1])
     singles = spark.createDataFrame(pa.table({"number": numbers, "log_single": np.log(vocabulary.value.singles[numbers])}))
     of = lambda name: F.broadcast(singles.select(F.col("number").alias(f"is_{name}"), F.col("log_single").alias(f"log_{name}")))
     share = float(np.log(backoff / total))

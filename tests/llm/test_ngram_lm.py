@@ -2,6 +2,7 @@ from collections import Counter
 import math
 import re
 
+import numpy as np
 import pytest
 
 from fleetlens.llm import ngram_lm
@@ -55,3 +56,26 @@ def test_words_that_are_not_broadcast_count_as_themselves(spark, monkeypatch, br
     for i, (n, missed, score) in enumerate(brute_force(texts)):
         assert (got[i]["n_words"], got[i]["n_backed_off"]) == (n, missed)
         assert got[i]["log_score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_pairs_as_numbers_and_back(spark):
+    high = (1 << 62) + 5
+    words = [0, 1, 77, ngram_lm.SPAN - 1, high, high + 2, (1 << 63) - 1]
+    given = [(a, b) for a in words for b in words]
+    pair, more = ngram_lm.as_numbers(*np.array(given).T)
+    assert len(set(zip(pair.tolist(), more.tolist()))) == len(given)
+    frame = spark.createDataFrame(list(zip(pair.tolist(), more.tolist(), range(len(given)))), "pair long, more long, i int")
+    before, word = ngram_lm.from_numbers(frame.pair, frame.more)
+    assert [tuple(r) for r in frame.orderBy("i").select(before, word).collect()] == given
+
+
+def test_many_words(spark, monkeypatch):
+    """More distinct words than are broadcast, each counting as itself."""
+    monkeypatch.setattr(ngram_lm, "MOST_WORDS", 70_000)
+    n = ngram_lm.MOST_WORDS + 3000
+    rows = [(i, " ".join(f"w{(i * 997 + k * k) % n}" for k in range(400))) for i in range(1500)] + [(5000 + i, f"tail{i} w7 tail{i}") for i in range(n // 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in ngram_lm.backoff_scores(docs).collect()}
+    for (i, _), (words, missed, score) in zip(rows, brute_force([t for _, t in rows])):
+        assert (got[i]["n_words"], got[i]["n_backed_off"]) == (words, missed)
+        assert got[i]["log_score"] == pytest.approx(score, abs=1e-6)
