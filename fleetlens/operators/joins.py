@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket
-from .ranks import with_running_totals
+from .ranks import numbered
 
 def last_spans(spans: DataFrame, order: list[Column]) -> DataFrame:
     """Of spans with the same (trace_id, span_id), the last by ``order``: a map-side maximum over a struct."""
@@ -121,11 +121,7 @@ def encode(df: DataFrame, col: str, dictionary: DataFrame, code: str = "code") -
 
 def dictionary_of(df: DataFrame, col: str, code: str = "code") -> DataFrame:
     """C9, D19. Distinct values in order and their numbers from 0."""
-    names = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
-    place = F.col(col)
-    if names.schema[col].dataType.typeName() == "string":  # the first seven bytes as a number, in the order of the text
-        place = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return with_running_totals(names, place, ["_one"], order=(col,)).select(col, F.col("_one_before").cast("long").alias(code))
+    return numbered(df.select(col).where(F.col(col).isNotNull()).distinct(), (col,), code).select(col, code)
 
 
 def on_edges(df: DataFrame, graph: DataFrame) -> DataFrame:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import counts_of, quantiles, with_running_totals
+from .blocks import with_frames
+from .ranks import exact_quantiles, with_running_totals
 
 
-def residual_energy(points: DataFrame, w: int = 10, node: str = "service", feature: str = "feature", ts: str = "ts_ms", value: str = "value") -> DataFrame:
+def residual_energy(points: DataFrame, w: int = 10, node: str = "service", feature: str = "feature", ts: str = "ts_ms", value: str = "value", blocks: int | None = None) -> DataFrame:
     """H1 (a). (node, ts, energy): squared distance of each value to the mean of the w - 1 before it, summed over features.
 
     Only values with w - 1 predecessors count. Frames carry the sums, so no window array is built.
     """
-    frame = Window.partitionBy(node, feature).orderBy(ts)
-    before = frame.rowsBetween(-(w - 1), -1)
-    error = F.pow(F.col(value) - F.avg(value).over(before), F.lit(2.0))
-    rows = points.withColumn("_e", error).withColumn("_n", F.count("*").over(before))
-    return rows.where(F.col("_n") == w - 1).groupBy(node, ts).agg(F.sum("_e").alias("energy"))
+
+    def frames(by):
+        before = by.rowsBetween(-(w - 1), -1)
+        return {"_e": F.pow(F.col(value) - F.avg(value).over(before), F.lit(2.0)), "_before": F.count("*").over(before)}
+
+    rows = with_frames(points, [node, feature], [ts], w - 1, frames, blocks)
+    return rows.where(F.col("_before") == w - 1).groupBy(node, ts).agg(F.sum("_e").alias("energy"))
 
 
 def pca_energy(vectors: DataFrame, features: list[str], k: int = 2) -> DataFrame:
@@ -47,19 +50,21 @@ def edge_error_to_nodes(errors: DataFrame, by: tuple[str, ...] = ("status_code",
     return ends.groupBy("node", *by).agg(F.sum("_half").alias(value))
 
 
-def robust_prob(df: DataFrame, col: str, constants: tuple[float, float] | None = None) -> DataFrame:
+def robust_constants(df: DataFrame, col: str) -> tuple[float | None, float | None]:
+    """H3. The lower median and the median of the distances to it, exact; a fit, which runs when it is called."""
+    (middle,) = exact_quantiles(df, F.col(col), [0.5])
+    (apart,) = exact_quantiles(df, F.abs(F.col(col) - F.lit(middle)), [0.5])
+    return middle, apart
+
+
+def robust_prob(df: DataFrame, col: str, constants: tuple[float | None, float | None] | None = None) -> DataFrame:
     """H3. Add ``prob``: the sigmoid of the distance to the lower median in units of 1.4826 MAD (1e-6 at least).
 
-    ``constants`` (median, MAD), if fitted before, replace those of the rows themselves.
+    ``constants`` (median, MAD), if fitted before, replace those of the rows themselves. Without any value all are null.
     """
-    if constants is None:
-        middle = quantiles(counts_of(df, col), col, [0.5], discrete=True).select(F.col("q")[0].alias("_m"))  # one row
-        far = counts_of(df.crossJoin(F.broadcast(middle)).select(F.abs(F.col(col) - F.col("_m")).alias("_far")), "_far")
-        apart = quantiles(far, "_far", [0.5], discrete=True).select(F.col("q")[0].alias("_d")).crossJoin(F.broadcast(middle))
-    else:
-        apart = df.sparkSession.range(1).select(F.lit(float(constants[0])).alias("_m"), F.lit(float(constants[1])).alias("_d"))
-    z = (F.col(col) - F.col("_m")) / (1.4826 * F.greatest(F.col("_d"), F.lit(1e-6)))
-    return df.crossJoin(F.broadcast(apart)).withColumn("prob", 1 / (1 + F.exp(-z))).drop("_m", "_d")  # one row
+    middle, apart = constants or robust_constants(df, col)
+    z = (F.col(col) - F.lit(middle)) / (1.4826 * F.greatest(F.lit(apart), F.lit(1e-6)))
+    return df.withColumn("prob", 1 / (1 + F.exp(-z)))
 
 
 def fuse(p: Column, r: Column, alpha: float = 0.7) -> Column:

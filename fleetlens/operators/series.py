@@ -7,20 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import with_running_totals
+from .blocks import with_frames, with_last
+from .ranks import numbered, with_running_totals
 
 
-def ffill(df: DataFrame, keys: list[str], order: list[str], col: str, limit: int | None = 10) -> DataFrame:
+def ffill(df: DataFrame, keys: list[str], order: list, col: str, limit: int | None = 10, blocks: int | None = None) -> DataFrame:
     """E1 (``limit`` rows back), E1b and E1c (``limit=None``). Nulls take the last value before them within the keys."""
-    start = Window.unboundedPreceding if limit is None else -limit
-    return df.withColumn(col, F.last(col, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(start, 0)))
+    if limit is None:
+        return with_last(df, keys, order, col, blocks)
+    return with_frames(df, keys, order, limit, lambda by: {col: F.last(col, ignorenulls=True).over(by.rowsBetween(-limit, 0))}, blocks)
+
+
+#: Steps of a stretch of a grid
+STRETCH = 10_000
+
+
+def _grid(spans: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
+    """Every step from _a to _z of each row: stretches first, so that no array is longer than one however long the span is."""
+    stretches = spans.select(*keys, "_z", F.explode(F.sequence("_a", "_z", F.lit(step * STRETCH).cast("long"))).alias("_a"))
+    return stretches.select(*keys, F.explode(F.sequence("_a", F.least("_z", F.col("_a") + step * (STRETCH - 1)), F.lit(step).cast("long"))).alias(ts))
 
 
 def fill_gaps(df: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
     """E2. Every step between the first and last time of each key; new rows have null values."""
     spans = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"))
-    grid = spans.select(*keys, F.explode(F.sequence("_a", "_z", F.lit(step).cast("long"))).alias(ts))
-    return grid.join(df, [*keys, ts], "left")
+    return _grid(spans, keys, ts, step).join(df, [*keys, ts], "left")
 
 
 def segments(grid: DataFrame, ts: str = "bucket_ms", step: int = 30_000, factor: int = 3) -> DataFrame:
@@ -34,25 +45,31 @@ def segments(grid: DataFrame, ts: str = "bucket_ms", step: int = 30_000, factor:
     return grid.select(ts).distinct().withColumn("_gap", gap).withColumn("segment", F.sum("_gap").over(by_time)).drop("_gap")
 
 
-def windows(df: DataFrame, node: list[str], ts: str, values: list[str], w: int = 10, stride: int = 1, segment: str | None = "segment") -> DataFrame:
+def windows(df: DataFrame, node: list[str], ts: str, values: list[str], w: int = 10, stride: int = 1, segment: str | None = "segment", blocks: int | None = None) -> DataFrame:
     """E4, E4b. One row for each run of ``w`` rows of a node (within a segment, if given), each ``stride`` rows.
 
     It has the last row's time, and ``steps``: an array of structs of the values, oldest first.
     """
     part = [*([segment] if segment else []), *node]
-    by_time = Window.partitionBy(*part).orderBy(ts)
-    rows = df.withColumn("_rn", F.row_number().over(by_time)).withColumn("steps", F.collect_list(F.struct(*values)).over(by_time.rowsBetween(-(w - 1), 0)))
-    return rows.where((F.col("_rn") >= w) & (F.pmod(F.col("_rn") - w, F.lit(stride)) == 0)).select(*part, F.col(ts).alias("end_ts"), "steps")
+    if stride > 1:  # which rows end a window depends on their numbers in the whole series
+        df = numbered(df, (ts,), "_place", 1 - w, tuple(part))
+    frames = lambda by: {"_rows": F.row_number().over(by), "steps": F.collect_list(F.struct(*values)).over(by.rowsBetween(-(w - 1), 0))}
+    rows = with_frames(df, part, [ts], w - 1, frames, blocks).where(F.col("_rows") >= w)
+    if stride > 1:
+        rows = rows.where(F.pmod(F.col("_place"), F.lit(stride)) == 0)
+    return rows.select(*part, F.col(ts).alias("end_ts"), "steps")
 
 
 def mask_labels(labels: DataFrame, node: str = "service", ts: str = "bucket_ms", y: str = "y", w: int = 10, percent: float = 0.5, mod: int = 10) -> DataFrame:
     """E5. Add ``y_seen``: the label, or 2 (unknown). From row ``w`` of each node on, labels of a class are counted,
-    and those whose count mod ``mod`` is ``mod * percent`` or more are hidden."""
-    by_time = Window.partitionBy(node).orderBy(ts)
-    late = (F.row_number().over(by_time) > w).cast("int")
-    counted = labels.withColumn("_late", late).withColumn("_n", F.sum("_late").over(Window.partitionBy(node, y).orderBy(ts)))
-    hidden = (F.col("_late") == 1) & (F.pmod(F.col("_n"), F.lit(mod)) >= mod * percent)
-    return counted.withColumn("y_seen", F.when(hidden, 2).otherwise(F.col(y))).drop("_late", "_n")
+    and those whose count mod ``mod`` is ``mod * percent`` or more are hidden.
+
+    Rows are numbered, and late ones counted by class, in ranges of time that hand their totals on.
+    """
+    placed = numbered(labels, (ts,), "_rn", keys=(node,)).withColumn("_late", (F.col("_rn") >= w).cast("long"))
+    counted = with_running_totals(placed, F.col(ts), ["_late"], (node, y))
+    hidden = (F.col("_late") == 1) & (F.pmod(F.col("_late_before") + 1, F.lit(mod)) >= mod * percent)
+    return counted.withColumn("y_seen", F.when(hidden, 2).otherwise(F.col(y))).drop("_late", "_late_before", "_rn")
 
 
 def chrono_split(df: DataFrame, order: str, frac: float = 0.7, embargo: int = 0) -> DataFrame:
@@ -76,9 +93,9 @@ def summarize(windows_: DataFrame, value: str, mode: str = "last") -> DataFrame:
     return windows_.withColumn("summary", F.element_at(of, -1) if mode == "last" else mean)
 
 
-def shift(df: DataFrame, keys: list[str], order: list[str], col: str) -> DataFrame:
+def shift(df: DataFrame, keys: list[str], order: list, col: str, blocks: int | None = None) -> DataFrame:
     """E8. Values one row later within the keys, 0 at the start."""
-    return df.withColumn(col, F.lag(col, 1, 0).over(Window.partitionBy(*keys).orderBy(*order)))
+    return with_frames(df, keys, order, 1, lambda by: {col: F.lag(col, 1, 0).over(by)}, blocks)
 
 
 def ordered(df: DataFrame, cols: list[str | Column]) -> DataFrame:
@@ -112,5 +129,5 @@ def common_features(df: DataFrame, entity: str = "service", feature: str = "feat
 
 def missing_steps(df: DataFrame, ts: str, step: int) -> DataFrame:
     """S3. Steps between the first and last time at which there is no row."""
-    span = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"))
-    return span.select(F.explode(F.sequence("_a", "_z", F.lit(step).cast("long"))).alias(ts)).join(df.select(ts).distinct(), ts, "left_anti")
+    span = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_z")).where("_a is not null")
+    return _grid(span, [], ts, step).join(df.select(ts).distinct(), ts, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import COMMON_MASKS, mask_tokens
-from .ranks import with_running_totals
+from .ranks import numbered
 
 WILD = "<:*:>"
 SEPARATOR = "\x01"
@@ -92,8 +92,7 @@ def mine_greedy(lines: DataFrame, similarity: float = 0.3, order: str = "line_id
 
 def assign_ids(templates: DataFrame, start: int = 1) -> DataFrame:
     """G3. Add template_id from ``start``, in the order in which templates were first seen, then by text."""
-    numbered = with_running_totals(templates.withColumn("_one", F.lit(1).cast("long")), F.col("first"), ["_one"], order=(F.array_join("template", " "),))
-    return numbered.withColumn("template_id", (F.col("_one_before") + start).cast("long")).drop("_one", "_one_before")
+    return numbered(templates, ("first", F.array_join("template", " ")), "template_id", start)
 
 
 def matches(tokens: Column, template: Column) -> Column:

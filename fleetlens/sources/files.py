@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranks import numbered
+
 
 def read_tolerant_csv(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
     """A1. Rows of CSV files whose end may be cut off inside a quoted field; bad bytes are replaced.
@@ -104,8 +106,7 @@ def read_windows(spark: SparkSession, path: str, first: int | None = None) -> Da
 
 def number_windows(windows: DataFrame, order: list[str]) -> DataFrame:
     """A7. Add window_id from 0 in the order of the distinct window ends."""
-    ends = windows.select(*order).distinct()
-    return windows.join(ends.withColumn("window_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")), order)
+    return windows.join(numbered(windows.select(*order).distinct(), tuple(order), "window_id"), order)
 
 
 def materialize(spark: SparkSession, output: str, inputs: list[str], build: Callable[[], DataFrame], force: bool = False) -> bool:
