@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import aggregates, joins, scoring, series, templates
-from .plans import telemetry
+from .plans import dataset, telemetry
 from .plans.adapters import adapt, with_adapters
 from .sources import files
 
@@ -723,6 +723,68 @@ def _(points, faults, lines):
     return scored.select("bucket_ms", "service", "y", r("p_cls", 3), r("prob", 4), r("score", 3), "predicted")
 
 
+@query("l1_edge_table", "spans", sql=f"WITH {_EDGES.format(step=86_400_000)}, g AS (select distinct src, dst from edges) select 'edge' as kind, bucket_ms, src, dst, status_code, round(sum(duration_s), 3) as duration_sum, round(avg(duration_s), 3) as duration_mean, count(*) as n from edges group by all union all select distinct 'graph', null, src, dst, null, null, null, null from (select src, dst from g union select dst, src from g)")
+def _(spans):
+    edges, graph = telemetry.edge_table(spans, _order(), 86_400_000)
+    return edges.select(F.lit("edge").alias("kind"), "bucket_ms", "src", "dst", "status_code", r("duration_sum", 3), r("duration_mean", 3), "n").unionByName(graph.withColumn("kind", F.lit("graph")), allowMissingColumns=True)
+
+
+def _aligned(points, faults, lines, spans):
+    """The tables of one fleet in ten-minute cells. Spans are of other years, so their traces are dealt out over the month of the events."""
+    labels = telemetry.label_table(faults, lines.select(scalars.bucket(F.col("ts_ms"), TEN).alias("bucket_ms")).distinct(), lines.select("service").distinct(), TEN)
+    templates_ = aggregates.template_counts(lines.withColumn("template_id", F.length("level").cast("long")), TEN)
+    logs, items = dataset.log_items(templates_, aggregates.level_counts(lines, TEN))
+    edges = joins.span_edges(spans, _order(), HOUR).withColumn("bucket_ms", F.lit(1704067200000) + F.col("trace_id") * 7919 % 4320 * TEN)
+    return dataset.load_raw(points, labels, logs, aggregates.edge_stats(edges), items, TEN, w=5)
+
+
+_ALIGNED = f"""{_LABELS.replace(str(HOUR), str(TEN))}, {_EDGES.format(step=HOUR)},
+  labels0 AS (select g.bucket_ms, s.service, cast(types is not null as int) as y from (select distinct ts_ms - ts_ms % {TEN} as bucket_ms from log_lines) g cross join (select distinct service from log_lines) s left join marked m on m.bucket_ms = g.bucket_ms and m.service = s.service),
+  nodes AS (select service, row_number() over (order by service) - 1 as node from (select distinct service from labels0)),
+  means AS (select ts_ms - ts_ms % {TEN} as bucket_ms, node, feature, avg(value) as value from metric_points join nodes using (service) group by all),
+  names AS (select node, feature, row_number() over (partition by node order by feature) - 1 as code from (select distinct node, feature from means)),
+  wide AS (select min(n) as n from (select count(*) as n from names group by node)),
+  grid AS (select bucket_ms, row_number() over (order by bucket_ms) as place, sum(gap) over (order by bucket_ms) as segment from (select bucket_ms, cast(coalesce(bucket_ms - lag(bucket_ms) over (order by bucket_ms) > {3 * TEN}, false) as bigint) as gap from (select distinct bucket_ms from means))),
+  metrics AS (select bucket_ms, m.node * wide.n + code as i, value as v from means m join names n on n.node = m.node and n.feature = m.feature, wide where code < wide.n),
+  seen AS (select l.bucket_ms, node, y, row_number() over (partition by node order by l.bucket_ms) > 5 as late from labels0 l join nodes using (service) join grid g on g.bucket_ms = l.bucket_ms),
+  masked AS (select bucket_ms, node, y, case when late and count(*) filter (late) over (partition by node, y order by bucket_ms) % 10 >= 5 then 2 else y end as y_seen from seen),
+  shown AS (select bucket_ms, string_agg(y_seen, '' order by node) as cls, string_agg(y, '' order by node) as truth, count(*) filter (y_seen = 1) as visible, count(*) filter (y = 1) as anomalies from masked group by 1),
+  lengths AS (select distinct length(level) as id from log_lines), codes AS (select 'template_'||id as item, row_number() over (order by id) - 1 as code from lengths union all select 'level_'||v, (select count(*) from lengths) + k from (values {', '.join(f"('{v}', {k})" for k, v in enumerate(_LEVELS))}) x(v, k) union all select 'log_total', (select count(*) from lengths) + {len(_LEVELS)}),
+  lines0 AS (select ts_ms - ts_ms % {TEN} as bucket_ms, service, level from log_lines),
+  counted AS (select bucket_ms, service, 'template_'||length(level) as item, count(*) as n from lines0 group by all union all select bucket_ms, service, item, n from (select bucket_ms, service, {', '.join(f"count(*) filter (level = '{v.upper()}') as level_{v}" for v in _LEVELS)}, count(*) as log_total from lines0 group by all) unpivot (n for item in ({', '.join(f'level_{v}' for v in _LEVELS)}, log_total))),
+  logs AS (select bucket_ms, node * (select count(*) from codes) + code as i, (n - min(n) over (partition by code)) / (max(n) over (partition by code) - min(n) over (partition by code) + 1e-6) as v from counted join nodes using (service) join codes using (item) semi join grid using (bucket_ms)),
+  kinds AS (select status_code, row_number() over (order by status_code) - 1 as kind from (select distinct status_code from edges)),
+  sums AS (select 1704067200000 + trace_id * 7919 % 4320 * {TEN} as bucket_ms, a.node as s, b.node as d, kind, sum(duration_s) as duration from edges e join nodes a on a.service = e.src join nodes b on b.service = e.dst join kinds using (status_code) where 1704067200000 + trace_id * 7919 % 4320 * {TEN} in (select bucket_ms from grid) group by all),
+  links AS (select bucket_ms, (s * (select count(*) from nodes) + d) * (select count(*) from kinds) + kind as i, duration / (10 * (sum(duration) over (partition by s, d, kind) / (select count(*) from grid)) + 1e-6) as v from sums),
+  ends AS (select *, row_number() over (partition by segment order by bucket_ms) as n from grid),
+  runs AS (select row_number() over (order by bucket_ms) - 1 as window_id, bucket_ms as end_ts, cast(segment as bigint) as segment, place from ends where n >= 5),
+  steps AS (select window_id, g.bucket_ms, g.place - r.place + 4 as t from runs r join grid g on g.place between r.place - 4 and r.place)"""
+
+
+@query(
+    "l2_window_dataset", "metric_points", "faults", "log_lines", "spans",
+    sql=f"""WITH {_ALIGNED}, m AS (select window_id, sum((i + 1 + t * (select count(*) from nodes) * (select n from wide)) * v) as s from steps join metrics using (bucket_ms) group by 1),
+  l AS (select window_id, count(*) as n, sum((i + 1 + t * (select count(*) from nodes) * (select count(*) from codes)) * v) as s from steps join logs using (bucket_ms) group by 1),
+  e AS (select window_id, count(*) as n, sum((i + 1 + t * pow((select count(*) from nodes), 2) * (select count(*) from kinds)) * v) as s, sum(v) as total from steps join links using (bucket_ms) group by 1)
+  select window_id, segment, end_ts, 5 * (select count(*) from nodes) * (select n from wide) as values, round(coalesce(m.s, 0) / pi(), 2) as metrics, coalesce(l.n, 0) as log_entries, round(coalesce(l.s, 0), 2) as logs, coalesce(e.n, 0) as edge_entries, round(coalesce(e.s, 0), 1) as edges, round(coalesce(total, 0), 4) as traces, cls, truth as real, visible, anomalies
+  from runs left join m using (window_id) left join l using (window_id) left join e using (window_id) join shown on shown.bucket_ms = end_ts""",
+)
+def _(points, faults, lines, spans):
+    got = dataset.window_dataset(_aligned(points, faults, lines, spans), 5)
+    weighed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + (x["index"] + 1) * x["value"])
+    by_place = F.aggregate(F.zip_with("data_node", F.sequence(F.lit(1), F.size("data_node")), lambda v, i: v * i), F.lit(0.0), lambda a, x: a + x)
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), "")
+    return got.select(
+        "window_id", "segment", "end_ts", F.size("data_node").alias("values"), F.round(by_place / F.pi(), 2).alias("metrics"), F.size("data_log").alias("log_entries"), F.round(weighed("data_log"), 2).alias("logs"),
+        F.size("data_edge").alias("edge_entries"), F.round(weighed("data_edge"), 1).alias("edges"), F.round("traces", 4).alias("traces"), flat("cls").alias("cls"), flat("real").alias("real"), "visible", "anomalies",
+    )
+
+
+@query("l2_window_counters", "metric_points", "faults", "log_lines", "spans", sql=f"WITH {_ALIGNED}, e AS (select window_id, sum(v) as total from steps join links using (bucket_ms) group by 1) select count(*) as windows, count(*) filter (visible > 0) as visible, count(*) filter (anomalies > 0) as real, count(*) filter (total > 0) as traced from runs join shown on shown.bucket_ms = end_ts left join e using (window_id)")
+def _(points, faults, lines, spans):
+    return aggregates.window_counters(dataset.window_dataset(_aligned(points, faults, lines, spans), 5), real="anomalies")
+
+
 # -- sources and sinks: what Spark writes from the tables, read back ---------------------------------------------------
 
 

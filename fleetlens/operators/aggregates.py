@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LEVELS, bucket, finite, reduce_mode
-from .ranks import counts_of, quantiles
+from ..sources.files import stored
+from .ranks import quantiles
 
 
 def template_counts(lines: DataFrame, step: int = 30_000, template: str = "template_id") -> DataFrame:
@@ -63,17 +64,17 @@ def mean_by(df: DataFrame, keys: list, value: str = "value") -> DataFrame:
 def metric_quality(points: DataFrame, n_grid: int, step: int = 30_000, exact: bool = True, keys: tuple[str, ...] = ("service", "feature")) -> DataFrame:
     """D9. Coverage, distinct values, share not 0, q95 - q05, its ratio to the mean and the score of each series.
 
-    Values are counted first; exact quantiles come from running totals of the counts, so no task holds a series.
-    ``exact=False`` estimates the quantiles in one pass.
+    The points are read twice: values are counted per series once and kept, and all but the cells follows from the counts; exact
+    quantiles come from running totals of them, so no task holds a series. ``exact=False`` estimates the quantiles in one pass.
     """
     keyed = points.withColumn("_v", finite(F.col("value"))).withColumn("_k", F.struct(*keys))
-    some, counts = keyed.where(F.col("_v").isNotNull()), counts_of(keyed, "_v", ("_k",))
+    some, counts = keyed.where(F.col("_v").isNotNull()), stored(keyed.groupBy("_k", "_v").agg(F.count("*").alias("n")), "values")
+    known = counts.where(F.col("_v").isNotNull())
     cells = some.select("_k", bucket(F.col("ts_ms"), step)).distinct().groupBy("_k").agg(F.count("*").alias("_cells"))
-    kinds = counts.groupBy("_k").agg(F.count("*").alias("unique_count"))
-    spread = quantiles(counts, "_v", [0.05, 0.95], ("_k",)).withColumnRenamed("q", "_q") if exact else some.groupBy("_k").agg(F.percentile_approx("_v", [0.05, 0.95], 10_000).alias("_q"))
-    got = keyed.groupBy("_k").agg(F.avg((F.abs("_v") > 1e-12).cast("double")).alias("non_zero_ratio"), F.avg(F.abs("_v")).alias("_mean"))
-    got = got.join(cells, "_k", "left").join(kinds, "_k", "left").join(spread, "_k", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
-    got = got.select("*", *(F.col("_k").getField(k).alias(k) for k in keys))
+    total = lambda v: F.sum(v * F.col("n")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("n")))
+    got = counts.groupBy("_k").agg(F.count("_v").alias("unique_count"), total((F.abs("_v") > 1e-12).cast("double")).alias("non_zero_ratio"), total(F.abs("_v")).alias("_mean"))
+    spread = quantiles(known, "_v", [0.05, 0.95], ("_k",)).withColumnRenamed("q", "_q") if exact else some.groupBy("_k").agg(F.percentile_approx("_v", [0.05, 0.95], 10_000).alias("_q"))
+    got = got.join(cells, "_k", "left").join(spread, "_k", "left").select("*", *(F.col("_k").getField(k).alias(k) for k in keys))
     span = F.coalesce(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0))
     out = got.select(*keys, F.coalesce(F.col("_cells") / F.lit(float(max(n_grid, 1))), F.lit(0.0)).alias("coverage"), "unique_count", F.coalesce("non_zero_ratio", F.lit(0.0)).alias("non_zero_ratio"), span.alias("dynamic_span"), F.coalesce(span / (F.col("_mean") + 1e-6), F.lit(0.0)).alias("dynamic_ratio"))
     score = F.col("coverage") * (0.5 + 0.5 * F.col("non_zero_ratio")) * (F.log1p("dynamic_span") + 0.1 * F.log1p("unique_count"))
@@ -201,9 +202,10 @@ def types_text(types: Column | str = "types") -> Column:
     return F.array_join(types, "|")
 
 
-def window_counters(windows: DataFrame) -> DataFrame:
+def window_counters(windows: DataFrame, visible: str = "visible", real: str = "real", traces: str = "traces") -> DataFrame:
     """D21. How many windows show a visible anomaly, a real one, and any trace."""
-    return windows.agg(F.count("*").alias("windows"), F.count_if(F.col("visible") > 0).alias("visible"), F.count_if(F.col("real") > 0).alias("real"), F.count_if(F.col("traces") > 0).alias("traced"))
+    some = lambda c, name: F.count_if(F.col(c) > 0).alias(name)
+    return windows.agg(F.count("*").alias("windows"), some(visible, "visible"), some(real, "real"), some(traces, "traced"))
 
 
 def unmatched_report(events: DataFrame, n: int = 10, chars: int = 150) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ranges that rows are dealt to at most, and rows of the sample for each of them
 MOST_RANGES, SAMPLE = 1000, 40
@@ -17,21 +18,37 @@ def range_count(df: DataFrame, ranges: int | None = None) -> int:
     return max(2, ranges or min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def bounds_of(df: DataFrame, at: Column, ranges: int) -> list:
+    """Values of ``at`` that cut the rows into about even ranges: of a sample, those whose hashes are the smallest. A job that runs at once."""
+    sample = df.select(F.struct(at.alias("v")).alias("s")).orderBy(F.xxhash64("s")).limit(SAMPLE * ranges)
+    whole = sample.agg(F.array_sort(F.collect_list("s")).alias("a"))
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("a", F.floor(i * F.size("a") / ranges).cast("int"))))
+    return [one for one in whole.select(cut).first()[0] if one is not None]  # fewer than ranges
+
+
+def literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*(literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)))
+    return F.lit(value).cast(kind)
+
+
 def in_ranges(df: DataFrame, at: Column, ranges: int | None = None, name: str = "_r") -> DataFrame:
     """Add the number of the range that each row is in, in the order of ``at`` (of any type that has one, texts and structs too).
 
-    The ranges' bounds stand in one row, made of the values whose hashes are the smallest: a sample that is the same whenever
-    and wherever it is taken, so nothing has to be kept. Which range a row is in depends on ``at`` alone. Bounds are found by halving.
+    The ranges' bounds are read from a sample first, as for any partitioning by ranges, and stand in the plan as a tree of
+    comparisons. Which range a row is in depends on ``at`` alone, so it is the same whenever and wherever it is computed.
     """
-    n = range_count(df, ranges)
-    sample = df.select(at.alias("_s")).orderBy(F.xxhash64("_s")).limit(SAMPLE * n).agg(F.array_sort(F.collect_list(F.struct("_s"))).alias("_all"))
-    bound = lambda i: F.get("_all", F.floor(i * F.size("_all") / n).cast("int"))
-    bounds = sample.select(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), bound), lambda b: b.isNotNull()).alias("_bounds"))
-    halves = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
-    dealt = df.withColumn("_at", F.struct(at.alias("_s"))).crossJoin(F.broadcast(bounds))  # one row
-    ahead = lambda i: F.get("_bounds", i - 1) < F.col("_at")
-    place = F.aggregate(halves, F.lit(0), lambda i, step: F.when((i + step <= F.size("_bounds")) & ahead(i + step), i + step).otherwise(i))
-    return dealt.withColumn(name, place).drop("_at", "_bounds")
+    wrapped = df.withColumn("_at", F.struct(at.alias("v")))
+    kind, bounds = wrapped.schema["_at"].dataType, bounds_of(df, at, range_count(df, ranges))
+
+    def place(lo: int, hi: int) -> Column:
+        """How many of the bounds are below, if those before ``lo`` are and those from ``hi`` on are not."""
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(F.col("_at") > literal(bounds[middle], kind), place(middle + 1, hi)).otherwise(place(lo, middle))
+
+    return wrapped.withColumn(name, place(0, len(bounds))).drop("_at")
 
 
 def with_running_totals(df: DataFrame, place: Column, values: list[str], keys: tuple[str, ...] = (), order: tuple = (), ranges: int | None = None) -> DataFrame:

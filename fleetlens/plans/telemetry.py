@@ -38,7 +38,7 @@ def metric_table(points: DataFrame, ip_map: DataFrame | None = None, step: int =
 
 def label_table(faults: DataFrame, grid: DataFrame, services: DataFrame, step: int = 30_000, zone: str = "UTC") -> DataFrame:
     """Fault messages to a label for every (bucket_ms, service) of the grid: y and the types met."""
-    events = scalars.classify_fault(faults, zone=zone)
+    events = stored(scalars.classify_fault(faults, zone=zone).select("idx", "service", "anomaly_type", "st_ms", "ed_ms"), "events")
     cells = aggregates.labels_by_cell(joins.intervals_to_grid(events, step))
     every = grid.crossJoin(services)
     return every.join(cells, ["bucket_ms", "service"], "left").select("bucket_ms", "service", F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
