@@ -825,7 +825,7 @@ def _(points):
 
 
 _TRACES = """WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations)
-  select cast(a.conv_id as varchar) as root, a.role as host, case when a.n % 2 = 0 then 'start' else b.role end as parent_host, cast(a.turn as varchar) as start, case when a.n % 3 = 0 then null else cast(a.turn + 1 as varchar) end as stop
+  select cast(a.conv_id as varchar) as root, cast(a.conv_id as varchar)||'/'||a.turn as span_id, 'p' as parentspan_id, cast(a.conv_id as varchar) as stem, a.n as position, a.role as host, case when a.n % 2 = 0 then 'start' else b.role end as parent_host, cast(a.turn as varchar) as start, case when a.n % 3 = 0 then null else cast(a.turn + 1 as varchar) end as stop
   from t a left join t b on b.conv_id = a.conv_id and b.n = a.n - 1 and a.n % 2 = 1"""
 
 
@@ -836,7 +836,7 @@ def _flattened(turns) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     quote = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
     stamp = lambda key, v: F.concat(F.lit(f',"{key}":{{"timestamp":"'), v.cast("string"), F.lit('"}'))
-    info = F.concat(F.lit('{"trace_id":"'), F.col("conv_id").cast("string"), F.lit('","parent_id":"p","info":{"host":'), F.regexp_extract(quote("role"), r'^\{"v":(.*)\}$', 1), F.lit(',"name":"turn"'), stamp("a-start", F.col("turn")), F.when(F.col("n") % 3 == 0, "").otherwise(stamp("a-stop", F.col("turn") + 1)), F.lit("}"))
+    info = F.concat(F.lit('{"trace_id":"'), F.concat_ws("/", F.col("conv_id"), F.col("turn")), F.lit('","parent_id":"p","info":{"host":'), F.regexp_extract(quote("role"), r'^\{"v":(.*)\}$', 1), F.lit(',"name":"turn"'), stamp("a-start", F.col("turn")), F.when(F.col("n") % 3 == 0, "").otherwise(stamp("a-stop", F.col("turn") + 1)), F.lit("}"))
     spans = turns.withColumn("n", n).withColumn("info", info)
     pairs = spans.groupBy("conv_id", F.floor(F.col("n") / 2).alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", "info"))).alias("s"))
     inner = F.when(F.size("s") > 1, F.concat(F.get("s", F.lit(1))["info"], F.lit(',"children":[]}'))).otherwise("")
@@ -845,17 +845,27 @@ def _flattened(turns) -> DataFrame:
     traces = roots.select(F.concat(F.lit('{"trace_id":"'), F.col("conv_id").cast("string"), F.lit('","children":['), "c", F.lit("]}")).alias("body"), F.concat("conv_id", F.lit(".json")).alias("file"))
     path = files.scratch(turns.sparkSession, "traces")
     files.write_named_files(traces, path, "file", form="text")
-    return joins.flatten_traces(files.read_trace_json(turns.sparkSession, path), max_depth=2)
+    return joins.flatten_traces(files.read_trace_json(turns.sparkSession, path))
 
 
 @query("a05_c02_flatten_traces", "conversations_", sql=_TRACES)
 def _(turns):
-    return _flattened(turns).select(F.col("trace_id").alias("root"), "host", "parent_host", "start", "stop")
+    return _flattened(turns).select(F.col("trace_id").alias("root"), "span_id", "parentspan_id", "stem", "position", "host", "parent_host", "start", "stop")
 
 
-@query("e01c_span_ends", "conversations_", sql="WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations) select cast(conv_id as varchar) as root, role as host, cast(turn as varchar) as start, cast(last_value(case when n % 3 = 0 then null else turn + 1 end ignore nulls) over (partition by conv_id order by n rows between unbounded preceding and current row) as varchar) as stop from t")
+@query("c02_trace_rejects", "conversations_", sql="select cast(conv_id as varchar) as stem, case when conv_id % 3 = 0 then 'unparsable' else 'no start' end as reason, case when conv_id % 3 = 0 then 0 else 1 end as position from (select distinct conv_id from conversations_) where conv_id % 3 < 2")
 def _(turns):
-    filled = series.ffill(_flattened(turns), ["trace_id"], ["position"], "stop", None)
+    """Every third trace is cut short, and in every third one a span has no start."""
+    n, text = F.col("conv_id") % 3, F.col("conv_id").cast("string")
+    body = F.concat(F.lit('{"trace_id":"'), text, F.lit('","children":[{"info":{"host":"a","b-start":{"timestamp":"1"}},"children":['), F.when(n == 1, F.lit('{"info":{"host":"b"}}')).otherwise(""), F.when(n == 0, "").otherwise("]}]}"))
+    path = files.scratch(turns.sparkSession, "traces")
+    files.write_named_files(turns.select("conv_id").distinct().select(body.alias("body"), F.concat(text, F.lit(".json")).alias("file")), path, "file", form="text")
+    return joins.split_traces(files.read_trace_json(turns.sparkSession, path))[1].select("stem", "reason", "position")
+
+
+@query("e01c_span_ends", "conversations_", sql="WITH t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations) select cast(conv_id as varchar) as root, role as host, cast(turn as varchar) as start, cast(last_value(case when n % 3 = 0 then null else turn + 1 end ignore nulls) over (order by cast(conv_id as varchar), n rows between unbounded preceding and current row) as varchar) as stop from t")
+def _(turns):
+    filled = series.ffill(_flattened(turns), [], ["stem", "position"], "stop", None)
     return filled.select(F.col("trace_id").alias("root"), "host", "start", "stop")
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import bucket
+from ..sources.files import stored
 from .ranks import numbered
 
+
 def last_spans(spans: DataFrame, order: list[Column]) -> DataFrame:
     """Of spans with the same (trace_id, span_id), the last by ``order``: a map-side maximum over a struct."""
     rest = [c for c in spans.columns if c not in ("trace_id", "span_id")]
@@ -29,31 +35,81 @@ def span_edges(spans: DataFrame, order: list[Column], step: int = 30_000, entiti
     return joined.select("trace_id", bucket(F.col("start_ms"), step).alias("bucket_ms"), "src", F.col("service_name").alias("dst"), "status_code", ((F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0)).alias("duration_s"))
 
 
-def flatten_traces(traces: DataFrame, body: str = "body", max_depth: int = 16) -> DataFrame:
-    """C2. (trace_id, parent_host, host, name, start, stop, position) of every span below the roots of nested JSON traces.
+SPAN_FIELDS = "span_id string, parentspan_id string, parent_host string, host string, name string, start string, stop string, position long"
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _stamp(info: dict, part: str) -> str | None:
+    """The timestamp of the first event whose key holds ``part``."""
+    event = next((v for k, v in info.items() if part in k), None)
+    return _text(event.get("timestamp")) if isinstance(event, dict) else None
+
+
+def _spans_of(body: str | None) -> Iterator[tuple]:
+    """(trace_id, fields of SPAN_FIELDS, reason) of everything below a trace's root, depth first; a reason for what is no span."""
+    none = (None,) * 7
+    try:
+        root = json.loads(body or "")
+    except (ValueError, RecursionError):
+        root = None
+    if not isinstance(root, dict):
+        yield None, *none, 0, "unparsable"
+        return
+    listed = lambda x: iter(x if isinstance(x, list) else [])
+    trace, position, ahead = _text(root.get("trace_id")), 0, [(listed(root.get("children")), "start")]
+    while ahead:
+        spans, parent = ahead[-1]
+        span = next(spans, ahead)
+        if span is ahead:
+            ahead.pop()
+            continue
+        info = span.get("info") if isinstance(span, dict) else None
+        info = info if isinstance(info, dict) else {}
+        host, start = _text(info.get("host")), _stamp(info, "-start")
+        ids = (_text(span.get("trace_id")), _text(span.get("parent_id"))) if isinstance(span, dict) else (None, None)
+        yield trace, *ids, parent, host, _text(info.get("name")), start, _stamp(info, "-stop"), position, "no host" if host is None else "no start" if start is None else None
+        position += 1
+        if isinstance(span, dict):
+            ahead.append((listed(span.get("children")), host))
+
+
+def walk_traces(traces: DataFrame, body: str = "body") -> DataFrame:
+    """C2. The other columns, trace_id, the spans' fields and ``reason``: every span of nested JSON traces of any depth, and what is no span.
+
+    One read, one pass, a trace at a time. ``reason`` is null for a span. A text that is no JSON object has one row, 'unparsable'; a span without
+    a host or a start has its row with 'no host' or 'no start', and the spans below it are walked like any others.
+    """
+    kept = [f for f in traces.schema.fields if f.name != body]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(body).to_pylist()):  # the rows of a trace at a time
+                rows = list(_spans_of(text))
+                if rows:
+                    own = pa.Table.from_batches([batch.slice(i, 1).select([f.name for f in kept])]).take([0] * len(rows)).combine_chunks() if kept else None
+                    columns = [own.column(k).combine_chunks() for k in range(len(kept))] if kept else []
+                    values = [pa.array(c, pa.int64() if n == 8 else pa.string()) for n, c in enumerate(zip(*rows))]
+                    yield pa.RecordBatch.from_arrays(columns + values, names=[f.name for f in kept] + ["trace_id", *(f.split()[0] for f in SPAN_FIELDS.split(", ")), "reason"])
+
+    schema = StructType(kept + StructType.fromDDL(f"trace_id string, {SPAN_FIELDS}, reason string").fields)
+    return traces.select(*(f.name for f in kept), body).mapInArrow(run, schema)
 
-    ``parent_host`` is that of the enclosing span, 'start' right below a root. Times come from the first key with
-    -start and -stop; a missing one is null. ``position`` orders spans depth first. Levels are walked one by one;
-    rows, not the driver, carry the tree. Spans below ``max_depth`` levels are an error rather than left out.
+
+def flatten_traces(traces: DataFrame, body: str = "body") -> DataFrame:
+    """C2. The spans of ``walk_traces``: ``parent_host`` is that of the enclosing span, 'start' right below a root; a missing stop is null.
+
+    ``position`` numbers what a trace holds depth first. ``split_traces`` gives what is left out here.
     """
-    parsed = F.try_parse_json(F.col(body))
-    children = lambda v: F.try_variant_get(v, "$.children", "array<variant>")
-    text = lambda v, path: F.try_variant_get(v, path, "string")
-    root = traces.select(parsed.alias("v")).where("v is not null")
-    level = root.select(text(F.col("v"), "$.trace_id").alias("trace_id"), F.lit("start").alias("parent_host"), F.posexplode(children(F.col("v"))).alias("i", "v"))
-    level = level.withColumn("position", F.format_string("%06d", "i"))
-    out = []
-    for depth in range(1, max_depth + 1):
-        if depth == max_depth:
-            deeper = F.raise_error(F.lit(f"a trace has spans below {max_depth} levels: raise max_depth")).cast("string")
-            level = level.withColumn("position", F.when(F.coalesce(F.size(children(F.col("v"))), F.lit(0)) > 0, deeper).otherwise(F.col("position")))
-        info = F.try_variant_get(F.col("v"), "$.info", "map<string,variant>")
-        stamp = lambda part: F.try_variant_get(F.get(F.map_values(F.map_filter(info, lambda k, _: F.contains(k, F.lit(part)))), F.lit(0)), "$.timestamp", "string")  # noqa: B023, E731
-        rows = level.select("trace_id", "parent_host", text(F.col("v"), "$.info.host").alias("host"), text(F.col("v"), "$.info.name").alias("name"), stamp("-start").alias("start"), stamp("-stop").alias("stop"), "position")
-        out.append(rows)
-        level = level.select("trace_id", text(F.col("v"), "$.info.host").alias("parent_host"), "position", F.posexplode(children(F.col("v"))).alias("i", "v"))
-        level = level.withColumn("position", F.concat_ws(".", "position", F.format_string("%06d", "i")))
-    return reduce(DataFrame.unionByName, out)
+    return walk_traces(traces, body).where("reason is null").drop("reason")
+
+
+def split_traces(traces: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """C2. The spans, and a quarantine of what is none, from one walk that is kept."""
+    walked = stored(walk_traces(traces, body), "traces")
+    return walked.where("reason is null").drop("reason"), walked.where("reason is not null")
 
 
 def intervals_to_grid(events: DataFrame, step: int = 30_000, entities: list[str] | None = None, chunk: int = 10_000) -> DataFrame:

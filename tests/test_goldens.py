@@ -131,19 +131,34 @@ def test_c2_nested_traces(spark):
         return {"trace_id": f"id-{host}", "parent_id": "p", "info": info, "children": list(children)}
 
     deep = {"trace_id": "root", "children": [span("a", span("b", span("c", stop=None)), span("d", start=None)), span("e")]}
-    frame = spark.createDataFrame([(json.dumps(deep),), (json.dumps({"children": []}),), ("broken {",)], "body string")
-    got = joins.flatten_traces(frame, max_depth=5).orderBy("position").collect()
-    assert [(r["host"], r["parent_host"], r["start"], r["stop"]) for r in got] == [("a", "start", "s", "e"), ("b", "a", "s", "e"), ("c", "b", "s", None), ("d", "a", None, "e"), ("e", "start", "s", "e")]
-
-
-def test_c2_deep_traces_are_whole_or_an_error(spark):
-    deep = {"trace_id": "leaf", "info": {"host": "h0"}, "children": []}
-    for i in range(1, 20):
-        deep = {"trace_id": f"t{i}", "info": {"host": f"h{i}"}, "children": [deep]}
-    frame = spark.createDataFrame([(json.dumps({"trace_id": "root", "children": [deep]}),)], "body string")
-    assert joins.flatten_traces(frame, max_depth=20).count() == 20
-    with pytest.raises(Exception, match="max_depth"):
-        joins.flatten_traces(frame, max_depth=16).collect()
+    texts = [json.dumps(deep), json.dumps({"children": []}), "broken {", json.dumps([1]), None, json.dumps({"trace_id": 7, "children": [{"info": {"name": "x"}, "children": [span("g")]}, 5]})]
+    frame = spark.createDataFrame([(t, f"f{i}", i) for i, t in enumerate(texts)], "body string, stem string, size int")
+    spans, rejects = joins.split_traces(frame)
+    got = spans.orderBy("stem", "position").collect()
+    assert [(r["stem"], r["trace_id"], r["span_id"], r["host"], r["parent_host"], r["start"], r["stop"], r["position"]) for r in got] == [
+        ("f0", "root", "id-a", "a", "start", "s", "e", 0), ("f0", "root", "id-b", "b", "a", "s", "e", 1), ("f0", "root", "id-c", "c", "b", "s", None, 2), ("f0", "root", "id-e", "e", "start", "s", "e", 4),
+        ("f5", "7", "id-g", "g", None, "s", "e", 1),
+    ]
+    assert sorted((r["stem"], r["size"], r["host"], r["position"], r["reason"]) for r in rejects.collect() if r["host"]) == [("f0", 0, "d", 3, "no start")]
+    assert sorted((r["stem"], r["reason"]) for r in rejects.collect() if not r["host"]) == [("f2", "unparsable"), ("f3", "unparsable"), ("f4", "unparsable"), ("f5", "no host"), ("f5", "no host")]
+    assert {r["parentspan_id"] for r in got} == {"p"} and joins.flatten_traces(frame.limit(0)).count() == 0
+
+
+def test_c2_traces_of_any_depth_in_one_scan(spark, tmp_path):
+    deep = {"trace_id": "leaf", "info": {"host": "h0", "a-start": {"timestamp": "0"}}}
+    for i in range(1, 100):
+        deep = {"trace_id": f"t{i}", "info": {"host": f"h{i}", "a-start": {"timestamp": str(i)}}, "children": [deep]}
+    (tmp_path / "x.json").write_text(json.dumps({"trace_id": "root", "children": [deep]}))
+    spans = joins.flatten_traces(files.read_trace_json(spark, str(tmp_path)))
+    assert [(r["host"], r["parent_host"]) for r in spans.orderBy("position").collect()] == [(f"h{99 - i}", f"h{100 - i}" if i else "start") for i in range(100)]
+    assert spans._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_e1c_ends_are_filled_over_traces_in_file_order(spark):
+    rows = [("f2", 1, None), ("f1", 0, None), ("f1", 1, "a"), ("f1", 2, None), ("f2", 0, None), ("f3", 0, "b")]
+    frame = spark.createDataFrame(rows, "stem string, position long, stop string")
+    filled = series.ffill(frame, [], ["stem", "position"], "stop", None, blocks=3)
+    assert sorted(map(tuple, filled.collect())) == sorted([("f1", 0, None), ("f1", 1, "a"), ("f1", 2, "a"), ("f2", 0, "a"), ("f2", 1, "a"), ("f3", 0, "b")], key=lambda r: r[:2])
 
 
 def test_c4_smallest_ip_wins(spark):
