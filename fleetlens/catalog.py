@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import aggregates, joins, scoring, series, templates
-from .plans import dataset, telemetry
+from .plans import dataset, hosts, telemetry
 from .plans.adapters import adapt, with_adapters
 from .sources import files
 
@@ -577,6 +577,13 @@ def _(docs):
     return templates.resume(lines, saved, **_PLAIN).select("template_id", F.array_join("template", " ").alias("template"))
 
 
+@query("g04_resume_versions", "doc_lines")
+def _(docs):
+    lines = _lines(docs)
+    saved = templates.versioned(templates.assign_ids(templates.mine_templates(lines.where("line_id % 2 = 0"), **_PLAIN)))
+    return templates.resume_versions(lines.where("line_id % 2 = 1"), saved, 0.3, **_PLAIN)[0].select("template_id", F.array_join("template", " ").alias("template"), "version")
+
+
 # -- scores ----------------------------------------------------------------------------------------------------------
 
 _ENERGY = "energy AS (select service, event_id, round(sum(e), 4) as energy from (select service, event_id, pow(value - avg(value) over (w rows between 9 preceding and 1 preceding), 2) as e, count(*) over (w rows between 9 preceding and 1 preceding) as n from metric_points window w as (partition by service, feature order by event_id)) where n = 9 group by all)"
@@ -785,6 +792,56 @@ def _(points, faults, lines, spans):
     return aggregates.window_counters(dataset.window_dataset(_aligned(points, faults, lines, spans), 5), real="anomalies")
 
 
+_DAY = 86_400_000
+
+
+@query(
+    "l3_host_metrics", "metric_points",
+    sql=f"""WITH m AS (select ts_ms - ts_ms % {_DAY} as day, service as host, feature, avg(value) as value from metric_points group by all),
+  s AS (select day, host, feature, case when max(value) over w > min(value) over w then (value - min(value) over w) / (max(value) over w - min(value) over w) else 0 end as value from m window w as (partition by host, feature))
+  select day // 1000 - 3600 as ts, host, feature, round(value, 6) as value from s where day // 1000 - 3600 between 1704400000 and 1706000000 and day in (select day from m group by 1 having count(*) = (select count(*) from (select distinct host, feature from m)))""",
+)
+def _(points):
+    now = F.concat(F.date_format(F.timestamp_millis(scalars.bucket(F.col("ts_ms"), _DAY)), "yyyy-MM-dd HH:mm:ss"), F.lit(" CEST"))
+    return hosts.host_metrics(points.select(now.alias("now"), F.col("service").alias("host"), "feature", "value"), 1704400000, 1706000000).select("ts", "host", "feature", r("value"))
+
+
+_HOST_SPANS = """t AS (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as n from conversations),
+  a AS (select cast(t.conv_id as varchar) as stem, t.n, t.turn, t.role as host, case when t.n % 2 = 0 then 'start' else b.role end as parent_host, case when t.n % 3 = 0 then null else 1609459200 + t.conv_id * 60 + t.turn + 2 end as stop, 1609459200 + t.conv_id * 60 + t.turn as start from t left join t b on b.conv_id = t.conv_id and b.n = t.n - 1 and t.n % 2 = 1),
+  f AS (select *, last_value(stop ignore nulls) over (order by stem, n rows between unbounded preceding and current row) as done from a)"""
+
+
+def _host_spans(turns, lo=1609459200 + 600, hi=1609459200 + 100_000):
+    """Conversations as traces with times: a span lasts 2.25 seconds from its turn's second on, each third has no end."""
+    from pyspark.sql import Window
+
+    at = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss")
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    start = F.lit(1609459200) + F.col("conv_id") * 60 + F.col("turn")
+    event = lambda text: F.struct(text.alias("timestamp"))
+    info = F.struct(F.col("role").alias("host"), F.concat(F.lit("op"), F.col("turn") % 2).alias("name"), event(F.concat(at(start), F.lit(".250000"))).alias("a-start"), F.when(F.col("n") % 3 > 0, event(F.concat(at(start + 2), F.lit(".500000")))).alias("a-stop"))
+    spans = turns.withColumn("n", n).withColumn("info", info)
+    one = lambda s, below: F.struct(F.lit("t").alias("trace_id"), F.lit("p").alias("parent_id"), s["info"].alias("info"), below.alias("children"))
+    leaf = lambda s: F.struct(F.lit("t").alias("trace_id"), F.lit("p").alias("parent_id"), s["info"].alias("info"))
+    pairs = spans.groupBy("conv_id", F.floor(F.col("n") / 2).alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", "info"))).alias("s"))
+    pairs = pairs.select("conv_id", "k", one(F.get("s", F.lit(0)), F.transform(F.slice("s", 2, 1), leaf)).alias("b"))
+    roots = pairs.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("b").alias("b")))), lambda x: x["b"]).alias("c"))
+    body = F.concat(F.lit('{"trace_id":"r","children":['), F.array_join("c", ","), F.lit("]}"))
+    path = files.scratch(turns.sparkSession, "traces")
+    files.write_named_files(roots.select(body.alias("body"), F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("file")), path, "file", form="text")
+    return hosts.host_spans(files.read_trace_json(turns.sparkSession, path), lo, hi)
+
+
+@query("l3_host_spans", "conversations_", sql=f"WITH {_HOST_SPANS} select stem, host, parent_host, 'op'||(turn % 2) as name, start as start_s, done as end_s, done - start + 0.25 as duration_s from f where done between 1609459800 and 1609559200")
+def _(turns):
+    return _host_spans(turns)[0].select("stem", "host", "parent_host", "name", "start_s", "end_s", "duration_s")
+
+
+@query("l3_host_graph", "conversations_", sql=f"WITH {_HOST_SPANS}, g AS (select distinct parent_host as src, host as dst from f where parent_host <> 'start' and parent_host <> host) select src, dst from g union select dst, src from g")
+def _(turns):
+    return _host_spans(turns)[1]
+
+
 # -- sources and sinks: what Spark writes from the tables, read back ---------------------------------------------------
 
 

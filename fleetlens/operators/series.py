@@ -22,7 +22,7 @@ def ffill(df: DataFrame, keys: list[str], order: list, col: str, limit: int | No
 STRETCH = 10_000
 
 
-def _grid(spans: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
+def grid_of(spans: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
     """Every step from _a to _z of each row: stretches first, so that no array is longer than one however long the span is."""
     stretches = spans.select(*keys, "_z", F.explode(F.sequence("_a", "_z", F.lit(step * STRETCH).cast("long"))).alias("_a"))
     return stretches.select(*keys, F.explode(F.sequence("_a", F.least("_z", F.col("_a") + step * (STRETCH - 1)), F.lit(step).cast("long"))).alias(ts))
@@ -31,7 +31,7 @@ def _grid(spans: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
 def fill_gaps(df: DataFrame, keys: list[str], ts: str, step: int) -> DataFrame:
     """E2. Every step between the first and last time of each key; new rows have null values."""
     spans = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"))
-    return _grid(spans, keys, ts, step).join(df, [*keys, ts], "left")
+    return grid_of(spans, keys, ts, step).join(df, [*keys, ts], "left")
 
 
 def segments(grid: DataFrame, ts: str = "bucket_ms", step: int = 30_000, factor: int = 3) -> DataFrame:
@@ -130,4 +130,4 @@ def common_features(df: DataFrame, entity: str = "service", feature: str = "feat
 def missing_steps(df: DataFrame, ts: str, step: int) -> DataFrame:
     """S3. Steps between the first and last time at which there is no row."""
     span = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_z")).where("_a is not null")
-    return _grid(span, [], ts, step).join(df.select(ts).distinct(), ts, "left_anti")
+    return grid_of(span, [], ts, step).join(df.select(ts).distinct(), ts, "left_anti")

@@ -6,11 +6,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import COMMON_MASKS, mask_tokens
+from ..functions.scalars import COMMON_MASKS, HOST_MASKS, SERVICE_MASKS, mask_tokens
+from ..sources.files import stored
 from .ranks import numbered
 
 WILD = "<:*:>"
 SEPARATOR = "\x01"
+#: Masks, delimiters and similarity of the two kinds of fleets.
+SERVICE_PROFILE = {"masks": COMMON_MASKS + SERVICE_MASKS, "delimiters": ("_", "->", "|")}
+HOST_PROFILE = {"masks": COMMON_MASKS + HOST_MASKS, "delimiters": ("_",)}
+SIMILARITY = {"service": 0.3, "host": 0.2}
 
 
 def tokenize(payload: Column, masks: list[tuple[str, str]] = COMMON_MASKS, delimiters: tuple[str, ...] = ("_",)) -> Column:
@@ -43,7 +48,11 @@ def mine_templates(lines: DataFrame, order: str = "line_id", **how) -> DataFrame
     The result does not depend on the order of lines; smallest and largest token per (leaf, position) are
     combined on the map side, so a leaf with most of the traffic is no hot group.
     """
-    shapes = distinct_lines(lines, order, **how)
+    return templates_of(distinct_lines(lines, order, **how))
+
+
+def templates_of(shapes: DataFrame) -> DataFrame:
+    """G1 over distinct token lines (leaf, tokens, n, first)."""
     positions = shapes.select("leaf", "n", "first", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos").agg(F.min("token").alias("a"), F.max("token").alias("z"), F.sum("n").alias("n"), F.min("first").alias("first"))
     kept = F.when((F.col("a") == F.col("z")) & ~F.col("a").rlike("^[0-9]+$"), F.col("a")).otherwise(WILD)
     lists = positions.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", kept.alias("t")))).alias("ts"), F.max("n").alias("size"), F.min("first").alias("first"))
@@ -71,21 +80,34 @@ def greedy_clusters(shapes: pd.DataFrame, similarity: float) -> list[tuple[list[
 def mine_greedy(lines: DataFrame, similarity: float = 0.3, order: str = "line_id", chunk: int = 5000, **how) -> DataFrame:
     """G2. (leaf, template, size, first): as G1, but a leaf is split into templates of at least ``similarity``.
 
-    Only distinct masked token lines reach the grouped function. A leaf of more than ``chunk`` of them is dealt out by a
-    hash into chunks of about that size; the templates of its chunks, far fewer, are then merged in the same way.
+    Only distinct masked token lines reach the grouped function. A leaf of more than ``chunk`` of them is dealt out by a hash into
+    chunks of about that size. Their templates are merged in rounds: those of a leaf stand in the order of their signature (which positions are
+    constant, and the tokens there), neighbours are merged up to ``chunk`` at a time, and each round cuts at other places. It ends when a
+    leaf's templates fit into one chunk, which is merged last, or when two rounds find nothing more to merge; so no group is ever larger than a
+    chunk, whatever the similarity.
     """
-    shapes = distinct_lines(lines, order, **how).select("leaf", F.array_join("tokens", SEPARATOR).alias("tokens"), "n", "first").withColumn("key", F.to_json("leaf"))
-    counts = shapes.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt = shapes.drop("leaf").join(counts, "key").withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("chunks")))
+    shapes = distinct_lines(lines, order, **how).select(F.to_json("leaf").alias("key"), F.array_join("tokens", SEPARATOR).alias("tokens"), "n", "first")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = greedy_clusters(pdf, similarity)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "tokens": [SEPARATOR.join(t) for t, _, _ in rows], "n": [n for _, n, _ in rows], "first": [f for _, _, f in rows], "chunks": pdf["chunks"].iloc[0]})
-
-    schema = "key string, tokens string, n long, first long, chunks long"
-    mined = dealt.select("key", "part", "tokens", "n", "first", "chunks").groupBy("key", "part").applyInPandas(run, schema)
-    merged = mined.where("chunks > 1").groupBy("key").applyInPandas(run, schema)
-    every = mined.where("chunks = 1").unionByName(merged)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "tokens": [SEPARATOR.join(t) for t, _, _ in rows], "n": [n for _, n, _ in rows], "first": [f for _, _, f in rows]})
+
+    merge = lambda dealt: stored(dealt.select("key", "part", "tokens", "n", "first").groupBy("key", "part").applyInPandas(run, "key string, tokens string, n long, first long"), "templates")
+    parts = shapes.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    found = merge(shapes.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts"))))
+    finished = parts.where("parts = 1").select("key")
+    open_, found = found.join(finished, "key", "left_anti"), found.join(finished, "key", "left_semi")
+    before, idle, turn = None, 0, 0
+    while idle < 2 and (now := open_.count()):
+        idle = idle + 1 if now == before else 0
+        small = open_.groupBy("key").count().where(F.col("count") <= chunk).select("key")
+        found = found.unionByName(merge(open_.join(small, "key", "left_semi").withColumn("part", F.lit(0))))
+        kinds = F.transform(F.split("tokens", SEPARATOR), lambda t: F.when(t == WILD, "1").otherwise("0"))
+        placed = numbered(open_.join(small, "key", "left_anti").withColumn("_sign", F.array_join(kinds, "")), ("_sign", "tokens"), "_place", keys=("key",))
+        shift = chunk // 2 if turn % 2 else 0
+        open_ = merge(placed.withColumn("part", F.floor((F.col("_place") + shift) / chunk)))
+        before, turn = now, turn + 1
+    every = found.unionByName(open_)
     leaf = F.from_json("key", "struct<size:bigint,t0:string,t1:string>")
     return every.select(leaf.alias("leaf"), F.split("tokens", SEPARATOR).alias("template"), F.col("n").alias("size"), "first")
 
@@ -121,3 +143,36 @@ def resume(lines: DataFrame, saved: DataFrame, line: str = "line_id", **how) ->
     most = saved.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
     new = assign_ids(fresh, most + 1)
     return saved.select("leaf", "template", "template_id").unionByName(new.select("leaf", "template", "template_id"))
+
+
+def versioned(dictionary: DataFrame) -> DataFrame:
+    """G4. A dictionary (leaf, template, template_id) whose templates may change: all of version 1."""
+    return dictionary.select("leaf", "template", "template_id", F.lit(1).cast("long").alias("version"))
+
+
+def resume_versions(lines: DataFrame, saved: DataFrame, similarity: float = 0.3, line: str = "line_id", **how) -> tuple[DataFrame, DataFrame]:
+    """G4. Continue with a versioned dictionary: the new one (leaf, template, template_id, version) and what changed, as (template_id, version, template).
+
+    A line that fits no saved template but shares at least ``similarity`` of its tokens with one of its leaf generalises the likest (the smallest id
+    of those that tie): where such lines differ from it, it gets a wildcard and its next version, and keeps its id. All lines
+    count against the saved templates at once, so their order does not matter. Lines that are like none give new templates, numbered after the
+    saved ones. Lines that fit change nothing, so resuming twice with the same lines is the same as once.
+    """
+    shapes = distinct_lines(lines, line, **how)
+    one = F.struct("template_id", "template")
+    by_leaf = saved.groupBy("leaf").agg(F.array_sort(F.collect_list(one)).alias("candidates"))  # a leaf's templates, not its lines
+    met = stored(shapes.join(by_leaf, "leaf", "left").withColumn("fits", F.exists(F.coalesce("candidates", F.array()), lambda c: matches(F.col("tokens"), c["template"]))).where("not fits"), "unmatched")
+    same = lambda c: F.size(F.filter(F.zip_with("tokens", c["template"], lambda a, b: (a == b) & (b != WILD)), lambda x: x)) / F.size("tokens")
+    scored = F.transform("candidates", lambda c: F.struct(same(c).alias("score"), (-c["template_id"]).alias("order"), c["template"].alias("template")))
+    best = met.withColumn("best", F.array_max(scored))
+    near = best.where(F.col("best.score") >= similarity).select(F.expr("-best.order").alias("template_id"), "best.template", F.posexplode(F.arrays_zip("tokens", F.col("best.template").alias("was"))).alias("pos", "both"))
+    kept = F.min(F.col("both.tokens") == F.col("both.was")) & (F.min("both.was") != WILD)
+    positions = near.groupBy("template_id", "pos").agg(F.when(kept, F.min("both.was")).otherwise(WILD).alias("token"))
+    changed = positions.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("now"))
+    kept_rows = saved.join(changed, "template_id", "left").select("leaf", F.coalesce("now", "template").alias("template"), "template_id", (F.col("version") + F.col("now").isNotNull().cast("long")).alias("version"))
+    far = best.where(F.coalesce(F.col("best.score") < similarity, F.lit(True))).select("leaf", "tokens", "n", "first")
+    most = saved.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
+    fresh = versioned(assign_ids(templates_of(far), most + 1))
+    after = stored(kept_rows.unionByName(fresh), "dictionary")
+    log = after.join(saved.select("template_id", F.col("version").alias("_was")), "template_id", "left").where("_was is null or version > _was").select("template_id", "version", "template")
+    return after, log

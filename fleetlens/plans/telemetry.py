@@ -44,11 +44,11 @@ def label_table(faults: DataFrame, grid: DataFrame, services: DataFrame, step: i
     return every.join(cells, ["bucket_ms", "service"], "left").select("bucket_ms", "service", F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
 
 
-def log_table(messages: DataFrame, step: int = 30_000, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """Log messages to counts per (bucket_ms, service, template) and the numbered template dictionary."""
+def log_table(messages: DataFrame, step: int = 30_000, zone: str = "UTC", profile: dict = templates.SERVICE_PROFILE) -> tuple[DataFrame, DataFrame]:
+    """Log messages to counts per (bucket_ms, service, template) and the numbered template dictionary; the profile gives masks and delimiters."""
     parsed, _ = scalars.split_rejects(scalars.parse_log_header(messages, zone=zone))
-    dictionary = templates.assign_ids(templates.mine_templates(parsed))
-    numbered = parsed.join(templates.match_templates(parsed, dictionary), "line_id")
+    dictionary = stored(templates.assign_ids(templates.mine_templates(parsed, **profile)), "dictionary")
+    numbered = parsed.join(templates.match_templates(parsed, dictionary, **profile), "line_id")
     return aggregates.template_counts(numbered, step), dictionary
 
 

@@ -237,6 +237,43 @@ def test_g2_resume_and_greedy(spark):
     assert sorted((r["template_id"], " ".join(r["template"])) for r in grown) == [(1, "open file <:*:> ok"), (2, "open file was never seen here"), (3, "close it")]
 
 
+@pytest.mark.parametrize("similarity,chunk", [(0.6, 7), (0.95, 10), (0.4, 3)])
+def test_g2_no_group_is_larger_than_a_chunk(spark, similarity, chunk, monkeypatch):
+    """Well-separated kinds of lines give the same templates for any chunk; where nothing can be merged it ends, in groups of a chunk at most."""
+    draw = random.Random(4)
+    rows = [(i, f"aaa bbb kind{k}x " + " ".join(f"{'abcdefgh'[(k + j) % 8] * 3}{'' if j < 6 else chr(97 + draw.randrange(26)) * 2}" for j in range(8))) for i, k in enumerate(draw.randrange(4) for _ in range(90))]
+    frame = spark.createDataFrame([(i, p.replace("kind", "k").replace("0x", "zero").replace("1x", "one").replace("2x", "two").replace("3x", "three")) for i, p in rows], "line_id long, payload string")
+    whole, cut = ({(" ".join(r["template"]), r["size"]) for r in templates.mine_greedy(frame, similarity, chunk=c).collect()} for c in (5000, chunk))
+    assert sum(n for _, n in cut) == sum(n for _, n in whole) == 90
+    assert cut == whole if similarity < 0.9 else len(cut) >= len(whole) > 20
+
+
+def test_g4_templates_keep_their_ids_over_two_resumes(spark):
+    lines = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "line_id long, payload string")
+    row = lambda d: {r["template_id"]: (" ".join(r["template"]), r["version"]) for r in d.collect()}
+    saved = templates.versioned(templates.assign_ids(templates.mine_templates(lines("open file alpha for reading", "close door now please thanks"))))
+    assert row(saved) == {1: ("open file alpha for reading", 1), 2: ("close door now please thanks", 1)}
+    once, log = templates.resume_versions(lines("open file beta for reading", "open file gamma for reading", "open file of quite others"), saved, 0.6)
+    assert row(once) == {1: ("open file <:*:> for reading", 2), 2: ("close door now please thanks", 1), 3: ("open file of quite others", 1)}
+    assert sorted((r["template_id"], r["version"]) for r in log.collect()) == [(1, 2), (3, 1)]
+    twice, log = templates.resume_versions(lines("open file beta for writing", "close door now please thanks"), once, 0.6)
+    assert row(twice) == {1: ("open file <:*:> for <:*:>", 3), 2: ("close door now please thanks", 1), 3: ("open file of quite others", 1)}
+    again, log = templates.resume_versions(lines("open file beta for writing"), twice, 0.6)
+    assert row(again) == row(twice) and log.count() == 0
+
+
+@pytest.mark.parametrize(
+    "profile,line,wanted",
+    [
+        (templates.SERVICE_PROFILE, "get http://a.b/c user_id=u1 uuid=xy-z&k|step->next_one", "get http://<:URL:> user id=<:USERID:> uuid=<:UUID:>&k step next one"),
+        (templates.SERVICE_PROFILE, "a->b|c_d 10.0.0.1 0xff", "a b c d <:IP:> <:HEX:>"),
+        (templates.HOST_PROFILE, 'executed cmd "rm x" a->b|c_d', "executed cmd <:CMD:> a->b|c d"),
+    ],
+)
+def test_b7_profiles_of_masks_and_delimiters(spark, profile, line, wanted):
+    assert spark.createDataFrame([(line,)], "p string").select(F.array_join(templates.tokenize(F.col("p"), **profile), " ")).first()[0] == wanted
+
+
 def test_g2_chunks_of_a_leaf_are_merged(spark):
     rng = random.Random(1)
     lines = [(i, f"send part {rng.choice('abcdefgh')}{i} to peer now") for i in range(60)] + [(100 + i, f"send part x{i} was lost on way") for i in range(40)]
