@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,14 +36,24 @@ def cut_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_entities(spark: SparkSession, root: str, pattern: str, entities: list[str], schema: StructType, **options) -> DataFrame:
-    """A2. The files ``pattern`` (with {entity}) of each entity under ``root``, in one scan; absent files are skipped."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = [f"{root}/{pattern.format(entity=e)}" for e in entities]
-    there = [f for f in files if system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f))]
+    """A2. The files ``pattern`` (with {entity}) of each entity under ``root``, in one scan; absent files are skipped with a warning.
+
+    ``absent_entities`` tells which they are.
+    """
+    absent = set(absent_entities(spark, root, pattern, entities))
+    for entity in sorted(absent):
+        warnings.warn(f"no file {pattern.format(entity=entity)} under {root}", stacklevel=2)
+    there = [f"{root}/{pattern.format(entity=e)}" for e in entities if e not in absent]
     return spark.read.csv(there, schema=schema, header=True, multiLine=True, quote='"', escape='"', **options) if there else spark.createDataFrame([], schema)
 
 
+def absent_entities(spark: SparkSession, root: str, pattern: str, entities: list[str]) -> list[str]:
+    """A2. The entities that have no file, in their order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [e for e in entities if not system.globStatus(path(f"{root}/{pattern.format(entity=e)}"))]
+
+
 def with_file_metadata(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
     """A3. Add the pattern's groups from each row's file name; rows of other files go. ``df`` must be a file scan."""
     file = F.col("_metadata.file_name")
@@ -119,6 +130,40 @@ def materialize(spark: SparkSession, output: str, inputs: list[str], build: Call
     return True
 
 
+def materialize_parts(
+    spark: SparkSession, output: str, inputs: list[str], part_of: Callable[[Column], Column], build: Callable[[list[str]], DataFrame], part: str = "part"
+) -> list[str]:
+    """A9, by parts. Build only the partitions of ``output`` whose input files are new, changed or gone; the names of those, in order.
+
+    ``part_of`` gives a file path's partition, and ``build`` gets the paths of the changed partitions' files and returns rows with
+    the column ``part``. A manifest beside the output says which files, of which time and length, each partition was made of; it is replaced
+    after the partitions, so a run that breaks off is made up for by the next. Partitions whose files are all gone are removed.
+    """
+    manifest, jvm = f"{output.rstrip('/')}-manifest", spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    system = path(output).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inputs).select("path", F.unix_millis("modificationTime").alias("modified"), "length")
+    now = stored(found.withColumn("part", part_of(F.col("path")).cast("string")), "files")
+    if system.exists(path(manifest)):
+        before = spark.read.schema(now.schema).parquet(manifest)
+        new, gone = now.join(before, now.columns, "left_anti"), before.join(now, now.columns, "left_anti")
+        changed = new.select("part").union(gone.select("part")).distinct()
+    else:
+        changed = now.select("part").distinct()
+    changed = stored(changed, "changed")
+    names = [r[0] for r in changed.orderBy("part").collect()]  # one row a partition to be built
+    if not names:
+        return []
+    sources = [r[0] for r in now.join(changed, "part", "left_semi").select("path").orderBy("path").collect()]  # the paths that the scan is given
+    if sources:
+        build(sources).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(output)
+    kept = {r[0] for r in now.join(changed, "part", "left_semi").select("part").distinct().collect()}
+    for name in set(names) - kept:
+        system.delete(path(f"{output}/{part}={name}"), True)
+    now.write.mode("overwrite").parquet(manifest)
+    return names
+
+
 def _newest(spark: SparkSession, path: str) -> int | None:
     """Milliseconds of the latest change of the files at ``path``; None without files."""
     jvm = spark.sparkContext._jvm
