@@ -555,8 +555,8 @@ def _(docs):
 
 @query("c10_match_templates", "doc_lines", sql=f"WITH {_TOKENS}, ids AS (select row_number() over (order by first, template) as template_id, * from mined), seen AS (select line_id, len(tokens) as size, case when regexp_matches(tokens[1], '[0-9]') then '<:*:>' else tokens[1] end as t0, case when regexp_matches(coalesce(tokens[2], ''), '[0-9]') then '<:*:>' else coalesce(tokens[2], '') end as t1 from tokens where len(tokens) > 0) select line_id, template_id from seen join ids using (size, t0, t1)")
 def _(docs):
-    lines = _lines(docs)
-    return templates.match_templates(lines, templates.assign_ids(templates.mine_templates(lines, **_PLAIN)), **_PLAIN)
+    masked = files.stored(templates.leaves(_lines(docs), **_PLAIN).select("line_id", "leaf", "tokens"), "masked")
+    return templates.match_templates(masked, templates.assign_ids(templates.mine_templates(masked)))
 
 
 def _resumed() -> str:
@@ -952,7 +952,6 @@ def _(lines):
 @query("a10_append_run", "scored", sql="WITH c AS (select service, count(*) filter (y = 1 and p_cls > 0.5) as tp, count(*) filter (p_cls > 0.5) as pred, count(*) filter (y = 1) as actual from scored group by 1) select service as run, round(case when pred = 0 then 0 else tp / pred end, 6) as precision, round(case when actual = 0 then 0 else tp / actual end, 6) as recall from c")
 def _(scored):
     path = files.scratch(scored.sparkSession, "runs")
-    for run in [row[0] for row in scored.select("service").distinct().collect()]:  # a run for each of the fleet's services
-        rows = scored.where(F.col("service") == run).withColumn("yhat", scoring.decide(F.col("p_cls")))
-        files.append_run(scoring.prf(rows, "y", "yhat").select(F.lit(run).alias("run"), r("precision"), r("recall")), path)
+    rows = scored.withColumn("yhat", scoring.decide(F.col("p_cls")))
+    files.append_run(scoring.prf(rows, "y", "yhat", ["service"]).select(F.col("service").alias("run"), r("precision"), r("recall")), path)
     return scored.sparkSession.read.parquet(path)

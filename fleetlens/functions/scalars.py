@@ -31,6 +31,7 @@ SUM_KEYWORDS = (
     "network", "bytes", "packets", "dropped", "errors", "fault", "ops", "operations", "request", "requests", "sectors", "switches",
     "total_", "_total", "count", "connections",
 )
+#: The levels that log lines name.
 LEVELS = ("WARNING", "ERROR", "INFO", "DEBUG")
 
 
@@ -78,13 +79,14 @@ def classify_fault(df: DataFrame, message: str = "message", zone: str = "UTC") -
     zoned = lambda stamp: F.unix_millis(F.to_utc_timestamp(F.try_to_timestamp(F.nullif(F.regexp_replace(stamp, r"\s+", " "), F.lit(""))), zone))
     stamp, header = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)", r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}),(\d{3})"
     seconds = lambda words: F.regexp_extract(text, rf"{words} (\d+) seconds", 1).try_cast("long")
-    kind = F.regexp_extract(text, r"\|\s*(WARNING|ERROR|INFO|DEBUG)\s*\|", 1)
+    kind = F.regexp_extract(text, rf"\|\s*({'|'.join(LEVELS)})\s*\|", 1)
     head = zoned(F.regexp_extract(text, header, 1))
     head_ms = head + F.regexp_extract(text, header, 2).try_cast("long")
     start_at, start_with = zoned(F.regexp_extract(text, f"start at {stamp}", 1)), zoned(F.regexp_extract(text, f"start with {stamp}", 1))
     lasts = F.regexp_extract(text, r"lasts\s+(\d+)\s+seconds", 1).try_cast("long")
     has = lambda words: (kind == "WARNING") & F.contains(text, F.lit(words))
     none, zero, some = F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(1)
+    # The levels, phrases, types and default lengths of fault messages, in the order in which they are tried.
     # test, type, start, length; the last says whether a length of 0 leaves the end open
     rules = [
         (kind == "INFO", "normal", none, zero, False),

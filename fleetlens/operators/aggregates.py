@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LEVELS, bucket, finite, reduce_mode
-from ..sources.files import stored
+from ..storage import stored
 from .ranks import quantiles
 
 

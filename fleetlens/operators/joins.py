@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import bucket
-from ..sources.files import stored
+from ..storage import stored
 from .ranks import numbered
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stored
+
 #: Ranges that rows are dealt to at most, and rows of the sample for each of them
 MOST_RANGES, SAMPLE = 1000, 40
 
@@ -55,8 +57,10 @@ def with_running_totals(df: DataFrame, place: Column, values: list[str], keys: t
     """Add ``<value>_before``: within ``keys``, sums over all rows ahead in the order of ``place`` and ``order``.
 
     Rows are dealt to ranges of (keys, place, order); each range sums its own and adds the totals of its key's ranges
-    ahead, of which there are as many as ranges. Only rows that tie in all of it cannot be dealt out.
+    ahead, of which there are as many as ranges. Only rows that tie in all of it cannot be dealt out. The rows are read for the bounds, the
+    totals and the sums, so they are written once and what they are made of is computed once.
     """
+    df = stored(df, "ranked")
     of = F.struct(*keys) if keys else F.lit(0)
     ways = [F.struct(*(c if isinstance(c, Column) else F.col(c) for c in (*keys, place, *order)))]
     dealt = in_ranges(df.withColumns({"_rk": of, "_pl": place}), *ways, ranges=ranges)

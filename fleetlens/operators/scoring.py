@@ -78,15 +78,15 @@ def decide(score: Column) -> Column:
     return (score > 0.5).cast("int")
 
 
-def prf(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """H6. One row: precision, recall, f1 and the counts of both classes, predicted and actual.
+def prf(df: DataFrame, y: str, yhat: str, by: list[str] | None = None) -> DataFrame:
+    """H6. One row (or one for each of ``by``): precision, recall, f1 and the counts of both classes, predicted and actual.
 
     Without predicted (actual) positives precision (recall) is 0; without either f1 is 1.
     """
-    got = df.agg(F.count_if((F.col(y) == 1) & (F.col(yhat) == 1)).alias("tp"), F.count_if(F.col(yhat) == 1).alias("pred_1"), F.count_if(F.col(yhat) == 0).alias("pred_0"), F.count_if(F.col(y) == 1).alias("actual_1"), F.count_if(F.col(y) == 0).alias("actual_0"))
+    got = df.groupBy(*(by or [])).agg(F.count_if((F.col(y) == 1) & (F.col(yhat) == 1)).alias("tp"), F.count_if(F.col(yhat) == 1).alias("pred_1"), F.count_if(F.col(yhat) == 0).alias("pred_0"), F.count_if(F.col(y) == 1).alias("actual_1"), F.count_if(F.col(y) == 0).alias("actual_0"))
     either = F.col("pred_1") + F.col("actual_1")
     return got.select(
-        F.coalesce(F.try_divide("tp", "pred_1"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "actual_1"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(2 * F.col("tp"), either), F.lit(1.0)).alias("f1"),
+        *(by or []), F.coalesce(F.try_divide("tp", "pred_1"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "actual_1"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(2 * F.col("tp"), either), F.lit(1.0)).alias("f1"),
         "pred_0", "pred_1", "actual_0", "actual_1",
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import COMMON_MASKS, HOST_MASKS, SERVICE_MASKS, mask_tokens
-from ..sources.files import stored
+from ..storage import stored
 from .ranks import numbered
 
 WILD = "<:*:>"
@@ -33,7 +33,9 @@ def leaf_key(tokens: Column, depth: int = 3) -> Column:
 
 
 def leaves(lines: DataFrame, masks=COMMON_MASKS, delimiters=("_",), depth: int = 3, payload: str = "payload") -> DataFrame:
-    """Add tokens and leaf; lines without a token go."""
+    """Add tokens and leaf; lines without a token go. Lines that have both already, kept from an earlier step, pass as they are."""
+    if {"tokens", "leaf"} <= set(lines.columns):
+        return lines
     return lines.withColumn("tokens", tokenize(F.col(payload), masks, delimiters)).where(F.size("tokens") > 0).withColumn("leaf", leaf_key(F.col("tokens"), depth))
 
 

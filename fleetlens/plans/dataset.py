@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import aggregates, joins, records, series
 from ..operators.ranks import numbered
-from ..sources.files import stored
+from ..storage import stored
 
 
 class Aligned(NamedTuple):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import aggregates, joins, scoring, series, templates
-from ..sources.files import stored
+from ..storage import stored
 
 
 def metric_table(points: DataFrame, ip_map: DataFrame | None = None, step: int = 30_000, n_grid: int | None = None) -> DataFrame:
@@ -47,8 +47,9 @@ def label_table(faults: DataFrame, grid: DataFrame, services: DataFrame, step: i
 def log_table(messages: DataFrame, step: int = 30_000, zone: str = "UTC", profile: dict = templates.SERVICE_PROFILE) -> tuple[DataFrame, DataFrame]:
     """Log messages to counts per (bucket_ms, service, template) and the numbered template dictionary; the profile gives masks and delimiters."""
     parsed, _ = scalars.split_rejects(scalars.parse_log_header(messages, zone=zone))
-    dictionary = stored(templates.assign_ids(templates.mine_templates(parsed, **profile)), "dictionary")
-    numbered = parsed.join(templates.match_templates(parsed, dictionary, **profile), "line_id")
+    masked = stored(templates.leaves(parsed, **profile).select("line_id", "ts_ms", "service", "leaf", "tokens"), "masked")  # mined and matched: masked once
+    dictionary = stored(templates.assign_ids(templates.mine_templates(masked)), "dictionary")
+    numbered = masked.join(templates.match_templates(masked, dictionary), "line_id")
     return aggregates.template_counts(numbered, step), dictionary
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import warnings
 from collections.abc import Callable
 
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.ranks import numbered
+from ..storage import scratch, stored
 
 
 def read_tolerant_csv(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
@@ -180,33 +178,3 @@ def _newest(spark: SparkSession, path: str) -> int | None:
 def append_run(df: DataFrame, path: str) -> None:
     """A10. Append the row of a run (its parameters and metrics) to a table; new columns may appear later."""
     df.write.mode("append").option("mergeSchema", True).parquet(path)
-
-
-_MADE: set[str] = set()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); on a single machine, if that is unset, in the system's temp folder.
-
-    All paths of an application are in one folder, which goes when the application ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.gettempdir()
-    folder = f"{root.rstrip('/')}/fleetlens-{spark.sparkContext.applicationId}"
-    if folder not in _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-        _MADE.add(folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: what several branches read is computed once, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
