@@ -9,7 +9,11 @@ words to places in licence texts:
 - of each licence notice its sixteen rarest words, wherever they stand in it. A file looks up its own rarest of
   these words; every posting says where the notice would have to begin, and beginnings on which three places agree are
   candidates. A candidate counts once the licence's mandatory key phrase stands about where that beginning puts it, so notices
-  are found with words added, left out or changed.
+  are found with words added, left out or changed. A mandatory phrase of six words or more may have one word changed; a shorter one is a
+  licence's name, and a changed word makes it another licence's.
+
+A licence's label comes from its notice; where a licence has no notice here, its name is the whole template and gives the label. A
+mandatory phrase that stands outside its notice is a mention, with a low score and no label.
 """
 
 from __future__ import annotations
@@ -86,6 +90,10 @@ for _label, _text in NOTICES.items():
     _key = next(n for n, (_, label, kind) in enumerate(PHRASES) if label == _label and kind == "key")
     _words, _phrase = _text.split(), PHRASES[_key][0]
     TEMPLATES.append((_label, _words, _key, next(i for i in range(len(_words)) if _words[i : i + len(_phrase)] == _phrase)))
+#: Words from which a mandatory phrase may have one changed, and the scores of a mention and of a licence known by its name alone
+SLIP_WORDS, MENTION_SCORE, NAME_SCORE = 6, 0.25, 0.5
+#: Licences without a notice: their name is all of their template
+NAMES = sorted({label for _, label, kind in PHRASES if kind == "key"} - set(NOTICES))
 VOCABULARY = sorted({w for words, _, _ in PHRASES for w in words} | {w for _, words, _, _ in TEMPLATES for w in words if len(w) >= LEAST_LETTERS})
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What is no part of a word, before A-Z are lower-cased
@@ -137,6 +145,12 @@ def notice_index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
     return dict(sorted(index.items(), key=lambda x: (-idf[x[0]], x[0])))
 
 
+def least_equal(key: int) -> int:
+    """How many words of a mandatory phrase have to stand in their place."""
+    size = len(PHRASES[key][0])
+    return size - 1 if size >= SLIP_WORDS else size
+
+
 def _postings(index: dict[str, list[tuple[int, int]]]) -> Column:
     """A map literal from word to numbers phrase * 2**40 - position, to which a place is added."""
     entries = [x for word, at in sorted(index.items()) for x in (F.lit(word), F.array(*(F.lit((n + 1) * _PLACE - p) for n, p in at)))]
@@ -144,17 +158,19 @@ def _postings(index: dict[str, list[tuple[int, int]]]) -> Column:
 
 
 def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: str = "text") -> DataFrame:
-    """Add n_words, places (array of struct phrase, start; word positions from 0), n_base, first_word, last_word, base_labels, labels, score, notices.
+    """Add n_words, places (array of struct phrase, start; word positions from 0), n_base, first_word, last_word, base_labels, labels, score, notices, mentions.
 
     Words are runs of digits, letters and characters beyond ASCII of the whole text, A-Z lower-cased. Places
-    are all places of all phrases. A base phrase gives its label with score 1; a licence's mandatory phrase
-    gives its label with a score from 0.5 (none of its other phrases is there) to 1 (all are). ``score`` is
-    the largest, 0 without labels. ``notices`` are the labels of the licences whose notices are found. A null or empty text has no words and empty labels. Every row is scanned
-    by itself; columns with the names of the result are replaced; an empty table stays empty.
+    are all places of all phrases. A base phrase gives its label with score 1; a licence's notice gives its label with a
+    score from 0.5 (none of the licence's other phrases is there) to 1 (all are); the name of a licence that has no notice here
+    gives its label with score 0.5. ``notices`` are the labels of the notices found, ``mentions`` those of all mandatory phrases that stand anywhere,
+    word by word; one without its notice has score 0.25 and no label. ``score`` is the largest, 0 if there is none. A null
+    or empty text has no words and empty labels. Every row is scanned by itself; columns with the names of the
+    result are replaced; an empty table stays empty.
     """
     idf = idf or word_frequencies(docs.select(F.col(text).alias("text")))
     first, second = rare_index(idf)
-    names = ["n_words", "places", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices", "_places", "_starts"]
+    names = ["n_words", "places", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices", "mentions", "_places", "_starts"]
     kept = common.drop_clashing(docs, [n for n in names if n.lower() != text.lower()])
     value = common.text_or_empty(text)
     words = F.filter(F.split(lowered(value), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
@@ -171,7 +187,9 @@ def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: st
         phrase = F.element_at(wanted, number)
         return (place >= 0) & (F.slice(F.col("_words"), F.greatest(place + 1, F.lit(1)).cast("int"), F.size(phrase)) == phrase)
 
-    may_hold = F.rlike(value, F.lit(_word_pattern(sorted(first))))
+    # A phrase stands only with its rarest word; one with a changed word keeps one of its two rarest
+    slipping = {word for word, at in second.items() if any(least_equal(n) < len(PHRASES[n][0]) and PHRASES[n][2] == "key" for n, _ in at)}
+    may_hold = F.rlike(value, F.lit(_word_pattern(sorted(first.keys() | slipping))))
     nothing = F.array().cast("array<bigint>")
     found = kept.select("*", F.coalesce(F.regexp_count(value, F.lit(f"[^{GAP}]+")), F.lit(0)).cast("long").alias("n_words"), F.when(may_hold, words).otherwise(F.array().cast("array<string>")).alias("_words"))
     has_words = F.size("_words") > 0
@@ -180,8 +198,8 @@ def scan_licenses(docs: DataFrame, idf: dict[str, float] | None = None, text: st
             "_places": F.when(has_words, F.array_sort(F.filter(F.array_intersect(starts(first), starts(second)), stands))).otherwise(nothing),
             "_starts": F.when(has_words, _notice_starts(notice_index(idf))).otherwise(nothing),
         }
-    ).drop("_words")
-    return with_labels(found)
+    )
+    return with_labels(found.withColumn("_starts", F.transform(F.filter("_starts", _verified), _number)).drop("_words"))
 
 
 def _notice_starts(index: dict[str, list[tuple[int, int]]]) -> Column:
@@ -199,6 +217,20 @@ def _notice_starts(index: dict[str, list[tuple[int, int]]]) -> Column:
     return common.let(known, votes)
 
 
+def _verified(at: Column) -> Column:
+    """Whether a notice's mandatory phrase stands within ``DRIFT`` words of where its beginning puts it."""
+    phrases = F.array(*(F.array(*map(F.lit, PHRASES[key][0])) for _, _, key, _ in TEMPLATES))
+    offsets, least = (F.array(*map(F.lit, values)) for values in zip(*((offset, least_equal(key)) for _, _, key, offset in TEMPLATES)))
+    number, phrase = _number(at), F.element_at(phrases, _number(at))
+
+    def stands(shift: Column) -> Column:
+        begin = _start(at) + F.element_at(offsets, number) + shift
+        words = F.slice(F.col("_words"), F.greatest(begin + 1, F.lit(1)).cast("int"), F.size(phrase))
+        return (begin >= 0) & (F.size(F.filter(F.zip_with(words, phrase, lambda a, b: a == b), lambda same: same)) >= F.element_at(least, number))
+
+    return F.exists(F.array(*map(F.lit, range(-DRIFT, DRIFT + 1))), stands)
+
+
 def _number(at: Column) -> Column:
     """The phrase, from 1; a place before the text's beginning still has its own phrase's number."""
     return F.floor((at + 1000) / _PLACE).cast("int")
@@ -210,22 +242,23 @@ def _start(at: Column) -> Column:
 
 def with_labels(found: DataFrame) -> DataFrame:
     place = F.transform("_places", lambda at: F.struct((_number(at) - 1).alias("phrase"), _start(at).alias("start")))
-    keys = F.array(*(F.lit((key + 1) * _PLACE + offset) for _, _, key, offset in TEMPLATES))  # of each notice: its phrase's number and place
-    there = lambda at: F.exists("_places", lambda p: F.abs(p - _start(at) - F.element_at(keys, _number(at))) <= DRIFT)
-    found = found.withColumn("_starts", F.transform(F.filter("_starts", there), _number))
     found = found.withColumn("places", place).drop("_places")
     base = F.transform(F.filter("places", lambda p: p["phrase"] < len(BASE)), lambda p: p["start"])
     has = lambda n: F.exists("places", lambda p: p["phrase"] == n)
-    labels, scores = {}, [F.lit(0.0)]
+    noticed = {label: F.array_contains("_starts", n + 1) for n, (label, _, _, _) in enumerate(TEMPLATES)}
+    labels, mentions, scores = {}, {}, [F.lit(0.0)]
     for label in sorted({x[1] for x in PHRASES}):
         by = {kind: [n for n, x in enumerate(PHRASES) if x[1:] == (label, kind)] for kind in ("base", "key", "support")}
         for n in by["base"]:
             labels.setdefault(label, []).append(has(n))
             scores.append(F.when(has(n), 1.0))
         for n in by["key"]:
-            labels.setdefault(label, []).append(has(n))
+            mentions[label] = has(n)
+            labels.setdefault(label, []).append(noticed.get(label, has(n)))
+            scores.append(F.when(has(n), NAME_SCORE if label in NAMES else MENTION_SCORE))
+        if label in noticed:
             more = sum((has(m).cast("double") for m in by["support"]), F.lit(0.0)) / len(by["support"]) if by["support"] else F.lit(1.0)
-            scores.append(F.when(has(n), 0.5 + 0.5 * more))
+            scores.append(F.when(noticed[label], 0.5 + 0.5 * more))
     either = lambda tests: tests[0] if len(tests) == 1 else tests[0] | tests[1]
     joined = lambda named: F.concat_ws(",", *(F.when(test, label) for label, test in sorted(named.items())))
     base_tests = {label: has(n) for n, (_, label, kind) in enumerate(PHRASES) if kind == "base"}
@@ -237,7 +270,8 @@ def with_labels(found: DataFrame) -> DataFrame:
         joined(base_tests).alias("base_labels"),
         joined({label: either(tests) for label, tests in labels.items()}).alias("labels"),
         F.greatest(*scores).alias("score"),
-        joined({label: F.array_contains("_starts", n + 1) for n, (label, _, _, _) in enumerate(TEMPLATES)}).alias("notices"),
+        joined(noticed).alias("notices"),
+        joined(mentions).alias("mentions"),
     ).drop("_starts")
 
 
@@ -249,45 +283,47 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same in SQL: every phrase sought at every word."""
-    has, places = [], []
-    for n, (words, _, kind) in enumerate(PHRASES):
+    places = []
+    for n, (words, _, _) in enumerate(PHRASES):
         test = " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(words))
         places.append(f"list_filter(range(len(w)), lambda i: {test}) AS p{n}")
-    found = {}
-    scores = ["0.0"]
+    found, mentioned, scores = {}, {}, ["0.0"]
+    score = lambda test, value: scores.append(f"CASE WHEN {test} THEN {value} ELSE 0.0 END")
     for n, (_, label, kind) in enumerate(PHRASES):
         if kind == "base":
             found.setdefault(label, []).append(f"len(p{n}) > 0")
-            scores.append(f"CASE WHEN len(p{n}) > 0 THEN 1.0 ELSE 0.0 END")
+            score(f"len(p{n}) > 0", 1.0)
         elif kind == "key":
-            found.setdefault(label, []).append(f"len(p{n}) > 0")
+            mentioned[label] = f"len(p{n}) > 0"
+            found.setdefault(label, []).append(mentioned[label] if label in NAMES else f"coalesce(list_contains(noticed, '{label}'), false)")
+            score(mentioned[label], NAME_SCORE if label in NAMES else MENTION_SCORE)
             more = [m for m, x in enumerate(PHRASES) if x[1:] == (label, "support")]
             share = "(" + " + ".join(f"CASE WHEN len(p{m}) > 0 THEN 1.0 ELSE 0.0 END" for m in more) + f") / {len(more)}" if more else "1.0"
-            scores.append(f"CASE WHEN len(p{n}) > 0 THEN 0.5 + 0.5 * {share} ELSE 0.0 END")
-        has.append(n)
+            score(f"list_contains(noticed, '{label}')", f"0.5 + 0.5 * {share}")
     base = [n for n, x in enumerate(PHRASES) if x[2] == "base"]
     base_all = " || ".join(f"p{n}" for n in base)
     base_labels = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{PHRASES[n][1]}' END" for n in sorted(base, key=lambda n: PHRASES[n][1]))
     labels = ", ".join(f"CASE WHEN {' OR '.join(tests)} THEN '{label}' END" for label, tests in sorted(found.items()))
     literal = lambda rows: ", ".join(str(x).replace('"', "'") for x in rows)
     candidates = literal(notice_places())
-    keys = literal((t, label, key, offset) for t, (label, _, key, offset) in enumerate(TEMPLATES))
-    held = ", ".join(f"list_transform(p{n}, lambda x: {n * 1000000000} + x)" for n in sorted({key for _, _, key, _ in TEMPLATES}))
+    keys = literal((t, label, offset, PHRASES[key][0], least_equal(key)) for t, (label, _, key, offset) in enumerate(TEMPLATES))
+    mentions = ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test in sorted(mentioned.items()))
+    equal = "len(list_filter(range(1, len(phrase) + 1), lambda k: w[v.start + off + shift + k] = phrase[k]))"
     return f"""
 WITH split AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{ALPHABET}', '{ALPHABET.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), placed AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {', '.join(places)} FROM split),
-notice_words(t, pos, word) AS (VALUES {candidates}), notice_keys(t, label, key, off) AS (VALUES {keys}),
+notice_words(t, pos, word) AS (VALUES {candidates}), notice_keys(t, label, off, phrase, least) AS (VALUES {keys}),
 frequency AS (SELECT word, count(d.doc_id) AS n FROM (SELECT DISTINCT word FROM notice_words) LEFT JOIN (SELECT doc_id, unnest(list_distinct(w)) AS word FROM split) d USING (word) GROUP BY word),
 firsts AS (SELECT t, word, n, row_number() OVER (PARTITION BY t ORDER BY n, min(pos)) AS r FROM notice_words JOIN frequency USING (word) GROUP BY t, word, n),
 indexed AS (SELECT i.t, i.pos, i.word, f.n FROM notice_words i JOIN firsts f ON f.t = i.t AND f.word = i.word WHERE f.r <= {NOTICE_WORDS}),
 met AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM split WHERE len(list_intersect(w, (SELECT list(DISTINCT word) FROM indexed))) > 0) WHERE word IN (SELECT word FROM indexed)),
 own AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS r FROM (SELECT DISTINCT doc_id, word, n FROM met JOIN (SELECT DISTINCT word, n FROM indexed) USING (word))) WHERE r <= {FILE_WORDS}),
 voted AS (SELECT m.doc_id, x.t, m.i - x.pos AS start FROM met m JOIN own o ON o.doc_id = m.doc_id AND o.word = m.word JOIN indexed x ON x.word = m.word GROUP BY ALL HAVING count(*) >= {VOTES}),
-keyed AS (SELECT doc_id, unnest(list_concat({held})) AS place FROM placed),
-noticed AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS notices FROM voted v JOIN notice_keys USING (t) JOIN keyed k USING (doc_id)
-  WHERE k.place // 1000000000 = key AND abs(k.place % 1000000000 - v.start - off) <= {DRIFT} GROUP BY doc_id)
+noticed AS (SELECT doc_id, list_sort(list(DISTINCT label)) AS noticed FROM voted v JOIN notice_keys USING (t) JOIN split USING (doc_id)
+  WHERE len(list_filter(range(-{DRIFT}, {DRIFT} + 1), lambda shift: v.start + off + shift >= 0 AND {equal} >= least)) > 0 GROUP BY doc_id)
 SELECT p.doc_id, n_words, CAST(len({base_all}) AS BIGINT) AS n_base, list_min({base_all}) AS first_word, list_max({base_all}) AS last_word,
-  concat_ws(',', {base_labels}) AS base_labels, concat_ws(',', {labels}) AS labels, CAST(greatest({', '.join(scores)}) AS DOUBLE) AS score, coalesce(notices, '') AS notices
+  concat_ws(',', {base_labels}) AS base_labels, concat_ws(',', {labels}) AS labels, CAST(greatest({', '.join(scores)}) AS DOUBLE) AS score, coalesce(array_to_string(noticed, ','), '') AS notices,
+  concat_ws(',', {mentions}) AS mentions
 FROM placed p LEFT JOIN noticed q ON q.doc_id = p.doc_id
 """

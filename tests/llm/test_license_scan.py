@@ -21,15 +21,15 @@ def brute_force(text):
     base = [i for n, i in places if n < len(license_scan.BASE)]
     met = {n for n, _ in places}
     kind = lambda *kinds: {license_scan.PHRASES[n][1] for n in met if license_scan.PHRASES[n][2] in kinds}
-    return len(words), places, len(base), min(base, default=None), max(base, default=None), ",".join(sorted(kind("base"))), ",".join(sorted(kind("base", "key")))
+    return len(words), places, len(base), min(base, default=None), max(base, default=None), ",".join(sorted(kind("base"))), ",".join(sorted(kind("base") | kind("key") & set(license_scan.NAMES))), ",".join(sorted(kind("key")))
 
 
 def assert_same(spark, texts):
     frame = spark.createDataFrame([(i, t, "taken") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
     for r in license_scan.scan_licenses(frame).collect():
-        got = (r["n_words"], [(p["phrase"], p["start"]) for p in r["places"]], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"])
+        got = (r["n_words"], [(p["phrase"], p["start"]) for p in r["places"]], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["mentions"])
         assert got == brute_force(r["text"]), r["text"]
-        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"]) and (not r["base_labels"] or r["score"] == 1)
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"] or r["mentions"]) and (r["score"] >= 0.5) == bool(r["labels"]) and (not r["base_labels"] or r["score"] == 1)
 
 
 def test_edges(spark):
@@ -69,13 +69,22 @@ def test_notices_in_files(spark):
         edited = words[: at + len(key)] + [w if rng.random() > 0.1 else "changed" for w in words[at + len(key) :]]
         longer = "Copyright 2020 by some people who wrote it all".split() + words[: at + len(key)] + ["(in", "short)"] + words[at + len(key) :]
         without = [w if not at <= i < at + len(key) else "x" for i, w in enumerate(words)]
-        for variant, found in ((words, True), (edited, True), (longer, True), (without, False), (key, False), (words[: at + len(key) + 1][-3:], False)):
+        slipped = [w if i != at + len(key) // 2 else "x" for i, w in enumerate(words)]
+        tolerant = len(key) >= license_scan.SLIP_WORDS
+        twice = [w if i not in (at, at + len(key) // 2) else "x" for i, w in enumerate(words)]
+        tail = words[: at + len(key) + 1][-3:]
+        for variant, found in ((words, True), (edited, True), (longer, True), (slipped, tolerant), (twice, False), (without, False), (key, False), (tail, False)):
             texts.append("code before it;\n" + comment(" ".join(variant), 11, " * ") + "\nint main() { return 0; }")
             wanted.append(label if found else "")
     texts.append(comment(license_scan.NOTICES["mit"], 8, "# ") + "\n\n" + comment(license_scan.NOTICES["apache-2"], 20, "// "))
     wanted.append("apache-2,mit")
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["notices"] for r in license_scan.scan_licenses(frame).collect()}
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(frame).collect()}
+    got = {i: r["notices"] for i, r in rows.items()}
+    for r in rows.values():  # labels follow from notices and base phrases, a phrase alone is a mention
+        split = lambda name: set(filter(None, r[name].split(",")))
+        assert split("labels") == split("notices") | split("base_labels")
+        assert r["score"] >= 0.5 if r["labels"] else r["score"] == (0.25 if r["mentions"] else 0)
     # gpl notices without their name hold no other licence's name either, and the lesser licence's name is not the general one's
     assert [got[i] for i in range(len(texts))] == wanted
     con = duckdb.connect()
