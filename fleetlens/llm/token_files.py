@@ -18,6 +18,14 @@ from pyspark.sql import types as T
 from . import bpe, common
 
 END_ID, ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 0, 32 << 20, 256 << 10, 2000
+#: Bytes of text that go into a file, about: what one task sorts, encodes and writes, and sums again for the starts
+FILE_BYTES = 256 << 20
+
+
+def file_count(docs: DataFrame) -> int:
+    """Files for the texts of ``docs``: one for each ``FILE_BYTES`` of them, and as many as the session has shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID, files: int | None = None) -> None:
@@ -25,9 +33,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     Files follow one another by number, rows by position. A null doc_id comes first, and rows that repeat an
     id stand together, ordered by text. A null or empty text has the end id alone. Other columns are not
-    written; an empty table leaves a folder without rows.
+    written; an empty table leaves a folder without rows. The number of files grows with the bytes of all texts, which
+    are counted first, unless ``files`` sets it.
     """
-    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files or file_count(docs)
     rows = docs.select("doc_id", common.text_or_empty().alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     encoded = bpe.encode(rows, path, end_id=end_id, drop=("text",)).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
     options = {

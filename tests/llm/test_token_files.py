@@ -58,3 +58,18 @@ def test_selective_reads(spark, tmp_path):
     assert {r["doc_id"]: r["token_ids"] for r in some.collect()} == {i: t for i, t in every.items() if low <= i <= high}
     lengths = token_files.read_lengths(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "token_ids" not in lengths.split("ReadSchema")[-1]
+
+
+def test_files_grow_with_the_texts(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * 30, "x") for i in range(400)] + [(None, None, "x"), (7, "", "x")], "doc_id long, text string, n_tokens string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_files.file_count(docs) == token_files.file_count(docs.limit(0)) == least
+    monkeypatch.setattr(token_files, "FILE_BYTES", 5000)
+    wanted = -(-sum(len(r["text"] or "") for r in docs.collect()) // 5000)
+    assert token_files.file_count(docs) == wanted > least
+    token_files.write_token_files(docs, str(tmp_path / "ids"))
+    lengths = token_files.read_lengths(spark, str(tmp_path / "ids"))
+    assert lengths.select("file").distinct().count() > least
+    rows = token_files.with_starts(lengths).orderBy("file", "row").collect()
+    assert len(rows) == 402 and [r["doc_id"] for r in rows] == [None] + sorted([*range(400), 7])
+    assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
