@@ -6,9 +6,9 @@ all such places, by one table lookup a byte; the fragments are encoded independe
 concatenated. Fragments repeat far more than texts do, so each worker keeps those it has met.
 
 The tokenizer's own word splitting looks at its surroundings in two ways, and a cut must hide neither:
-white space looks ahead (so there is no cut right after white space), and an apostrophe may begin a
-contraction (so there is none right before one). With that, a fragment splits into words alone as it does
-within its text.
+white space looks ahead (so there is no cut right after white space, but for a single line break between
+other ASCII characters, which is a piece by itself either way), and an apostrophe may begin a contraction (so
+there is none right before one). With that, a fragment splits into words alone as it does within its text.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bytesvec import bytes_of, range_hashes, same_ranges
+from .bytesvec import bytes_of, range_hashes, same_ranges, short_ranges
 
-#: Fragments a worker keeps at most, and the longest of them in bytes: together some 150 MB.
-KEPT_FRAGMENTS, KEPT_BYTES = 600_000, 48
+#: Fragments a worker keeps at most, as many short ones (some 50 MB) as others (up to some 150 MB), and the longest of both in bytes
+KEPT_FRAGMENTS, SHORT_BYTES, KEPT_BYTES = 600_000, 16, 48
 
 _ENCODERS: dict[str, FragmentEncoder] = {}
 
@@ -38,6 +38,74 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def is_word(text: str) -> bool:
+    """Whether it is letters alone, of those scripts of which every Unicode version says so."""
+    return text.isalpha() and max(text) < "\u0250"
+
+
+def pieces(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` items of ``flat`` from ``begins`` on, one run after the other."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class ShortFragments:
+    """Ids of fragments of up to ``SHORT_BYTES`` bytes, found by their hashes and confirmed by their bytes.
+
+    When ``most`` are kept, those that were met only once since the last time go.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.used, self.used_ids = most, 0, 0
+        self.rows = np.zeros(most, [("low", "<u8"), ("high", "<u8"), ("size", "<i8"), ("begin", "<i8"), ("count", "<i8")])
+        self.again, self.ids = np.zeros(most, bool), np.zeros(most * SHORT_BYTES, "<u4")
+        #: All hashes in order, and the rows of their fragments
+        self.hashes, self.row_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The row of each fragment, -1 for one that is not kept."""
+        found = np.full(len(hashes), -1)
+        if not self.used:
+            return found
+        order = np.argsort(hashes)  # neighbours are looked up together
+        place = np.minimum(np.searchsorted(self.hashes, hashes[order]), self.used - 1)
+        rows = self.row_of[place]
+        kept = self.rows[rows]
+        same = (self.hashes[place] == hashes[order]) & (kept["low"] == low[order]) & (kept["high"] == high[order]) & (kept["size"] == sizes[order])
+        found[order[same]] = rows[same]
+        self.again[rows[same]] = True
+        return found
+
+    def add(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, ids: list[bytes]) -> None:
+        """Keep fragments that were not found, as far as there is room; of several with one hash, the first."""
+        if self.used + len(hashes) > self.most:
+            self._make_room()
+        new, which = np.unique(hashes, return_index=True)
+        place = np.searchsorted(self.hashes, new)
+        free = np.ones(len(new), bool) if not self.used else self.hashes[np.minimum(place, self.used - 1)] != new
+        new, which, place = (x[free][: self.most - self.used] for x in (new, which, place))
+        rows = np.arange(self.used, self.used + len(new))
+        self.hashes, self.row_of = np.insert(self.hashes, place, new), np.insert(self.row_of, place, rows)
+        flat = np.frombuffer(b"".join([ids[i] for i in which.tolist()]), "<u4")
+        counts = np.array([len(ids[i]) // 4 for i in which.tolist()], np.int64)
+        for name, values in (("low", low[which]), ("high", high[which]), ("size", sizes[which]), ("begin", self.used_ids + np.cumsum(counts) - counts), ("count", counts)):
+            self.rows[name][rows] = values
+        self.ids[self.used_ids : self.used_ids + len(flat)] = flat
+        self.used, self.used_ids = self.used + len(new), self.used_ids + len(flat)
+
+    def _make_room(self) -> None:
+        stay = np.flatnonzero(self.again)
+        stay = stay if len(stay) <= self.most // 2 else stay[:0]
+        flat, rows, moved = pieces(self.ids, self.rows["begin"][stay], self.rows["count"][stay]), self.rows[stay], np.full(self.most, -1)
+        moved[stay] = np.arange(len(stay))
+        rows["begin"] = np.cumsum(rows["count"]) - rows["count"]
+        self.rows[: len(stay)], self.ids[: len(flat)] = rows, flat
+        here = moved[self.row_of] >= 0
+        self.hashes, self.row_of = self.hashes[here], moved[self.row_of[here]]
+        self.used, self.used_ids = len(stay), len(flat)
+        self.again[:] = False
+
+
 class FragmentEncoder:
     """Encoder and decoder from the JSON text of a byte-level BPE tokenizer of the tokenizers library."""
 
@@ -59,9 +127,14 @@ class FragmentEncoder:
         self.wide_last, self.wide_before = np.zeros(256, bool), np.zeros(256, bool)
         for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]):
             self.wide_last[c.encode()[-1]] = self.wide_before[c.encode()[-2]] = True
-        holds_zero = [i for i, token in self.token_bytes.items() if 0 in token]
-        self.divider = holds_zero[0] if len(holds_zero) == 1 and self.token_bytes[holds_zero[0]] == b"\0" else None
-        #: What was met lately, and what before that: the older half goes when the newer is full.
+        #: Whether a lone word is one piece, so that merging is all there is to do, and the characters that stand for its bytes
+        splits, last = parsed.get("pre_tokenizer") or {}, parsed.get("post_processor") or {"type": "ByteLevel"}
+        self.plain = splits.get("type") == last["type"] == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space", True)
+        self.plain = self.plain and not parsed.get("normalizer") and not any(is_word(a["content"].strip()) for a in parsed["added_tokens"])
+        self.merge = self.tokenizer.model.tokenize
+        self.shown = np.array([ord(c) for _, c in sorted(byte_alphabet().items())], "<u4")
+        self.short = ShortFragments(KEPT_FRAGMENTS)
+        #: Longer ones: what was met lately, and what before that; the older half goes when the newer is full.
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -70,7 +143,13 @@ class FragmentEncoder:
         for token in self.token_bytes.values():
             for a, b in zip(token, token[1:]):
                 forced[a, b] = False
-        forced[[*range(0x09, 0x0E), *range(0x1C, 0x21)], :] = False
+        space = [*range(0x09, 0x0E), *range(0x1C, 0x21)]
+        #: Bytes between which a single line break may stand at the end of a fragment
+        self.before_break = np.arange(256) < 0x80
+        self.before_break[space] = False
+        self.after_break = self.before_break & forced[ord("\n")]
+        self.after_break[ord("'")] = False
+        forced[space, :] = False
         forced[:, ord("'")] = False
         forced[:, 0x80:0xC0] = False  # never within a character
         return forced.ravel()
@@ -79,48 +158,69 @@ class FragmentEncoder:
         """All places where fragments begin or end, ends of texts included."""
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
-            cut[1:-1] = self.forced[(data[:-1].astype(np.uint16) << 8) | data[1:]]
-            cut[2:-1] &= ~(self.wide_last[data[1:-1]] & self.wide_before[data[:-2]])
+            self.forced.take((data[:-1].astype(np.uint16) << 8) | data[1:], out=cut[1:-1], mode="clip")
+            wide = np.flatnonzero(self.wide_last[data[1:-1]]) + 1 if data.max() > 0x7F else np.zeros(0, np.int64)
+            cut[wide[self.wide_before[data[wide - 1]]] + 1] = False
+            breaks = np.flatnonzero(data[1:-1] == ord("\n")) + 1
+            cut[breaks[self.before_break[data[breaks - 1]] & self.after_break[data[breaks + 1]]] + 1] = True
         cut[offsets] = True
         return np.flatnonzero(cut)
 
     def encode_fragments(self, fragments: list[bytes]) -> dict[bytes, bytes]:
-        """Fragments of one word each go to the library in one text, with a byte between them that no token holds beside another."""
+        """Fragments of one word each have their bytes merged by the library's model; any other goes through all its steps."""
         out: dict[bytes, bytes] = {}
         words = []
         for fragment in fragments:
-            text = fragment.decode()
-            core = text[1:] if text[:1] == " " else text
-            if self.divider is not None and core.isalpha() and max(core) < "\u0250":
-                words.append(text)
+            word = fragment[1:] if fragment[:1] == b" " else fragment
+            if self.plain and (word.isalpha() or is_word(word.decode())):
+                words.append(fragment)
             else:
-                out[fragment] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                out[fragment] = np.array(self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if words:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\0".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.divider).tolist(), len(ids)]
-            flat = ids.tobytes()
-            out.update((w.encode(), flat[4 * a : 4 * b]) for w, a, b in zip(words, [0, *(e + 1 for e in ends)], ends))
+            shown = self.shown[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le").split(chr(self.shown[ord("\n")]))
+            ids, ends = [], [0]
+            for word in shown:
+                ids += [token.id for token in self.merge(word)]
+                ends.append(4 * len(ids))
+            flat = np.array(ids, "<u4").tobytes()
+            out.update(zip(words, [flat[a:b] for a, b in zip(ends, ends[1:])]))
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin."""
         at = self.cuts(data, offsets)
         starts, sizes = at[:-1], np.diff(at)
-        _, first, which = np.unique(range_hashes(data, starts, at[1:]), return_index=True, return_inverse=True)
+        hashes = range_hashes(data, starts, at[1:])
+        coded = pa.array(hashes).dictionary_encode()
+        which, first = coded.indices.to_numpy().astype(np.int64), np.zeros(len(coded.dictionary), np.int64)
+        first[which] = np.arange(len(which))  # any of the fragments with the hash
         # Fragments of one hash share ids only if their bytes are equal; any other is encoded by itself
         other = np.flatnonzero((sizes[first][which] != sizes) | ~same_ranges(data, starts, starts[first][which], sizes))
         which[other] = len(first) + np.arange(len(other))
         first = np.append(first, other)
-        raw = data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), at[1:][first].tolist())]
-        found = self._ids_of(distinct)
-        flat = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[which]
+        flat, counts = self._ids_of_distinct(data, starts[first], sizes[first], hashes[first])
+        each = counts[which]
         ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(begins[which] - ends[:-1], each) + np.arange(ends[-1])]
-        return ids, ends[np.searchsorted(at, offsets)]
+        return pieces(flat, (np.cumsum(counts) - counts)[which], each), ends[np.searchsorted(at, offsets)]
+
+    def _ids_of_distinct(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments in a row, and how many each has."""
+        low, high = short_ranges(data, starts, sizes)
+        row = self.short.find(hashes, low, high, np.where(sizes <= SHORT_BYTES, sizes, -1))
+        met, new, longer = row >= 0, np.flatnonzero((row < 0) & (sizes <= SHORT_BYTES)), np.flatnonzero(sizes > SHORT_BYTES)
+        raw, ends = data.tobytes(), starts + sizes
+        fragments = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        encoded = self.encode_fragments(fragments)
+        ids = [encoded[f] for f in fragments]
+        found = ids + self._ids_of([raw[a:b] for a, b in zip(starts[longer].tolist(), ends[longer].tolist())])
+        # Ids of what was met, then of what was not; put in the order of the fragments
+        kept = self.short.rows[row[met]]
+        flat = np.concatenate([pieces(self.short.ids, kept["begin"], kept["count"]), np.frombuffer(b"".join(found), "<u4")])
+        counts, order = np.concatenate([kept["count"], np.array([len(x) // 4 for x in found], np.int64)]), np.concatenate([np.flatnonzero(met), new, longer])
+        begins, sized = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        begins[order], sized[order] = np.cumsum(counts) - counts, counts
+        self.short.add(hashes[new], low[new], high[new], sizes[new], ids)
+        return pieces(flat, begins, sized), sized
 
     def _ids_of(self, fragments: list[bytes]) -> list[bytes]:
         found = list(map(self.kept.get, fragments))

@@ -68,6 +68,12 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def short_ranges(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second eight bytes of ranges as numbers, zeros beyond their ends: all there is of those up to sixteen."""
+    eights = _eights(data)
+    return eights[starts] & _LOW_BYTES[np.minimum(sizes, 8)], eights[np.minimum(starts + 8, len(data))] & _LOW_BYTES[np.clip(sizes - 8, 0, 8)]
+
+
 def same_ranges(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether the ``sizes`` bytes from ``starts`` on are those from ``others`` on."""
     same, eights, todo, at = np.ones(len(starts), bool), _eights(data), np.flatnonzero((sizes > 0) & (starts != others)), 0

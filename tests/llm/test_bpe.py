@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
@@ -46,6 +48,51 @@ def test_older_fragments_are_found_again(monkeypatch):
         assert flat.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_merged_without_the_steps_before():
+    encoder = bpe.FragmentEncoder(common.file_text(common.tokenizer_path()))
+    encoder.encode(*bytes_of(pa.array(["\n"])))
+    encoder.tokenizer = None  # what comes now needs the model alone
+    for text in ["one thheingble\nThree Ländereien\nfour", "Onenti", "one thheingble"]:
+        flat, _ = encoder.encode(*bytes_of(pa.array([text])))
+        assert flat.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_single_line_breaks_are_cut_off():
+    data, at = bytes_of(pa.array(["one\nTwo.\n\nThree\n's \nfour"]))
+    assert [data[a:b].tobytes() for a, b in itertools.pairwise(ENCODER.cuts(data, at).tolist())] == [b"one", b"\n", b"Two", b".", b"\n\nThree", b"\n's", b" \nfour"]
+    around = ["a", "É", "é", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "'", "'s", "!", "7", "日", "<|endoftext|>", "\x00", ""]
+    texts = ["".join(t) for t in itertools.product(around, ["\n", "\r\n", "\n\n"], around)]
+    for joined in (texts, texts[::-1]):  # other neighbours, too
+        assert encoded(joined) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in joined]
+
+
+def test_kept_short_fragments_stay_few_and_right(monkeypatch):
+    for most in (1, 5, 12):
+        monkeypatch.setattr(bpe, "KEPT_FRAGMENTS", most)
+        small = bpe.FragmentEncoder(common.file_text(common.tokenizer_path()))
+        for i in range(40):
+            text = f"one two three Four{'abcdefgh'[i % 8]} same\x00 same five{'xyz'[i % 3] * (i % 9)} a-very-much-longer{'word' * (i % 5)}"
+            flat, _ = small.encode(*bytes_of(pa.array([text, text[::-1]])))
+            assert flat.tolist() == [x for t in (text, text[::-1]) for x in LIBRARY.encode(t, add_special_tokens=False).ids]
+            assert small.short.used <= most and len(small.short.hashes) == small.short.used and (np.diff(small.short.hashes.astype(object)) > 0).all()
+
+
+def test_fragments_met_twice_outlive_the_others():
+    short, one = bpe.ShortFragments(4), np.ones(1, np.uint64)
+
+    def met(n):
+        return short.find(one * np.uint64(n), one * np.uint64(n), one, np.array([3]))[0]
+
+    for n in (1, 2, 3, 4):
+        short.add(one * np.uint64(n), one * np.uint64(n), one, np.array([3]), [np.array([n, n], "<u4").tobytes()])
+    assert met(2) >= 0 and met(3) >= 0 and met(9) == -1
+    assert short.find(one * np.uint64(2), one * np.uint64(7), one, np.array([3]))[0] == -1  # same hash, other bytes
+    short.add(one * np.uint64(5), one * np.uint64(5), one, np.array([3]), [np.array([5], "<u4").tobytes()])
+    assert [met(n) >= 0 for n in (1, 2, 3, 4, 5)] == [False, True, True, False, True]
+    row = short.rows[met(3)]
+    assert short.ids[row["begin"] : row["begin"] + row["count"]].tolist() == [3, 3]
+
+
 def test_table(spark, edge_docs):
     rows = bpe.decode(bpe.encode(edge_docs), text="back").collect()
     assert len(rows) == len(EDGES)
