@@ -35,6 +35,8 @@ def span_edges(spans: DataFrame, order: list[Column], step: int = 30_000, entiti
     return joined.select("trace_id", bucket(F.col("start_ms"), step).alias("bucket_ms"), "src", F.col("service_name").alias("dst"), "status_code", ((F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0)).alias("duration_s"))
 
 
+#: Spans that a task brings together before it hands them on
+MOST_ROWS = 5000
 SPAN_FIELDS = "span_id string, parentspan_id string, parent_host string, host string, name string, start string, stop string, position long"
 
 
@@ -79,20 +81,28 @@ def _spans_of(body: str | None) -> Iterator[tuple]:
 def walk_traces(traces: DataFrame, body: str = "body") -> DataFrame:
     """C2. The other columns, trace_id, the spans' fields and ``reason``: every span of nested JSON traces of any depth, and what is no span.
 
-    One read, one pass, a trace at a time. ``reason`` is null for a span. A text that is no JSON object has one row, 'unparsable'; a span without
+    One read, one pass, ``MOST_ROWS`` spans at a time. ``reason`` is null for a span. A text that is no JSON object has one row, 'unparsable'; a span without
     a host or a start has its row with 'no host' or 'no start', and the spans below it are walked like any others.
     """
     kept = [f for f in traces.schema.fields if f.name != body]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, rows: list[tuple], owners: list[int]) -> pa.RecordBatch:
+            own = [batch.column(f.name).take(pa.array(owners, pa.int64())) for f in kept]
+            values = [pa.array(c, pa.int64() if n == 8 else pa.string()) for n, c in enumerate(zip(*rows))]
+            return pa.RecordBatch.from_arrays(own + values, names=[f.name for f in kept] + ["trace_id", *(f.split()[0] for f in SPAN_FIELDS.split(", ")), "reason"])
+
         for batch in batches:
-            for i, text in enumerate(batch.column(body).to_pylist()):  # the rows of a trace at a time
-                rows = list(_spans_of(text))
-                if rows:
-                    own = pa.Table.from_batches([batch.slice(i, 1).select([f.name for f in kept])]).take([0] * len(rows)).combine_chunks() if kept else None
-                    columns = [own.column(k).combine_chunks() for k in range(len(kept))] if kept else []
-                    values = [pa.array(c, pa.int64() if n == 8 else pa.string()) for n, c in enumerate(zip(*rows))]
-                    yield pa.RecordBatch.from_arrays(columns + values, names=[f.name for f in kept] + ["trace_id", *(f.split()[0] for f in SPAN_FIELDS.split(", ")), "reason"])
+            rows, owners = [], []
+            for i, text in enumerate(batch.column(body)):
+                for row in _spans_of(text.as_py()):
+                    rows.append(row)
+                    owners.append(i)
+                    if len(rows) == MOST_ROWS:  # within a trace too
+                        yield made(batch, rows, owners)
+                        rows, owners = [], []
+            if rows:
+                yield made(batch, rows, owners)
 
     schema = StructType(kept + StructType.fromDDL(f"trace_id string, {SPAN_FIELDS}, reason string").fields)
     return traces.select(*(f.name for f in kept), body).mapInArrow(run, schema)

@@ -85,6 +85,20 @@ def read_trace_json(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("value").alias("body"), F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"))
 
 
+def write_trace_bundles(traces: DataFrame, root: str) -> None:
+    """A5, the reverse of ``read_trace_bundles``: traces (body, stem) as files of many lines, so that their number does not grow with that of traces."""
+    traces.select("stem", "body").write.mode("overwrite").option("ignoreNullFields", False).json(root)
+
+
+def read_trace_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """A5. (body, stem) of bundles of traces: a JSON line of each trace with its file's stem and its text, whatever that is.
+
+    A file for each trace costs a listing, an opening and a task's split for some kilobytes, and the driver sees every name; bundles are split and read like any table.
+    A line that is none gives a null body, which is no trace.
+    """
+    return spark.read.schema("stem string, body string").json(root).select("body", "stem")
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, form: str = "parquet", mode: str = "overwrite") -> None:
     """A6, A7, A8. A table, a window data set or a graph as files, by partition if given; CSV has a header."""
     writer = df.write.mode(mode).format(form)
