@@ -41,7 +41,7 @@ def _files_of(monkeypatch, spark, name):
 
 def test_traces_are_read_from_a_bounded_number_of_files(spark, monkeypatch):
     traces = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().count()
-    for name in ("c02_trace_rejects", "a05_c02_flatten_traces", "e01c_span_ends", "l3_host_spans"):
+    for name in ("c02_trace_rejects", "a05_c02_flatten_traces", "l3_host_spans", "l3_host_graph", "e01c_span_ends"):
         rows, n = _files_of(monkeypatch, spark, name)
         assert rows and 0 < n <= max(8, traces // 4), name
         monkeypatch.undo()
