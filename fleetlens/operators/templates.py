@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +15,9 @@ from ..storage import stored
 from .ranks import numbered
 
 WILD = "<:*:>"
-SEPARATOR = "\x01"
+SEPARATOR = " "  # what tokens are split at, so none holds it
+#: Characters of templates that a task sums up at a time
+MOST_HELD = 1 << 24
 #: Masks, delimiters and similarity of the two kinds of fleets.
 SERVICE_PROFILE = {"masks": COMMON_MASKS + SERVICE_MASKS, "delimiters": ("_", "->", "|")}
 HOST_PROFILE = {"masks": COMMON_MASKS + HOST_MASKS, "delimiters": ("_",)}
@@ -36,12 +42,24 @@ def leaves(lines: DataFrame, masks=COMMON_MASKS, delimiters=("_",), depth: int =
     """Add tokens and leaf; lines without a token go. Lines that have both already, kept from an earlier step, pass as they are."""
     if {"tokens", "leaf"} <= set(lines.columns):
         return lines
-    return lines.withColumn("tokens", tokenize(F.col(payload), masks, delimiters)).where(F.size("tokens") > 0).withColumn("leaf", leaf_key(F.col("tokens"), depth))
+    one = F.explode(F.array(tokenize(F.col(payload), masks, delimiters)))  # so that a line is masked once, and not for the filter again
+    return lines.select(*(c for c in lines.columns if c != "tokens"), one.alias("tokens")).where(F.size("tokens") > 0).withColumn("leaf", leaf_key(F.col("tokens"), depth))
+
+
+def joined(tokens: Column | str) -> Column:
+    """Tokens as one text, as they are shuffled: an array takes more than twice the bytes."""
+    return F.array_join(tokens, SEPARATOR)
 
 
 def distinct_lines(lines: DataFrame, order: str = "line_id", **how) -> DataFrame:
     """(leaf, tokens, n, first): equal token lines once, so mining works on shapes and not on traffic."""
-    return leaves(lines, **how).groupBy("leaf", "tokens").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return distinct_texts(lines, order, **how).select("leaf", F.split("text", SEPARATOR).alias("tokens"), "n", "first")
+
+
+def distinct_texts(lines: DataFrame, order: str = "line_id", **how) -> DataFrame:
+    """(leaf, text, n, first): ``distinct_lines`` with joined tokens."""
+    texts = leaves(lines, **how).select("leaf", joined("tokens").alias("text"), F.col(order).alias("_order"))
+    return texts.groupBy("leaf", "text").agg(F.count("*").alias("n"), F.min("_order").alias("first"))
 
 
 def mine_templates(lines: DataFrame, order: str = "line_id", **how) -> DataFrame:
@@ -61,49 +79,74 @@ def templates_of(shapes: DataFrame) -> DataFrame:
     return lists.select("leaf", F.transform("ts", lambda x: x["t"]).alias("template"), "size", "first")
 
 
-def greedy_clusters(shapes: pd.DataFrame, similarity: float) -> list[tuple[list[str], int, int]]:
-    """Distinct token lines of one leaf in first-seen order: each joins the likest template, or begins one."""
-    found: list[list] = []
-    for row in shapes.sort_values("first").itertuples():
-        tokens = row.tokens.split(SEPARATOR)
-        best, score = None, -1.0
-        for one in found:
-            same = sum(a == b for a, b in zip(one[0], tokens) if a != WILD) / len(tokens)
-            if same > score:
-                best, score = one, same
-        if best is not None and score >= similarity:
-            best[0] = [a if a == b else WILD for a, b in zip(best[0], tokens)]
-            best[1] += row.n
-        else:
-            found.append([tokens, row.n, row.first])
-    return [tuple(x) for x in found]
+def greedy_clusters(shapes: list[tuple[str, int, object]], similarity: float) -> list[tuple[str, int, object]]:
+    """Distinct token lines (text, n, first) of one leaf in first-seen order: each joins the likest template, or begins one.
+
+    Tokens are numbers here, 0 a wildcard, so a line is compared with all templates at once.
+    """
+    if len(shapes) == 1:
+        return shapes
+    codes: dict[str, int] = {WILD: 0}
+    lines = np.array([[codes.setdefault(t, len(codes)) for t in text.split(SEPARATOR)] for text, _, _ in shapes], np.int32)
+    found, counts, firsts, size = np.empty_like(lines), [], [], lines.shape[1]
+    for line, (_, n, first) in zip(lines, shapes):
+        k = len(counts)
+        if k:
+            same = ((found[:k] == line) & (line > 0)).sum(1)
+            best = int(same.argmax())  # the first of those that tie
+            if same[best] / size >= similarity:
+                found[best, found[best] != line] = 0
+                counts[best] += n
+                continue
+        found[k] = line
+        counts.append(n)
+        firsts.append(first)
+    names = list(codes)
+    return [(SEPARATOR.join(names[c] for c in row), n, first) for row, n, first in zip(found[: len(counts)].tolist(), counts, firsts)]
 
 
 def mine_greedy(lines: DataFrame, similarity: float = 0.3, order: str = "line_id", chunk: int = 5000, **how) -> DataFrame:
     """G2. (leaf, template, size, first): as G1, but a leaf is split into templates of at least ``similarity``.
 
-    Only distinct masked token lines reach the grouped function. A leaf of more than ``chunk`` of them is dealt out by a hash into
+    Only distinct masked token lines are clustered. A leaf of more than ``chunk`` of them is dealt out by a hash into
     chunks of about that size. Their templates are merged in rounds: those of a leaf stand in the order of their signature (which positions are
     constant, and the tokens there), neighbours are merged up to ``chunk`` at a time, and each round cuts at other places. It ends when a
     leaf's templates fit into one chunk, which is merged last, or when two rounds find nothing more to merge; so no group is ever larger than a
-    chunk, whatever the similarity.
+    chunk, whatever the similarity. Most leaves have a line or a few, so a task reads the groups of its sorted rows one after the other.
     """
-    shapes = distinct_lines(lines, order, **how).select(F.to_json("leaf").alias("key"), F.array_join("tokens", SEPARATOR).alias("tokens"), "n", "first")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = greedy_clusters(pdf, similarity)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "tokens": [SEPARATOR.join(t) for t, _, _ in rows], "n": [n for _, n, _ in rows], "first": [f for _, _, f in rows]})
-
-    merge = lambda dealt: stored(dealt.select("key", "part", "tokens", "n", "first").groupBy("key", "part").applyInPandas(run, "key string, tokens string, n long, first long"), "templates")
-    parts = shapes.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    found = merge(shapes.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts"))))
-    finished = parts.where("parts = 1").select("key")
-    open_, found = found.join(finished, "key", "left_anti"), found.join(finished, "key", "left_semi")
+    texts = distinct_texts(lines, order, **how)
+    shapes = stored(texts.select(F.to_json("leaf").alias("key"), F.col("text").alias("tokens"), "n", "first"), "shapes")
+    columns = ["key", "part", "tokens", "n", "first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((row, batch.schema) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        out, size, schema = [], 0, None
+        for (key, _), group in groupby(rows, lambda x: x[0][:2]):
+            group = list(group)
+            schema = pa.schema([f for f in group[0][1] if f.name != "part"])
+            found = greedy_clusters([row[2:] for row, _ in group], similarity)
+            out += [(key, *one) for one in found]
+            size += sum(len(one[0]) for one in found)
+            if size > MOST_HELD // 8:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def merge(dealt: DataFrame) -> DataFrame:
+        sorted_ = dealt.select(*columns).repartition("key", "part").sortWithinPartitions("key", "part", "first", "tokens")
+        return stored(sorted_.mapInArrow(run, shapes.schema), "templates")
+
+    parts = shapes.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("parts")).where("parts > 1")
+    large = stored(parts, "large")  # few, and known to be before the lines meet them
+    # dealt by the hash of tokens joined by \x01, which decides what is merged with what
+    found = merge(shapes.join(large, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(F.translate("tokens", SEPARATOR, "\x01")), F.col("parts")), F.lit(0).cast("long"))))
+    open_, found = found.join(large, "key", "left_semi"), found.join(large, "key", "left_anti")
     before, idle, turn = None, 0, 0
     while idle < 2 and (now := open_.count()):
         idle = idle + 1 if now == before else 0
         small = open_.groupBy("key").count().where(F.col("count") <= chunk).select("key")
-        found = found.unionByName(merge(open_.join(small, "key", "left_semi").withColumn("part", F.lit(0))))
+        found = found.unionByName(merge(open_.join(small, "key", "left_semi").withColumn("part", F.lit(0).cast("long"))))
         kinds = F.transform(F.split("tokens", SEPARATOR), lambda t: F.when(t == WILD, "1").otherwise("0"))
         placed = numbered(open_.join(small, "key", "left_anti").withColumn("_sign", F.array_join(kinds, "")), ("_sign", "tokens"), "_place", keys=("key",))
         shift = chunk // 2 if turn % 2 else 0

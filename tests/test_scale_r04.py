@@ -60,3 +60,34 @@ def test_a_walk_hands_on_spans_in_batches(spark, monkeypatch):
     sizes = frame.select("stem", "body").transform(joins.walk_traces)
     assert sorted((r["stem"], r["position"], r["host"]) for r in sizes.collect()) == sorted((n, i, f"h{i}") for n in (3, 20, 1, 14) for i in range(n))
     assert sizes.schema["stem"].dataType.simpleString() == "bigint"
+
+
+def test_greedy_mining_starts_no_group_for_each_leaf(spark):
+    lines, _ = _prose(spark, 500)
+    plan = lambda: templates.mine_greedy(lines)
+    seen = []
+    stored = templates.stored
+    try:
+        templates.stored = lambda df, name: seen.append(df._jdf.queryExecution().toString()) or stored(df, name)
+        assert plan().count() == 500
+    finally:
+        templates.stored = stored
+    assert not any("FlatMapGroupsInPandas" in p for p in seen)
+
+
+def test_greedy_clusters_of_a_large_leaf_are_those_of_lists(spark):
+    import random
+
+    draw = random.Random(4)
+    shapes = [(" ".join(draw.choice("ab") if j < 3 else str(draw.randrange(4)) for j in range(8)), draw.randrange(1, 9), i) for i in range(300)]
+    shapes = list({t: (t, n, i) for t, n, i in shapes}.values())
+    found = []
+    for text, n, first in shapes:
+        tokens = text.split(" ")
+        scores = [sum(a == b for a, b in zip(one[0], tokens) if a != templates.WILD) / len(tokens) for one in found]
+        if scores and max(scores) >= 0.6:
+            best = found[scores.index(max(scores))]
+            best[0], best[1] = [a if a == b else templates.WILD for a, b in zip(best[0], tokens)], best[1] + n
+        else:
+            found.append([tokens, n, first])
+    assert templates.greedy_clusters(shapes, 0.6) == [(" ".join(t), n, first) for t, n, first in found] and len(found) > 1
