@@ -62,21 +62,62 @@ def distinct_texts(lines: DataFrame, order: str = "line_id", **how) -> DataFrame
     return texts.groupBy("leaf", "text").agg(F.count("*").alias("n"), F.min("_order").alias("first"))
 
 
+def _in_common(one: str, other: str) -> str:
+    """Two texts of as many tokens: the token of each position that both have there, else a wildcard."""
+    return one if one == other else SEPARATOR.join([a if a == b else WILD for a, b in zip(one.split(SEPARATOR), other.split(SEPARATOR))])
+
+
+def agreed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, n, first) from (key, text, n, first): for each ``key``, a struct, the tokens that all its texts have in common, the sum of n, the least first.
+
+    No built-in function sums up lists position by position before a shuffle, and a row for each token is many times the text. So each task
+    sums up its own rows, and hands on one for each key; a key with most of the traffic is no hot group. It holds ``MOST_HELD`` characters at most and hands on what it has then.
+    """
+    rows = rows.select(key, "text", "n", "first")
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kinds = {}, 0, None
+
+        def emptied() -> pa.RecordBatch:
+            fields = [pa.array(c, f.type) for c, f in zip(zip(*held), kinds[0].type)]
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*held.values()), kinds[1:])]
+            return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(kinds[0].type)), *columns], schema=pa.schema(kinds))
+
+        for batch in batches:
+            kinds = list(batch.schema)
+            for one, text, n, first in zip(zip(*(f.to_pylist() for f in batch.column(0).flatten())), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if (had := held.get(one)) is None:
+                    held[one] = [text, n, first]
+                    size += len(text)
+                else:
+                    had[:] = _in_common(had[0], text), had[1] + n, min((x for x in (had[2], first) if x is not None), default=None)
+                if size > MOST_HELD:
+                    yield emptied()
+                    held, size = {}, 0
+        if held:
+            yield emptied()
+
+    parts = rows.mapInArrow(run, schema).groupBy(key).agg(F.collect_list("text").alias("_texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    both = lambda a, b: F.zip_with(a, F.split(b, SEPARATOR), lambda x, y: F.when(x == y, x).otherwise(WILD))
+    tokens = F.aggregate(F.slice("_texts", 2, F.greatest(F.size("_texts"), F.lit(1))), F.split(F.get("_texts", F.lit(0)), SEPARATOR), both)
+    return parts.select(key, tokens.alias("tokens"), "n", "first")
+
+
 def mine_templates(lines: DataFrame, order: str = "line_id", **how) -> DataFrame:
     """G1. (leaf, template, size, first): in each leaf a position keeps its token if all lines agree on it.
 
-    The result does not depend on the order of lines; smallest and largest token per (leaf, position) are
-    combined on the map side, so a leaf with most of the traffic is no hot group.
+    The result does not depend on the order of lines; what a task's lines of a leaf agree on is one row before the shuffle, so a leaf with
+    most of the traffic is no hot group.
     """
-    return templates_of(distinct_lines(lines, order, **how))
+    return templates_of(leaves(lines, **how).select("leaf", joined("tokens").alias("text"), F.lit(1).cast("long").alias("n"), F.col(order).alias("first")))
 
 
-def templates_of(shapes: DataFrame) -> DataFrame:
-    """G1 over distinct token lines (leaf, tokens, n, first)."""
-    positions = shapes.select("leaf", "n", "first", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos").agg(F.min("token").alias("a"), F.max("token").alias("z"), F.sum("n").alias("n"), F.min("first").alias("first"))
-    kept = F.when((F.col("a") == F.col("z")) & ~F.col("a").rlike("^[0-9]+$"), F.col("a")).otherwise(WILD)
-    lists = positions.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", kept.alias("t")))).alias("ts"), F.max("n").alias("size"), F.min("first").alias("first"))
-    return lists.select("leaf", F.transform("ts", lambda x: x["t"]).alias("template"), "size", "first")
+def templates_of(texts: DataFrame) -> DataFrame:
+    """G1 over lines of joined tokens (leaf, text, n, first)."""
+    found = agreed(texts, "leaf")
+    kept = F.transform("tokens", lambda t: F.when(t.rlike("^[0-9]+$"), WILD).otherwise(t))
+    return found.select("leaf", kept.alias("template"), F.col("n").alias("size"), "first")
 
 
 def greedy_clusters(shapes: list[tuple[str, int, object]], similarity: float) -> list[tuple[str, int, object]]:
@@ -217,7 +258,7 @@ def resume_versions(lines: DataFrame, saved: DataFrame, similarity: float = 0.3,
     kept_rows = saved.join(changed, "template_id", "left").select("leaf", F.coalesce("now", "template").alias("template"), "template_id", (F.col("version") + F.col("now").isNotNull().cast("long")).alias("version"))
     far = best.where(F.coalesce(F.col("best.score") < similarity, F.lit(True))).select("leaf", "tokens", "n", "first")
     most = saved.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
-    fresh = versioned(assign_ids(templates_of(far), most + 1))
+    fresh = versioned(assign_ids(templates_of(far.select("leaf", joined("tokens").alias("text"), "n", "first")), most + 1))
     after = stored(kept_rows.unionByName(fresh), "dictionary")
     log = after.join(saved.select("template_id", F.col("version").alias("_was")), "template_id", "left").where("_was is null or version > _was").select("template_id", "version", "template")
     return after, log

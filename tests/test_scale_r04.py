@@ -91,3 +91,16 @@ def test_greedy_clusters_of_a_large_leaf_are_those_of_lists(spark):
         else:
             found.append([tokens, n, first])
     assert templates.greedy_clusters(shapes, 0.6) == [(" ".join(t), n, first) for t, n, first in found] and len(found) > 1
+
+
+def test_mining_shuffles_no_more_than_the_text(spark):
+    lines, size = _prose(spark)
+    assert _shuffled(spark, lambda: templates.mine_templates(lines).write.format("noop").mode("overwrite").save()) < 1.5 * size
+
+
+def test_what_a_task_holds_does_not_change_templates(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b d", "a b c", "7 x", "q", None, "a b e", "q"])], "line_id long, payload string")
+    want = sorted(map(str, templates.mine_templates(frame, masks=[]).collect()))
+    monkeypatch.setattr(templates, "MOST_HELD", 1)
+    assert sorted(map(str, templates.mine_templates(frame.coalesce(1), masks=[]).collect())) == want
+    assert {(" ".join(r["template"]), r["size"], r["first"]) for r in templates.mine_templates(frame, masks=[]).collect()} == {("a b <:*:>", 4, 0), ("<:*:> x", 1, 3), ("q", 2, 4)}
