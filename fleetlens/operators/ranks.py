@@ -53,16 +53,17 @@ def in_ranges(df: DataFrame, at: Column, ranges: int | None = None, name: str =
     return wrapped.withColumn(name, place(0, len(bounds))).drop("_at")
 
 
-def with_running_totals(df: DataFrame, place: Column, values: list[str], keys: tuple[str, ...] = (), order: tuple = (), ranges: int | None = None) -> DataFrame:
+def with_running_totals(df: DataFrame, place: Column, values: list[str], keys: tuple[str, ...] = (), order: tuple = (), ranges: int | None = None, dealt: tuple | None = None) -> DataFrame:
     """Add ``<value>_before``: within ``keys``, sums over all rows ahead in the order of ``place`` and ``order``.
 
     Rows are dealt to ranges of (keys, place, order); each range sums its own and adds the totals of its key's ranges
     ahead, of which there are as many as ranges. Only rows that tie in all of it cannot be dealt out. The rows are read for the bounds, the
-    totals and the sums, so they are written once and what they are made of is computed once.
+    totals and the sums, so they are written once and what they are made of is computed once. ``dealt``: values in the same order that the
+    rows are dealt by instead, if those of the order are long.
     """
     df = stored(df, "ranked")
     of = F.struct(*keys) if keys else F.lit(0)
-    ways = [F.struct(*(c if isinstance(c, Column) else F.col(c) for c in (*keys, place, *order)))]
+    ways = [F.struct(*(c if isinstance(c, Column) else F.col(c) for c in (*keys, *(dealt or (place, *order)))))]
     dealt = in_ranges(df.withColumns({"_rk": of, "_pl": place}), *ways, ranges=ranges)
     totals = dealt.groupBy("_rk", "_r").agg(*(F.sum(v).alias(f"_{v}") for v in values))
     ahead = Window.partitionBy("_rk").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,10 +73,10 @@ def with_running_totals(df: DataFrame, place: Column, values: list[str], keys: t
     return summed.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).drop("_rk", "_pl", "_r", *(f"_{v}" for v in values))
 
 
-def numbered(df: DataFrame, order: tuple, name: str, start: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Add the number of each row in ``order`` (within ``keys``), from ``start``."""
+def numbered(df: DataFrame, order: tuple, name: str, start: int = 0, keys: tuple[str, ...] = (), dealt: tuple | None = None) -> DataFrame:
+    """Add the number of each row in ``order`` (within ``keys``), from ``start``; ``dealt`` as in ``with_running_totals``."""
     first, *rest = (F.col(c) if isinstance(c, str) else c for c in order)
-    counted = with_running_totals(df.withColumn("_one", F.lit(1).cast("long")), first, ["_one"], keys, tuple(rest))
+    counted = with_running_totals(df.withColumn("_one", F.lit(1).cast("long")), first, ["_one"], keys, tuple(rest), dealt=dealt)
     return counted.withColumn(name, (F.col("_one_before") + start).cast("long")).drop("_one", "_one_before")
 
 

@@ -199,8 +199,15 @@ def mine_greedy(lines: DataFrame, similarity: float = 0.3, order: str = "line_id
 
 
 def assign_ids(templates: DataFrame, start: int = 1) -> DataFrame:
-    """G3. Add template_id from ``start``, in the order in which templates were first seen, then by text."""
-    return numbered(templates, ("first", F.array_join("template", " ")), "template_id", start)
+    """G3. Add template_id from ``start``, in the order in which templates were first seen, then by text.
+
+    Templates are kept and shuffled as texts, and dealt out by the beginnings of these. One whose tokens a text cannot give back stays a list beside it.
+    """
+    back = F.split("_text", SEPARATOR)
+    texts = templates.withColumn("_text", F.array_join("template", " "))
+    texts = texts.withColumn("_list", F.when(back != F.col("template"), F.col("template"))).drop("template")
+    ids = numbered(texts, ("first", "_text"), "template_id", start, dealt=("first", F.substring("_text", 1, 100)))
+    return ids.withColumn("template", F.coalesce("_list", back)).select(*templates.columns, "template_id")
 
 
 def matches(tokens: Column, template: Column) -> Column:

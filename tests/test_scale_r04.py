@@ -104,3 +104,22 @@ def test_what_a_task_holds_does_not_change_templates(spark, monkeypatch):
     monkeypatch.setattr(templates, "MOST_HELD", 1)
     assert sorted(map(str, templates.mine_templates(frame.coalesce(1), masks=[]).collect())) == want
     assert {(" ".join(r["template"]), r["size"], r["first"]) for r in templates.mine_templates(frame, masks=[]).collect()} == {("a b <:*:>", 4, 0), ("<:*:> x", 1, 3), ("q", 2, 4)}
+
+
+def test_numbering_shuffles_no_more_than_the_text(spark):
+    lines, size = _prose(spark)
+    mined = storage.stored(templates.mine_templates(lines), "mined")
+    assert _shuffled(spark, lambda: templates.assign_ids(mined).write.format("noop").mode("overwrite").save()) < 1.5 * size
+
+
+def test_numbers_of_templates_with_odd_tokens(spark):
+    rows = [(5, ["a b", "c"]), (5, ["a", "b"]), (5, []), (1, ["z"]), (9, None), (5, ["a", None])]
+    got = templates.assign_ids(spark.createDataFrame(rows, "first long, template array<string>")).collect()
+    assert [(r["first"], r["template"]) for r in sorted(got, key=lambda r: r["template_id"])][0] == (1, ["z"])
+    assert sorted(map(repr, ((r["first"], r["template"]) for r in got))) == sorted(map(repr, rows)) and {r["template_id"] for r in got} == set(range(1, 7))
+
+
+def test_ranges_by_beginnings_keep_the_order(spark):
+    frame = spark.range(500).select((F.col("id") % 3).alias("first"), F.concat(F.lit("ab"), F.col("id").cast("string")).alias("text"))
+    got = ranks.numbered(frame, ("first", "text"), "n", 1, dealt=("first", F.substring("text", 1, 3)))
+    assert [r["n"] for r in got.orderBy("first", "text").collect()] == list(range(1, 501))
