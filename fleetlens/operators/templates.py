@@ -221,12 +221,18 @@ def match_templates(lines: DataFrame, templates: DataFrame, line: str = "line_id
     Candidates share the leaf, so token counts agree. A leaf's templates stand in one row in that order, so a line is masked once,
     meets one row and takes the first that fits; Spark broadcasts the dictionary if it is small and splits hot leaves otherwise.
     """
+    return _met(lines, templates, line, **how).select(line, "template_id")
+
+
+def _met(lines: DataFrame, templates: DataFrame, line: str, **how) -> DataFrame:
+    """(line, leaf, text, template_id) of C10. Texts are shuffled; a leaf's templates are split once, and a line once."""
     wild = F.size(F.filter("template", lambda t: t == WILD))
-    rows = templates.select("leaf", F.struct(wild.alias("wild"), "template_id", "template").alias("one"))
+    rows = templates.select("leaf", F.struct(wild.alias("wild"), "template_id", joined("template").alias("text")).alias("one"))
     by_leaf = rows.groupBy("leaf").agg(F.array_sort(F.collect_list("one")).alias("candidates"))
-    read = leaves(lines, **how).select(line, "leaf", "tokens")
-    first = F.get(F.filter("candidates", lambda c: matches(F.col("tokens"), c["template"])), F.lit(0))
-    return read.join(by_leaf, "leaf", "left").select(line, first["template_id"].alias("template_id"))
+    by_leaf = by_leaf.select("leaf", F.transform("candidates", lambda c: F.struct(c["template_id"].alias("template_id"), F.split(c["text"], SEPARATOR).alias("template"))).alias("candidates"))
+    read = leaves(lines, **how).select(line, "leaf", joined("tokens").alias("text"))
+    first = F.transform(F.array(F.split("text", SEPARATOR)), lambda tokens: F.get(F.filter("candidates", lambda c: matches(tokens, c["template"])), F.lit(0))["template_id"])
+    return read.join(by_leaf, "leaf", "left").select(line, "leaf", "text", F.get(first, F.lit(0)).alias("template_id"))
 
 
 def resume(lines: DataFrame, saved: DataFrame, line: str = "line_id", **how) -> DataFrame:

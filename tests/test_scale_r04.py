@@ -123,3 +123,14 @@ def test_ranges_by_beginnings_keep_the_order(spark):
     frame = spark.range(500).select((F.col("id") % 3).alias("first"), F.concat(F.lit("ab"), F.col("id").cast("string")).alias("text"))
     got = ranks.numbered(frame, ("first", "text"), "n", 1, dealt=("first", F.substring("text", 1, 3)))
     assert [r["n"] for r in got.orderBy("first", "text").collect()] == list(range(1, 501))
+
+
+def test_matching_shuffles_no_more_than_lines_and_templates(spark):
+    lines, size = _prose(spark)
+    ids = storage.stored(templates.assign_ids(templates.mine_templates(lines)), "ids")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffled(spark, lambda: templates.match_templates(lines, ids).write.format("noop").mode("overwrite").save()) < 2.5 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
