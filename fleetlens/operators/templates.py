@@ -237,11 +237,11 @@ def _met(lines: DataFrame, templates: DataFrame, line: str, **how) -> DataFrame:
 
 def resume(lines: DataFrame, saved: DataFrame, line: str = "line_id", **how) -> DataFrame:
     """G4. The saved dictionary (leaf, template, template_id, ...) and, numbered after it, templates of lines that fit none."""
-    matched = match_templates(lines, saved, line, **how)
-    fresh = mine_templates(lines.join(matched.where("template_id is null").select(line), line, "left_semi"), line, **how)
+    saved = stored(saved.select("leaf", "template", "template_id"), "saved")
+    fresh = _met(lines, saved, line, **how).where("template_id is null").select("leaf", "text", F.lit(1).cast("long").alias("n"), F.col(line).alias("first"))
     most = saved.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
-    new = assign_ids(fresh, most + 1)
-    return saved.select("leaf", "template", "template_id").unionByName(new.select("leaf", "template", "template_id"))
+    new = assign_ids(templates_of(fresh), most + 1)
+    return saved.unionByName(new.select("leaf", "template", "template_id"))
 
 
 def versioned(dictionary: DataFrame) -> DataFrame:

@@ -134,3 +134,9 @@ def test_matching_shuffles_no_more_than_lines_and_templates(spark):
         assert _shuffled(spark, lambda: templates.match_templates(lines, ids).write.format("noop").mode("overwrite").save()) < 2.5 * size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_resuming_shuffles_a_few_times_the_text(spark):
+    lines, size = _prose(spark)
+    saved = storage.stored(templates.assign_ids(templates.mine_templates(lines.where("line_id % 2 = 0"))), "ids")
+    assert _shuffled(spark, lambda: templates.resume(lines, saved).write.format("noop").mode("overwrite").save()) < 4 * size
