@@ -257,21 +257,23 @@ def resume_versions(lines: DataFrame, saved: DataFrame, similarity: float = 0.3,
     count against the saved templates at once, so their order does not matter. Lines that are like none give new templates, numbered after the
     saved ones. Lines that fit change nothing, so resuming twice with the same lines is the same as once.
     """
-    shapes = distinct_lines(lines, line, **how)
-    one = F.struct("template_id", "template")
+    saved = stored(saved.select("leaf", "template", "template_id", "version"), "saved")
+    one = F.struct("template_id", joined("template").alias("text"))
     by_leaf = saved.groupBy("leaf").agg(F.array_sort(F.collect_list(one)).alias("candidates"))  # a leaf's templates, not its lines
-    met = stored(shapes.join(by_leaf, "leaf", "left").withColumn("fits", F.exists(F.coalesce("candidates", F.array()), lambda c: matches(F.col("tokens"), c["template"]))).where("not fits"), "unmatched")
-    same = lambda c: F.size(F.filter(F.zip_with("tokens", c["template"], lambda a, b: (a == b) & (b != WILD)), lambda x: x)) / F.size("tokens")
-    scored = F.transform("candidates", lambda c: F.struct(same(c).alias("score"), (-c["template_id"]).alias("order"), c["template"].alias("template")))
-    best = met.withColumn("best", F.array_max(scored))
-    near = best.where(F.col("best.score") >= similarity).select(F.expr("-best.order").alias("template_id"), "best.template", F.posexplode(F.arrays_zip("tokens", F.col("best.template").alias("was"))).alias("pos", "both"))
-    kept = F.min(F.col("both.tokens") == F.col("both.was")) & (F.min("both.was") != WILD)
-    positions = near.groupBy("template_id", "pos").agg(F.when(kept, F.min("both.was")).otherwise(WILD).alias("token"))
-    changed = positions.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("now"))
-    kept_rows = saved.join(changed, "template_id", "left").select("leaf", F.coalesce("now", "template").alias("template"), "template_id", (F.col("version") + F.col("now").isNotNull().cast("long")).alias("version"))
-    far = best.where(F.coalesce(F.col("best.score") < similarity, F.lit(True))).select("leaf", "tokens", "n", "first")
+    by_leaf = by_leaf.select("leaf", F.transform("candidates", lambda c: F.struct(c["template_id"].alias("template_id"), F.split(c["text"], SEPARATOR).alias("template"))).alias("candidates"))
+    same = lambda tokens, c: F.size(F.filter(F.zip_with(tokens, c["template"], lambda a, b: (a == b) & (b != WILD)), lambda x: x)) / F.size(tokens)
+    likest = lambda tokens: F.array_max(F.transform("candidates", lambda c: F.struct(same(tokens, c).alias("score"), (-c["template_id"]).alias("order"))))
+    fits = lambda tokens: F.coalesce(F.exists("candidates", lambda c: matches(tokens, c["template"])), F.lit(False))
+    found = F.explode(F.transform(F.array(F.split("text", SEPARATOR)), lambda tokens: F.when(~fits(tokens), F.struct(likest(tokens).alias("best")))))
+    met = distinct_texts(lines, line, **how).join(by_leaf, "leaf", "left").select("leaf", "text", "n", "first", found.alias("found")).where("found is not null")
+    met = stored(met.select("leaf", "text", "n", "first", "found.best.score", F.expr("-found.best.order").alias("template_id")), "unmatched")
+    near = agreed(met.where(F.col("score") >= similarity).withColumn("of", F.struct("template_id")), "of").select("of.template_id", "tokens")
+    changed = F.when(F.col("tokens").isNotNull(), F.zip_with("template", "tokens", lambda a, b: F.when(a == b, a).otherwise(WILD)))
+    both = saved.join(near, "template_id", "left").select("leaf", "template", "template_id", "version", changed.alias("now"))
+    kept_rows = both.select("leaf", F.coalesce("now", "template").alias("template"), "template_id", (F.col("version") + F.col("now").isNotNull().cast("long")).alias("version"))
+    far = met.where(F.coalesce(F.col("score") < similarity, F.lit(True)))
     most = saved.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
-    fresh = versioned(assign_ids(templates_of(far.select("leaf", joined("tokens").alias("text"), "n", "first")), most + 1))
+    fresh = versioned(assign_ids(templates_of(far), most + 1))
     after = stored(kept_rows.unionByName(fresh), "dictionary")
     log = after.join(saved.select("template_id", F.col("version").alias("_was")), "template_id", "left").where("_was is null or version > _was").select("template_id", "version", "template")
     return after, log

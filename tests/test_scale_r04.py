@@ -140,3 +140,9 @@ def test_resuming_shuffles_a_few_times_the_text(spark):
     lines, size = _prose(spark)
     saved = storage.stored(templates.assign_ids(templates.mine_templates(lines.where("line_id % 2 = 0"))), "ids")
     assert _shuffled(spark, lambda: templates.resume(lines, saved).write.format("noop").mode("overwrite").save()) < 4 * size
+
+
+def test_versions_shuffle_a_few_times_the_text(spark):
+    lines, size = _prose(spark)
+    saved = storage.stored(templates.versioned(templates.assign_ids(templates.mine_templates(lines.where("line_id % 2 = 0")))), "ids")
+    assert _shuffled(spark, lambda: templates.resume_versions(lines, saved)[0].write.format("noop").mode("overwrite").save()) < 6 * size
