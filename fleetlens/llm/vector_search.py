@@ -35,6 +35,8 @@ AIM, AIM_QUERIES, LEAST_PROBED = 0.95, 256, 8
 BOUND_PART = 8
 #: Vectors and queries of a list that are scanned together at most, and queries of them at a time
 CHUNK_VECTORS, CHUNK_QUERIES, STEP_QUERIES = 4096, 512, 64
+#: Rows of (query, list) that are handed on at a time, and pairs of vectors that are compared at a time
+STEP_ROWS, STEP_PAIRS = 20_000, 1 << 16
 
 
 def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -182,9 +184,13 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", nea
         held[r["list"]] = r["count"]
 
     def ask(batches):
-        """The lists that a query probes: so many, or more until they hold enough; the nearest of them are for the bound."""
-        for batch in batches:
-            if len(batch):
+        """The lists that a query probes: so many, or more until they hold enough; the nearest of them are for the bound.
+
+        A query has a row with its vector for each of its lists, so a few queries are taken at a time.
+        """
+        for whole in batches:
+            step = max(1, STEP_ROWS // len(held))
+            for batch in (whole.iloc[at : at + step] for at in range(0, len(whole), step)):
                 order = nearest_lists(as_query(np.stack(batch["vector"].to_numpy()).astype(float)), shared.value[0], len(held))
                 enough = (np.cumsum(held[order], axis=1) < nearest + 1).sum(1) + 1
                 last = np.minimum(len(held), np.maximum(probed, enough))
@@ -239,8 +245,9 @@ def _scanned(asking: DataFrame, listed: DataFrame, shared, scale: float, radius:
             lifted = lift(plain, scale, radius)
             rotated = lifted @ turn
             bounds = ask["bound"].to_numpy(float, na_value=np.inf)
-            for at in range(0, len(ask), STEP_QUERIES):
-                some = slice(at, at + STEP_QUERIES)
+            step = max(1, min(STEP_QUERIES, STEP_PAIRS // len(have)))
+            for at in range(0, len(ask), step):
+                some = slice(at, at + step)
                 asked = np.stack(ask["vector"].to_numpy()[some]).astype(float)
                 unit = as_query(asked)
                 q, v, read = adaptive_scan(unit @ turn, rotated, bounds[some])

@@ -146,3 +146,11 @@ def test_versions_shuffle_a_few_times_the_text(spark):
     lines, size = _prose(spark)
     saved = storage.stored(templates.versioned(templates.assign_ids(templates.mine_templates(lines.where("line_id % 2 = 0")))), "ids")
     assert _shuffled(spark, lambda: templates.resume_versions(lines, saved)[0].write.format("noop").mode("overwrite").save()) < 6 * size
+
+
+def test_vectors_are_searched_in_bounded_steps(spark, monkeypatch):
+    vectors = spark.range(300).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.pmod(F.hash("id", i), F.lit(1000)).cast("float")).alias("embedding"))
+    want = sorted(map(str, vector_search.search(vectors).collect()))
+    monkeypatch.setattr(vector_search, "STEP_ROWS", 1)
+    monkeypatch.setattr(vector_search, "STEP_PAIRS", 50)
+    assert sorted(map(str, vector_search.search(vectors).collect())) == want and len(want) == 15 * 20
