@@ -155,7 +155,8 @@ def drawn_pieces(docs: DataFrame, block_words: int, weights: tuple[int, ...], mo
     pieces = placed.where("size > 0").select("*", block.alias("block"))
     begin = F.greatest(F.col("block") * block_words, F.col("at"))
     words = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size")) - begin
-    pieces = pieces.join(drawn, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Spark takes the listed blocks to be as small as the file that they are listed from, and would broadcast them all
+    pieces = pieces.hint("merge").join(drawn, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return placed, pieces.withColumn("first", begin - F.col("at")).withColumn("words", words)
 
 

@@ -1,11 +1,12 @@
 """What grew faster than the input: files a trace, rows a token, groups a leaf, rows a batch."""
 
 import glob
+import re
 
 from pyspark.sql import functions as F
 
 from fleetlens import catalog, storage
-from fleetlens.llm import vector_search
+from fleetlens.llm import mixing, vector_search
 from fleetlens.operators import joins, ranks, templates
 from fleetlens.sources import files
 
@@ -154,3 +155,9 @@ def test_vectors_are_searched_in_bounded_steps(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "STEP_ROWS", 1)
     monkeypatch.setattr(vector_search, "STEP_PAIRS", 50)
     assert sorted(map(str, vector_search.search(vectors).collect())) == want and len(want) == 15 * 20
+
+
+def test_blocks_of_the_mix_are_not_broadcast(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[rank#\d+L, block#\d+L\]", plan) and not re.search(r"BroadcastHashJoin \[rank#\d+L, block#\d+L\]", plan)
